@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from millrace.llm.bpe import op5_bpe
+from millrace.llm.langid import op8_langid
 from millrace.llm.simhash import op9_simhash
+from millrace.llm.spaced_seeds import op2_decontaminate
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
+    "op5_bpe": op5_bpe,
+    "op8_langid": op8_langid,
     "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {}
