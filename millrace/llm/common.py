@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts can be long, so batches are kept small; a batch is the unit of memory in a worker.
 BATCH_ROWS = 400
+#: Slim rows that one file of an intermediate table may hold, and the most files a narrowed write makes.
+FILE_ROWS = 500_000
+MAX_COALESCED = 10_000
 #: Where tables go if the session names no shared folder (single-machine tests only).
 LOCAL_FALLBACK = "file:///tmp/checkpoints"
 
@@ -26,13 +29,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: computed once, and its lineage is cut.
 
-    A lost executor costs only the tasks it ran; what is written stays readable for all others.
+    A lost executor costs only the tasks it ran; what is written stays readable for all others. ``rows``: an upper bound
+    of its rows, where one is known; small tables are then written by few tasks.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    out = df if rows is None else df.coalesce(min(1 + rows // FILE_ROWS, MAX_COALESCED))
+    out.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

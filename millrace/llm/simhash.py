@@ -24,7 +24,6 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -38,6 +37,8 @@ RADIUS = 3
 BLOCKS = 6
 PIVOTS = 24
 SPLIT_AT = 2000
+#: Buckets of at most so many fingerprints are compared together, larger ones one by one.
+SMALL_BUCKET = 16
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -113,36 +114,52 @@ def linked_pairs(fps: np.ndarray, radius: int = RADIUS, pivots: np.ndarray | Non
             i, j = np.nonzero(np.abs(table[0, a:b, None] - table[0, None, c:d]) <= radius)
             i, j = i + a, j + c
             keep = i < j
-            i, j = i[keep], j[keep]
-            for row in table[1:]:
-                keep = np.abs(row[i] - row[j]) <= radius
-                i, j = i[keep], j[keep]
-            keep = np.bitwise_count(sorted_fps[i] ^ sorted_fps[j]) <= radius
-            if keep.any():
-                yield order[i[keep]], order[j[keep]]
+            i, j = _survivors(sorted_fps, table[1:], i[keep], j[keep], radius)
+            if len(i):
+                yield order[i], order[j]
 
 
-def forest(fps: np.ndarray, radius: int = RADIUS, pivots: np.ndarray | None = None) -> np.ndarray:
-    """For each fingerprint of a bucket the index of its root: union-find over ``linked_pairs``."""
-    root = np.arange(len(fps))
+def bucket_links(fps: np.ndarray, cuts: np.ndarray, radius: int = RADIUS, pivots: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (greater, lesser) of all buckets ``fps[cuts[k]:cuts[k + 1]]``: union-find over the verified pairs."""
+    pivots = pivot_fingerprints() if pivots is None else pivots
+    sizes = np.diff(cuts)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    bits = fps.view(np.uint64)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    few = sizes[group] <= SMALL_BUCKET  # small buckets all at once: each row with the next, the one after, and so on
+    table = pivot_table(bits, pivots)
+    for step in range(1, min(SMALL_BUCKET, int(sizes.max(initial=0)))):
+        i = np.flatnonzero(few[:-step] & (group[:-step] == group[step:]))
+        pairs.append(_survivors(bits, table, i, i + step, radius))
+    for k in np.flatnonzero(sizes > SMALL_BUCKET):
+        pairs += [(i + cuts[k], j + cuts[k]) for i, j in linked_pairs(bits[cuts[k] : cuts[k + 1]], radius, pivots)]
+    root: dict[int, int] = {}
 
     def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
         return x
 
-    for i, j in linked_pairs(fps, radius, pivots):
-        for x, y in zip(i.tolist(), j.tolist()):
+    for i, j in pairs:
+        for x, y in zip(fps[i].tolist(), fps[j].tolist()):
             x, y = find(x), find(y)
             if x != y:
                 root[max(x, y)] = min(x, y)
-    return np.array([find(x) for x in range(len(fps))], np.int64)
+    nodes = np.array([x for x in list(root) if find(x) != x], np.int64)
+    return nodes, np.array([find(x) for x in nodes.tolist()], np.int64)
+
+
+def _survivors(bits: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs left after every coordinate of the pivot table, verified bit by bit."""
+    for row in table:
+        keep = np.abs(row[i] - row[j]) <= radius
+        i, j = i[keep], j[keep]
+    keep = np.bitwise_count(bits[i] ^ bits[j]) <= radius
+    return i[keep], j[keep]
 
 
-def _masks(width: int, blocks: int, chosen: int, positions: list[int] | None = None) -> list[int]:
+def _masks(positions: list[int], blocks: int, chosen: int) -> list[int]:
     """Masks of every choice of ``chosen`` of ``blocks`` equal runs of the given bit positions."""
-    positions = list(range(64)) if positions is None else positions
     cut = [round(k * len(positions) / blocks) for k in range(blocks + 1)]
     runs = [sum(1 << positions[i] for i in range(cut[k], cut[k + 1])) for k in range(blocks)]
     return [sum(runs[k] for k in c) for c in combinations(range(blocks), chosen)]
@@ -160,14 +177,13 @@ def _keys(masks: list[int]) -> Column:
 def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, split_at: int = SPLIT_AT, pivots: int = PIVOTS) -> DataFrame:
     """Spanning links (``a`` > ``b``, signed longs) of all fingerprints of ``fps`` (distinct ``fp``) within ``radius`` bits."""
     assert 0 <= radius < blocks
-    spark = fps.sparkSession
-    masks = _masks(64, blocks, blocks - radius)
+    masks = _masks(list(range(64)), blocks, blocks - radius)
     keyed = fps.select("fp", F.explode(_keys(masks)).alias("k")).select("fp", "k.mask", "k.key")
     held = materialise(keyed.groupBy("mask", "key").agg(F.count("*").alias("members")).where("members > 1"), "simhash-buckets")
     rows = materialise(keyed.join(held, ["mask", "key"]), "simhash-members")
     dense = rows.where(F.col("members") > split_at)
     free = [[p for p in range(64) if not m >> p & 1] for m in masks]
-    finer = [_masks(64, blocks, blocks - radius, f) for f in free]
+    finer = [_masks(f, blocks, blocks - radius) for f in free]
     again = reduce(  # the bits a mask leaves free are dealt once more; each mask has its own
         lambda whens, k: whens.when(F.col("mask") == k, F.array(*[F.struct(F.lit(1000 * (k + 1) + n).alias("sub"), F.col("fp").bitwiseAND(F.lit(_long(m | masks[k])).cast("long")).alias("subkey")) for n, m in enumerate(finer[k])])),
         range(1, len(masks)),
@@ -177,14 +193,27 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, split_at:
     dealt = rows.where(F.col("members") <= split_at).select("fp", "mask", "key").unionByName(dense)
     reference = pivot_fingerprints(pivots)
 
-    def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = np.sort(pdf["fp"].to_numpy(np.int64))
-        top = own[forest(own.view(np.uint64), radius, reference)]
-        keep = top != own
-        return pd.DataFrame({"a": own[keep], "b": top[keep]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.zeros((3, 0), np.int64)  # the bucket that the last batch may not have ended; at most 2**16 rows
+        for batch in _and_end(batches):
+            if batch is not None:
+                rest = np.concatenate([rest, np.stack([np.asarray(c, np.int64) for c in batch.columns])], axis=1)
+            new = np.flatnonzero((np.diff(rest[:2], axis=1) != 0).any(axis=0)) + 1
+            cut = rest.shape[1] if batch is None else (int(new[-1]) if len(new) else 0)
+            if cut:
+                a, b = bucket_links(rest[2, :cut], np.concatenate([[0], new[new < cut], [cut]]), radius, reference)
+                rest = rest[:, cut:]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    members = rows.count()
+    ordered = dealt.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").select(F.col("mask").cast("long"), "key", "fp")
+    return materialise(ordered.mapInArrow(run, "a long, b long").distinct(), "simhash-links", members)
+
 
-    found = dealt.groupBy("mask", "key").applyInPandas(bucket, "a long, b long")
-    return materialise(found.distinct(), "simhash-links")
+def _and_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -193,24 +222,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating stars: a large star hangs every greater neighbour of a node on the least node it sees; a small star hangs
     the lesser neighbours on the least. Rounds are written out, so no lineage grows; they end when nothing changes.
     """
-    spark = edges.sparkSession
-    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+    size = edges.count()
+    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars", size)
 
     def state(df: DataFrame):
         return df.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
 
-    def least(df: DataFrame) -> DataFrame:
-        return materialise(df.groupBy("a").agg(F.min("b").alias("m")), "star-least")
+    def least(df: DataFrame, rows: int) -> DataFrame:
+        return materialise(df.groupBy("a").agg(F.min("b").alias("m")), "star-least", rows)
 
     before = state(now)
     for _ in range(max_rounds):
+        size = before[0]
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = least(both).withColumn("m", F.least("a", "m"))
+        low = least(both, 2 * size).withColumn("m", F.least("a", "m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialise(large.where("a <> b").distinct(), "large-star")
-        low = least(large)
+        large = materialise(large.where("a <> b").distinct(), "large-star", size)
+        low = least(large, size)
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        now = materialise(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "small-star")
+        now = materialise(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "small-star", 2 * size)
         after = state(now)
         if after == before:
             break
@@ -218,16 +248,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+    return materialise(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots), "star-roots", 2 * before[0])
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, split_at: int = SPLIT_AT) -> DataFrame:
     """``id_col``, ``fp`` and ``component_id`` (the least id reachable over links of ``radius`` bits) of every row of ``df``."""
     rows = materialise(fingerprints(df, id_col, text_col), "simhash-fingerprints")
     least = materialise(rows.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
-    roots = materialise(components(links(least.select("fp"), radius, split_at=split_at)), "simhash-roots")
+    roots = components(links(least.select("fp"), radius, split_at=split_at))
+    linked = roots.count()
     tied = roots.join(least.withColumnRenamed("fp", "node"), "node")
-    top = materialise(tied.groupBy("root").agg(F.min("least").alias("top")), "simhash-tops")
+    top = materialise(tied.groupBy("root").agg(F.min("least").alias("top")), "simhash-tops", linked)
     of_node = roots.join(top, "root").select(F.col("node").alias("fp"), "top")
     named = least.join(of_node, "fp", "left").select("fp", F.coalesce("top", "least").alias("component_id"))
     named = materialise(named, "simhash-named")
