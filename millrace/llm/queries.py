@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from millrace.llm.bpe import op5_bpe
 from millrace.llm.langid import op8_langid
+from millrace.llm.pu_quality import op4_quality
 from millrace.llm.simhash import op9_simhash
 from millrace.llm.spaced_seeds import op2_decontaminate
+from millrace.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
+    "op6_toxicity": op6_toxicity,
     "op8_langid": op8_langid,
     "op9_simhash": op9_simhash,
 }
