@@ -1,14 +1,627 @@
-"""Registered queries over the sample tables and the SQL that checks them."""
+"""Registered queries over the sample tables and the SQL that checks them.
+
+Every query runs a step of the library over a whole table. Computed floats are rounded on both sides, since sums are added in
+different orders. Steps whose result SQL cannot state (iterative or greedy ones) have no SQL here; tests cover them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import millrace as mr
+from millrace.functions import text
+from millrace.functions.selectors import col
+from millrace.functions.stats import correlations, iqr_fences, skewnesses
+from millrace.functions.words import CONTRACTIONS, STOPWORDS
+from millrace.operators import eda, pii
+from millrace.plans.pipeline import CleanConfig, Pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query and, if there is one, its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity > 0")
+    """lineitem through the cleaning pipeline with outlier removal, then scaled."""
+    config = CleanConfig(process_text=False, expand_json=False, symbols_to_float=False, strip_symbols=False, mask_pii=False, remove_outliers=True, collinearity=0.9)
+    return mr.scale_numeric(Pipeline(config).run(table(spark, sf_dir, "lineitem")), "standard", ["l_extendedprice", "l_discount"])
+
+
+def rounded(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
+    return df.select(*[(F.round(col(c).cast("double"), digits) if c in columns else col(c)).alias(c) for c in df.columns])
+
+
+def rank(x: str, q: str) -> str:
+    """SQL for the nearest-rank quantile of a column as an aggregate."""
+    return f"list_sort(list({x}))[1 + CAST(floor(CAST({q} AS DOUBLE) * (count({x}) - 1) + 0.5) AS BIGINT)]"
+
+
+def fences(x: str, source: str, name: str) -> str:
+    """SQL for a table of one row with the fences of ``x``."""
+    return f"{name} AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (SELECT {rank(x, '0.25')} AS q1, {rank(x, '0.75')} AS q3 FROM {source}))"
+
+
+LINE = "l_orderkey, l_linenumber"
+
+# outliers -----------------------------------------------------------------------------------------------------------
+
+
+@query("iqr_filter_extendedprice", f"WITH {fences('l_extendedprice', 'lineitem', 'f')} SELECT {LINE}, l_extendedprice FROM lineitem, f WHERE l_extendedprice BETWEEN lo AND hi")
+def _(spark, sf):
+    return mr.remove_outliers(table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("int").alias("l_orderkey"), "l_linenumber", "l_extendedprice")).select(F.col("l_orderkey").cast("long").alias("l_orderkey"), "l_linenumber", "l_extendedprice")
+
+
+@query("iqr_bounds_orders", f"WITH {fences('o_totalprice', 'orders', 'f')} SELECT round(lo, 6) AS lo, round(hi, 6) AS hi FROM f")
+def _(spark, sf):
+    lo, hi = iqr_fences(table(spark, sf, "orders"), ["o_totalprice"])["o_totalprice"]
+    return spark.createDataFrame([(lo, hi)], "lo double, hi double").select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+@query(
+    "remove_outliers_sequential",
+    f"WITH {fences('l_quantity', 'lineitem', 'f1')}, t1 AS (SELECT l.* FROM lineitem l, f1 WHERE l_quantity BETWEEN lo AND hi), {fences('l_extendedprice', 't1', 'f2')}, "
+    f"t2 AS (SELECT t1.* FROM t1, f2 WHERE l_extendedprice BETWEEN lo AND hi), {fences('l_discount', 't2', 'f3')} SELECT {LINE}, l_quantity, l_extendedprice, l_discount FROM t2, f3 WHERE l_discount BETWEEN lo AND hi",
+)
+def _(spark, sf):
+    df = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("l_orderkey"), "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
+    return mr.remove_outliers(df).withColumn("l_orderkey", F.col("l_orderkey").cast("long"))
+
+
+@query("outlier_rows_orders", f"WITH {fences('o_totalprice', 'orders', 'f')} SELECT o_orderkey, o_totalprice FROM orders, f WHERE o_totalprice < lo OR o_totalprice > hi")
+def _(spark, sf):
+    return mr.check_outliers(table(spark, sf, "orders"))["o_totalprice"].select("o_orderkey", "o_totalprice")
+
+
+@query("zscore_filter", "WITH s AS (SELECT avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS d FROM customer) SELECT c_custkey, c_acctbal FROM customer, s WHERE abs((c_acctbal - m) / d) <= 1.5")
+def _(spark, sf):
+    return mr.remove_outliers_zscore(table(spark, sf, "customer"), 1.5, ["c_acctbal"]).select("c_custkey", "c_acctbal")
+
+
+@query("mad_filter", "WITH m AS (SELECT median(value) AS m FROM events), d AS (SELECT median(abs(value - m)) AS d FROM events, m) SELECT event_id, value FROM events, m, d WHERE abs(CAST(0.6745 AS DOUBLE) * (value - m) / d) <= 1.2")
+def _(spark, sf):
+    return mr.remove_outliers_mad(table(spark, sf, "events"), 1.2, ["value"]).select("event_id", "value")
+
+
+@query("winsorize_price", f"WITH q AS (SELECT {rank('p_retailprice', '0.05')} AS lo, {rank('p_retailprice', '0.95')} AS hi FROM part) SELECT p_partkey, least(greatest(p_retailprice, lo), hi) AS p_retailprice FROM part, q")
+def _(spark, sf):
+    return mr.winsorize(table(spark, sf, "part"), columns=["p_retailprice"]).select("p_partkey", "p_retailprice")
+
+
+@query(
+    "outliers_by_group",
+    f"WITH q AS (SELECT l_returnflag AS g, {rank('l_extendedprice', '0.25')} AS q1, {rank('l_extendedprice', '0.75')} AS q3 FROM lineitem GROUP BY 1) SELECT {LINE}, l_returnflag, l_extendedprice FROM lineitem JOIN q ON g = l_returnflag WHERE l_extendedprice BETWEEN q1 - 0.8 * (q3 - q1) AND q3 + 0.8 * (q3 - q1)",
+)
+def _(spark, sf):
+    return mr.remove_outliers_by_group(table(spark, sf, "lineitem"), "l_returnflag", ["l_extendedprice"], 0.8).select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+
+
+_SKEW = "(avg(power({x} - m, 3)) / power(avg(power({x} - m, 2)), 1.5))"
+
+
+@query("skewness_report", " UNION ALL ".join(f"SELECT '{x}' AS name, round({_SKEW.format(x=x)}, 6) AS skewness FROM lineitem, (SELECT avg({x}) AS m FROM lineitem)" for x in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
+def _(spark, sf):
+    got = skewnesses(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return spark.createDataFrame(list(got.items()), "name string, skewness double").select("name", F.round("skewness", 6).alias("skewness"))
+
+
+@query("fix_skewness", f"WITH k AS (SELECT {_SKEW.format(x='value')} AS s FROM events, (SELECT avg(value) AS m FROM events)) SELECT event_id, round(CASE WHEN s > 1 THEN ln(value + 1) ELSE value END, 6) AS value FROM events, k")
+def _(spark, sf):
+    return rounded(mr.fix_skewness(table(spark, sf, "events").select(F.col("event_id").cast("string").alias("event_id"), "value")).withColumn("event_id", F.col("event_id").cast("long")), ["value"])
+
+
+_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("corr_pairs", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr FROM lineitem" for j, b in enumerate(_NUMBERS) for a in _NUMBERS[:j]))
+def _(spark, sf):
+    got = correlations(table(spark, sf, "lineitem"), _NUMBERS)
+    return spark.createDataFrame([(a, b, v) for (a, b), v in got.items()], "a string, b string, corr double").select("a", "b", F.round("corr", 6).alias("corr"))
+
+
+@query("collinear_drop", f"SELECT {LINE}, l_quantity, l_discount, l_tax FROM lineitem")
+def _(spark, sf):
+    df = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("l_orderkey"), "l_linenumber", "l_quantity", (F.col("l_quantity") * 0.9).alias("scaled"), "l_discount", "l_tax")
+    return mr.check_multicollinearity(df, 0.7).withColumn("l_orderkey", F.col("l_orderkey").cast("long"))
+
+
+# strings ------------------------------------------------------------------------------------------------------------
+
+
+@query("abs_negative_balance", "SELECT c_custkey, abs(c_acctbal) AS c_acctbal FROM customer")
+def _(spark, sf):
+    return mr.handle_negative_values(table(spark, sf, "customer")).select("c_custkey", "c_acctbal")
+
+
+@query("strip_symbols_priority", "SELECT o_orderkey, translate(o_orderpriority, '$₹,-•', '') AS o_orderpriority FROM orders")
+def _(spark, sf):
+    return mr.replace_symbols(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"))
+
+
+@query("symbols_to_float", "SELECT o_orderkey, o_totalprice AS price FROM orders")
+def _(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("$"), F.col("o_totalprice").cast("string")).alias("price"))
+    return mr.replace_symbols_and_convert_to_float(df)
+
+
+_SQUEEZE = "trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+@query("normalize_whitespace", f"SELECT conv_id, turn, {_SQUEEZE.format(x='text')} AS text FROM conversations")
+def _(spark, sf):
+    return mr.normalize_whitespace(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
+
+
+@query("normalize_whitespace_documents", f"SELECT doc_id, {_SQUEEZE.format(x='text')} AS text FROM documents")
+def _(spark, sf):
+    return mr.normalize_whitespace(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("normalize_unicode", "SELECT doc_id, regexp_replace(nfc_normalize(text), '[\\x00-\\x1f\\x7f]', '', 'g') AS text FROM documents")
+def _(spark, sf):
+    return mr.normalize_unicode(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("fix_mojibake", "SELECT doc_id, text FROM documents")
+def _(spark, sf):
+    broken = F.encode("text", "UTF-8")
+    df = table(spark, sf, "documents").select("doc_id", "text").where(F.col("text").rlike("^[\\x{00}-\\x{FF}]*$"))
+    rest = table(spark, sf, "documents").select("doc_id", "text").where(~F.col("text").rlike("^[\\x{00}-\\x{FF}]*$"))
+    return mr.fix_mojibake(df.select("doc_id", F.decode(broken, "ISO-8859-1").alias("text"))).unionByName(rest)
+
+
+@query("standardize_categories", "SELECT p_partkey, lower(trim(p_type)) AS p_type FROM part")
+def _(spark, sf):
+    return mr.standardize_categories(table(spark, sf, "part").select("p_partkey", "p_type"), ["p_type"])
+
+
+@query("standardize_casing", "SELECT n_nationkey, upper(n_name) AS n_name, lower(r_name) AS r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _(spark, sf):
+    df = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return mr.standardize_casing(df.select("n_nationkey", "n_name", "r_name"), {"n_name": "upper", "r_name": "lower"})
+
+
+@query("standardize_casing_title", "SELECT c_custkey, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) AS c_mktsegment FROM customer")
+def _(spark, sf):
+    return mr.standardize_casing(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), {"c_mktsegment": "title"})
+
+
+def _preprocess_sql() -> str:
+    """The chain in DuckDB: tokens through the contraction table, patterns in order, stopwords dropped."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    x = "array_to_string(list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), lambda w: coalesce(c[w], w)), ' ')"
+    for pattern, to in text.TEXT_STEPS:
+        x = f"regexp_replace({x}, {quote(pattern.replace('(?m)', ''))}, '{to}', 'g')"
+    table = "MAP {" + ", ".join(f"{quote(k)}: {quote(v)}" for k, v in CONTRACTIONS.items()) + "}"
+    stop = "[" + ", ".join(map(quote, STOPWORDS)) + "]"
+    return f"WITH m AS (SELECT {table} AS c, {stop} AS s) SELECT doc_id, array_to_string(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '' AND NOT list_contains(s, w)), ' ') AS text FROM documents, m"
+
+
+@query("preprocess_text", _preprocess_sql())
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", mr.preprocess_text(F.col("text")).alias("text"))
+
+
+# missing values -----------------------------------------------------------------------------------------------------
+
+@query("disguised_missing", "SELECT event_id, CASE WHEN event_id % 7 <> 0 AND event_id % 11 <> 0 THEN event_type END AS event_type FROM events")
+def _(spark, sf):
+    kind = F.when(F.col("event_id") % 7 == 0, "N/A").when(F.col("event_id") % 11 == 0, " Unknown ").otherwise(F.col("event_type"))
+    return mr.replace_disguised_missing(table(spark, sf, "events").select("event_id", kind.alias("event_type")))
+
+
+def labelled(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf, "labels"), "doc_id", "left")
+
+
+_LABELLED = "documents LEFT JOIN labels USING (doc_id)"
+
+
+@query("missing_indicators", f"SELECT doc_id, CAST(quality AS DOUBLE) AS quality, quality IS NULL AS quality_missing FROM {_LABELLED}")
+def _(spark, sf):
+    return mr.add_missing_indicators(labelled(spark, sf).select("doc_id", F.col("quality").cast("double").alias("quality")))
+
+
+@query("impute_mean", f"SELECT doc_id, round(coalesce(CAST(quality AS DOUBLE), avg(quality) OVER ()), 6) AS quality FROM {_LABELLED}")
+def _(spark, sf):
+    return rounded(mr.impute_missing(labelled(spark, sf), "mean", columns=["quality"]).select("doc_id", "quality"), ["quality"])
+
+
+@query("impute_median", f"SELECT doc_id, coalesce(CAST(quality AS DOUBLE), (SELECT median(quality) FROM labels JOIN documents USING (doc_id))) AS quality FROM {_LABELLED}")
+def _(spark, sf):
+    return mr.impute_missing(labelled(spark, sf), "median", columns=["quality"]).select("doc_id", "quality")
+
+
+@query("impute_constant", f"SELECT doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic FROM {_LABELLED}")
+def _(spark, sf):
+    return mr.impute_missing(labelled(spark, sf), "constant", constant_value=-1).select("doc_id", "quality", "toxic")
+
+
+@query("impute_mode", "WITH h AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS t FROM events) SELECT event_id, coalesce(t, (SELECT t FROM h WHERE t IS NOT NULL GROUP BY t ORDER BY count(*) DESC, t LIMIT 1)) AS event_type FROM h")
+def _(spark, sf):
+    return mr.impute_missing(table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("event_type")))
+
+
+def gaps(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", "user_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
+
+
+_GAPS = "h AS (SELECT event_id, user_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events)"
+
+
+@query("impute_ffill", f"WITH {_GAPS} SELECT event_id, user_id, last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS value FROM h")
+def _(spark, sf):
+    return mr.impute_missing(gaps(spark, sf), "ffill", columns=["value"], order_by="event_id", partition_by="user_id")
+
+
+@query("impute_bfill", f"WITH {_GAPS} SELECT event_id, user_id, first_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS value FROM h")
+def _(spark, sf):
+    return mr.impute_missing(gaps(spark, sf), "bfill", columns=["value"], order_by="event_id", partition_by="user_id")
+
+
+@query(
+    "impute_interpolate",
+    f"WITH {_GAPS}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS t FROM h), k AS (SELECT *, CASE WHEN value IS NOT NULL THEN t END AS kt FROM n), "
+    "b AS (SELECT *, last_value(value IGNORE NULLS) OVER w AS x0, last_value(kt IGNORE NULLS) OVER w AS t0, first_value(value IGNORE NULLS) OVER v AS x1, first_value(kt IGNORE NULLS) OVER v AS t1 FROM k "
+    "WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) "
+    "SELECT event_id, user_id, round(CASE WHEN value IS NOT NULL THEN value WHEN t1 > t0 THEN x0 + (x1 - x0) * (t - t0) / (t1 - t0) END, 6) AS value FROM b",
+)
+def _(spark, sf):
+    return rounded(mr.impute_missing(gaps(spark, sf), "interpolate", columns=["value"], order_by="event_id", partition_by="user_id"), ["value"])
+
+
+@query("impute_knn")
+def _(spark, sf):
+    df = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 9 != 0, F.col("p_retailprice")).alias("p_retailprice"), F.col("p_size").cast("double").alias("p_size"))
+    return mr.impute_missing(df, "knn", columns=["p_retailprice", "p_size"])
+
+
+@query("impute_mice")
+def _(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.when(F.col("l_orderkey") % 9 != 0, F.col("l_extendedprice")).alias("l_extendedprice"), F.when(F.col("l_orderkey") % 5 != 0, F.col("l_tax")).alias("l_tax"))
+    return rounded(mr.impute_missing(df, "mice", columns=["l_quantity", "l_extendedprice", "l_tax"]), ["l_extendedprice", "l_tax"], 4)
+
+
+@query("handle_missing_values")
+def _(spark, sf):
+    return mr.handle_missing_values(labelled(spark, sf).select("lang", "n_chars", F.col("quality").cast("double").alias("quality")))
+
+
+@query("missing_report", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, round((count(*) - count({c})) / count(*), 6) AS share FROM {_LABELLED}" for c in ("doc_id", "quality", "toxic")))
+def _(spark, sf):
+    return rounded(mr.missing_report(labelled(spark, sf).select("doc_id", "quality", "toxic")), ["share"])
+
+
+# columns ------------------------------------------------------------------------------------------------------------
+
+
+@query("standardize_column_names", "SELECT c_custkey AS customer_key, c_name AS full_name, c_acctbal AS full_name_1 FROM customer")
+def _(spark, sf):
+    return mr.standardize_column_names(table(spark, sf, "customer").select(F.col("c_custkey").alias(" customerKey "), F.col("c_name").alias("Full Name!"), F.col("c_acctbal").alias("full__name")))
+
+
+@query("drop_high_missing", "SELECT doc_id, lang, n_chars FROM documents")
+def _(spark, sf):
+    return mr.drop_high_missing_columns(labelled(spark, sf), 0.5)
+
+
+@query("drop_empty", "SELECT doc_id, CAST(quality AS DOUBLE) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
+def _(spark, sf):
+    df = labelled(spark, sf).select("doc_id", F.col("quality").cast("double").alias("quality"), F.lit(None).cast("string").alias("nothing"))
+    empty = df.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+    return mr.drop_empty_rows_and_columns(df.unionByName(empty))
+
+
+@query("drop_duplicate_columns", "SELECT c_custkey, c_acctbal, c_name FROM customer")
+def _(spark, sf):
+    return mr.remove_duplicate_columns(table(spark, sf, "customer").select("c_custkey", "c_acctbal", F.col("c_custkey").alias("again"), "c_name", F.col("c_name").alias("name_again")))
+
+
+@query("drop_id_like", "SELECT c_nationkey, c_mktsegment FROM customer")
+def _(spark, sf):
+    return mr.drop_id_like_columns(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+
+
+@query("cardinality", "SELECT 'event_type' AS name, count(DISTINCT event_type) AS n FROM events UNION ALL SELECT 'props', count(DISTINCT props) FROM events")
+def _(spark, sf):
+    return spark.createDataFrame(list(mr.check_cardinality(table(spark, sf, "events"))[1].items()), "name string, n long")
+
+
+@query("expand_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS props_k FROM events")
+def _(spark, sf):
+    return mr.fix_json_columns(table(spark, sf, "events").select("event_id", "props"))
+
+
+@query("column_types", "SELECT 'event_type' AS name, 'categorical' AS type UNION ALL SELECT 'props', 'json'")
+def _(spark, sf):
+    _, report = mr.detect_column_types_and_process_text(table(spark, sf, "events").select("event_type", "props"))
+    return spark.createDataFrame([(c, r["type"]) for c, r in report.items()], "name string, type string")
+
+
+# types --------------------------------------------------------------------------------------------------------------
+
+
+@query("parse_dates", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders")
+def _(spark, sf):
+    return mr.parse_dates(table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd.MM.yyyy").alias("day"))).withColumn("day", F.col("day").cast("string"))
+
+
+@query("date_parts", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS o_orderdate_year, CAST(month(o_orderdate) AS INT) AS o_orderdate_month, CAST(day(o_orderdate) AS INT) AS o_orderdate_day, CAST(isodow(o_orderdate) AS INT) AS o_orderdate_weekday, CAST(quarter(o_orderdate) AS INT) AS o_orderdate_quarter FROM orders")
+def _(spark, sf):
+    return mr.extract_date_parts(table(spark, sf, "orders").select("o_orderkey", "o_orderdate")).drop("o_orderdate")
+
+
+@query("normalize_booleans", "SELECT doc_id, quality = 1 AS quality FROM labels")
+def _(spark, sf):
+    return mr.normalize_booleans(table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, " Yes").otherwise("off").alias("quality")))
+
+
+@query("downcast", "SELECT p_partkey, CAST(p_size AS TINYINT) AS p_size, CAST(p_retailprice AS FLOAT) AS p_retailprice FROM part")
+def _(spark, sf):
+    df = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("p_partkey"), "p_size", "p_retailprice")
+    return mr.downcast_numeric(df).withColumn("p_partkey", F.col("p_partkey").cast("long"))
+
+
+# categories ---------------------------------------------------------------------------------------------------------
+
+
+@query("rare_categories", "SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand) / count(*) OVER () < 0.04 THEN 'Other' ELSE p_brand END AS p_brand FROM part")
+def _(spark, sf):
+    return mr.group_rare_categories(table(spark, sf, "part").select("p_partkey", "p_brand"), 0.04, columns=["p_brand"])
+
+
+@query("value_map", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'construction' WHEN 'MACHINERY' THEN 'tools' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def _(spark, sf):
+    return mr.replace_values(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), {"c_mktsegment": {"BUILDING": "construction", "MACHINERY": "tools"}})
+
+
+@query("encode_onehot", "SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INT) AS \"o_orderstatus_F\", CAST(o_orderstatus = 'O' AS INT) AS \"o_orderstatus_O\", CAST(o_orderstatus = 'P' AS INT) AS \"o_orderstatus_P\" FROM orders")
+def _(spark, sf):
+    return mr.encode_categorical(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"))
+
+
+@query("encode_frequency", "SELECT event_id, count(*) OVER (PARTITION BY event_type) AS event_type FROM events")
+def _(spark, sf):
+    return mr.encode_categorical(table(spark, sf, "events").select("event_id", "event_type"), "frequency")
+
+
+@query("encode_ordinal", "SELECT event_id, dense_rank() OVER (ORDER BY event_type) - 1 AS event_type FROM events")
+def _(spark, sf):
+    return mr.encode_categorical(table(spark, sf, "events").select("event_id", "event_type"), "ordinal")
+
+
+@query("encode_label", "WITH f AS (SELECT event_type, row_number() OVER (ORDER BY min(event_id)) - 1 AS n FROM events GROUP BY 1) SELECT event_id, n AS event_type FROM events JOIN f USING (event_type)")
+def _(spark, sf):
+    return mr.encode_categorical(table(spark, sf, "events").select("event_id", "event_type"), "label", order_by="event_id")
+
+
+@query("encode_target", "SELECT event_id, round(avg(value) OVER (PARTITION BY event_type), 6) AS event_type FROM events")
+def _(spark, sf):
+    return rounded(mr.encode_categorical(table(spark, sf, "events").select("event_id", "event_type", "value"), "target", target="value").select("event_id", "event_type"), ["event_type"])
+
+
+@query("fuzzy_cluster")
+def _(spark, sf):
+    return mr.fuzzy_cluster_categories(table(spark, sf, "part").select("p_partkey", "p_type"), ["p_type"], 95)
+
+
+# duplicates ---------------------------------------------------------------------------------------------------------
+
+
+@query("dedup_rows", "SELECT DISTINCT text, lang FROM documents")
+def _(spark, sf):
+    return mr.handle_duplicates(table(spark, sf, "documents").select("text", "lang"))
+
+
+for _keep, _order in (("first", "ASC"), ("last", "DESC")):
+
+    @query(f"dedup_subset_{_keep}", f"SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id {_order}) AS n FROM events) WHERE n = 1")
+    def _(spark, sf, keep=_keep):
+        return mr.drop_duplicates_subset(table(spark, sf, "events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], keep, "event_id")
+
+
+@query("dedup_subset_none", "SELECT event_id, user_id, event_type FROM (SELECT *, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events) WHERE n = 1")
+def _(spark, sf):
+    return mr.drop_duplicates_subset(table(spark, sf, "events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], "none")
+
+
+@query("fuzzy_dedup")
+def _(spark, sf):
+    return mr.fuzzy_deduplicate(table(spark, sf, "part").select("p_partkey", "p_name"), ["p_name"], 90, order_by="p_partkey")
+
+
+@query("near_dup_text")
+def _(spark, sf):
+    return mr.near_duplicate_text(table(spark, sf, "benchmark"), "text", 90, order_by="item_id").select("item_id", "text_near_dup")
+
+
+# scaling, binning ---------------------------------------------------------------------------------------------------
+
+
+@query("scale_minmax", "SELECT p_partkey, round((p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()), 6) AS p_retailprice FROM part")
+def _(spark, sf):
+    return rounded(mr.scale_numeric(table(spark, sf, "part").select("p_partkey", "p_retailprice"), "minmax", ["p_retailprice"]), ["p_retailprice"])
+
+
+@query("scale_standard", f"SELECT {LINE}, round((l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_samp(l_extendedprice) OVER (), 6) AS l_extendedprice FROM lineitem")
+def _(spark, sf):
+    return rounded(mr.scale_numeric(table(spark, sf, "lineitem"), "standard", ["l_extendedprice"]).select("l_orderkey", "l_linenumber", "l_extendedprice"), ["l_extendedprice"])
+
+
+@query("scale_robust", f"WITH q AS (SELECT median(l_quantity) AS m, {rank('l_quantity', '0.25')} AS q1, {rank('l_quantity', '0.75')} AS q3 FROM lineitem) SELECT {LINE}, round((l_quantity - m) / (q3 - q1), 6) AS l_quantity FROM lineitem, q")
+def _(spark, sf):
+    return rounded(mr.scale_numeric(table(spark, sf, "lineitem"), "robust", ["l_quantity"]).select("l_orderkey", "l_linenumber", "l_quantity"), ["l_quantity"])
+
+
+_BIN = "CASE WHEN l_quantity <= {a} THEN '(-inf, ' || {ta} || ']' WHEN l_quantity <= {b} THEN '(' || {ta} || ', ' || {tb} || ']' WHEN l_quantity <= {c} THEN '(' || {tb} || ', ' || {tc} || ']' ELSE '(' || {tc} || ', inf]' END"
+_INT = {f"t{k}": f"CAST(CAST(b{i} AS BIGINT) AS VARCHAR)" for i, k in ((1, "a"), (2, "b"), (3, "c"))} | {"a": "b1", "b": "b2", "c": "b3"}
+
+
+@query("bin_quantile", f"WITH q AS (SELECT {rank('l_quantity', '0.25')} AS b1, {rank('l_quantity', '0.5')} AS b2, {rank('l_quantity', '0.75')} AS b3 FROM lineitem) SELECT {LINE}, {_BIN.format(**_INT)} AS l_quantity_bin FROM lineitem, q")
+def _(spark, sf):
+    return mr.bin_numeric(table(spark, sf, "lineitem"), ["l_quantity"], 4).select("l_orderkey", "l_linenumber", "l_quantity_bin")
+
+
+@query("bin_uniform", f"WITH m AS (SELECT min(l_quantity) AS lo, (max(l_quantity) - min(l_quantity)) / 4 AS s FROM lineitem), q AS (SELECT lo + s AS b1, lo + 2 * s AS b2, lo + 3 * s AS b3 FROM m) SELECT {LINE}, CAST(CASE WHEN l_quantity <= b1 THEN 1 WHEN l_quantity <= b2 THEN 2 WHEN l_quantity <= b3 THEN 3 ELSE 4 END AS INT) AS l_quantity_bin FROM lineitem, q")
+def _(spark, sf):
+    df = mr.bin_numeric(table(spark, sf, "lineitem"), ["l_quantity"], 4, "uniform")
+    labels = [r[0] for r in df.groupBy("l_quantity_bin").agg(F.min("l_quantity").alias("m")).orderBy("m").collect()]
+    return df.select("l_orderkey", "l_linenumber", F.array_position(F.array(*map(F.lit, labels)), F.col("l_quantity_bin")).cast("int").alias("l_quantity_bin"))
+
+
+# validation ---------------------------------------------------------------------------------------------------------
+
+
+@query("range_null", f"SELECT {LINE}, CASE WHEN l_quantity BETWEEN 5 AND 40 THEN l_quantity END AS l_quantity FROM lineitem")
+def _(spark, sf):
+    return mr.apply_range_rules(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), {"l_quantity": (5.0, 40.0)})
+
+
+@query("range_clip", f"SELECT {LINE}, least(greatest(l_quantity, 5), 40) AS l_quantity FROM lineitem")
+def _(spark, sf):
+    return mr.apply_range_rules(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), {"l_quantity": (5.0, 40.0)}, "clip")
+
+
+@query("range_drop", f"SELECT {LINE}, l_quantity FROM lineitem WHERE l_quantity BETWEEN 5 AND 40")
+def _(spark, sf):
+    return mr.apply_range_rules(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), {"l_quantity": (5.0, 40.0)}, "drop")
+
+
+@query("cross_field", "SELECT 'shipped_after_order' AS name, count(*) FILTER (WHERE l_shipdate < o_orderdate) AS violations FROM lineitem JOIN orders ON o_orderkey = l_orderkey UNION ALL SELECT 'small_tax', count(*) FILTER (WHERE l_tax > 0.05) FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def _(spark, sf):
+    df = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    _, report = mr.check_cross_field(df, {"shipped_after_order": F.col("l_shipdate") >= F.col("o_orderdate"), "small_tax": "l_tax <= 0.05D"})
+    return spark.createDataFrame(list(report.items()), "name string, violations long")
+
+
+@query("validate_formats", "SELECT page_id, url, regexp_matches(url, '^https?://[^\\s]+$') AS url_valid FROM pages")
+def _(spark, sf):
+    return mr.validate_formats(table(spark, sf, "pages").select("page_id", "url"), {"url": "url"})
+
+
+@query("referential_integrity", "SELECT count(*) AS bad FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)")
+def _(spark, sf):
+    _, bad = mr.check_referential_integrity(table(spark, sf, "orders"), "o_custkey", table(spark, sf, "customer").where("c_nationkey < 20").select("c_custkey"))
+    return spark.createDataFrame([(bad,)], "bad long")
+
+
+# domains ------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "canonical_urls",
+    "WITH p AS (SELECT page_id, regexp_extract(url, '^([^:/?#]+)://([^/?#]*)([^?#]*)([?][^#]*)?', ['s', 'h', 'p', 'q']) AS u FROM pages) SELECT page_id, lower(u.s) || '://' || lower(u.h) || rtrim(u.p, '/') || CASE WHEN u.q = '?' THEN '' ELSE u.q END AS url FROM p",
+)
+def _(spark, sf):
+    return mr.canonicalize_urls(table(spark, sf, "pages").select("page_id", "url"), ["url"])
+
+
+@query("country_map", "SELECT n_nationkey, CASE lower(n_name) WHEN 'united states' THEN 'USA!' WHEN 'india' THEN 'India' ELSE lower(n_name) END AS n_name FROM nation")
+def _(spark, sf):
+    return mr.standardize_country_region(table(spark, sf, "nation").select("n_nationkey", "n_name"), ["n_name"], {"United States": "USA!"})
+
+
+@query("currency", "SELECT o_orderkey, round(o_totalprice * CAST(0.92 AS DOUBLE), 6) AS o_totalprice FROM orders")
+def _(spark, sf):
+    return rounded(mr.convert_currency(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"], {"o_totalprice": 0.92}), ["o_totalprice"])
+
+
+@query("phones", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '+1415555' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') END AS phone FROM customer")
+def _(spark, sf):
+    tail = F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")
+    raw = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("(415) 555-"), tail)).otherwise(F.concat(F.lit("123-"), tail))
+    return mr.normalize_phone_numbers(table(spark, sf, "customer").select("c_custkey", raw.alias("phone")), ["phone"])
+
+
+@query("emails", "SELECT c_custkey, lower(c_name) || '@example.com' AS mail, NOT contains(c_name, ' ') AS mail_valid FROM customer")
+def _(spark, sf):
+    return mr.normalize_emails(table(spark, sf, "customer").select("c_custkey", F.concat(F.lit(" "), "c_name", F.lit("@Example.com ")).alias("mail")), ["mail"])
+
+
+# balance ------------------------------------------------------------------------------------------------------------
+
+
+@query("problem_type", "SELECT CASE WHEN count(DISTINCT quality) > 10 THEN 'regression' ELSE 'classification' END AS quality, 'regression' AS n_chars FROM documents LEFT JOIN labels USING (doc_id)")
+def _(spark, sf):
+    df = labelled(spark, sf)
+    return spark.createDataFrame([(mr.check_problem_type(df, "quality"), mr.check_problem_type(df, "n_chars"))], "quality string, n_chars string")
+
+
+@query("undersample_counts", "WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1) SELECT quality, min(n) OVER () AS n FROM c")
+def _(spark, sf):
+    return mr.check_and_handle_imbalance(table(spark, sf, "labels"), "quality", "under").groupBy("quality").agg(F.count("*").alias("n"))
+
+
+@query("oversample_counts", "WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1) SELECT quality, max(n) OVER () AS n FROM c")
+def _(spark, sf):
+    return mr.check_and_handle_imbalance(table(spark, sf, "labels"), "quality", "over").groupBy("quality").agg(F.count("*").alias("n"))
+
+
+@query("isolation_forest")
+def _(spark, sf):
+    return mr.remove_outliers_isolation_forest(table(spark, sf, "part"), columns=["p_size", "p_retailprice"]).select("p_partkey", "p_size", "p_retailprice")
+
+
+# languages, PII, profile --------------------------------------------------------------------------------------------
+
+
+@query("detect_language")
+def _(spark, sf):
+    return mr.detect_language(table(spark, sf, "documents").select("doc_id", "text", "lang"), "text", "guess").select("doc_id", "guess")
+
+
+@query("pii_mask", f"SELECT doc_id, regexp_replace(regexp_replace(text, '{pii.KINDS['EMAIL_ADDRESS']}', '<EMAIL_ADDRESS>', 'g'), '{pii.KINDS['IP_ADDRESS']}', '<IP_ADDRESS>', 'g') AS text_masked FROM documents")
+def _(spark, sf):
+    only = lambda x: F.regexp_replace(F.regexp_replace(x, pii.KINDS["EMAIL_ADDRESS"], "<EMAIL_ADDRESS>"), pii.KINDS["IP_ADDRESS"], "<IP_ADDRESS>")
+    return mr.detect_and_mask_pii(table(spark, sf, "documents").select("doc_id", "text"), columns=["text"], masker=only).drop("text")
+
+
+@query("pii_mask_all")
+def _(spark, sf):
+    return mr.detect_and_mask_pii(table(spark, sf, "documents").select("doc_id", "text"), columns=["text"]).drop("text")
+
+
+@query("value_counts_top20", "SELECT p_type AS value, count(*) AS count FROM part GROUP BY 1 ORDER BY count DESC, value LIMIT 20")
+def _(spark, sf):
+    return eda.value_counts(table(spark, sf, "part"), "p_type")
+
+
+@query("histogram", "WITH m AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), b AS (SELECT CAST(least(floor((l_extendedprice - lo) / ((hi - lo) / 20)) + 1, 20) AS INT) AS bin FROM lineitem, m) SELECT bin, count(*) AS count FROM b GROUP BY 1")
+def _(spark, sf):
+    return eda.histogram(table(spark, sf, "lineitem"), "l_extendedprice").select("bin", "count")
+
+
+@query(
+    "kpis",
+    "SELECT count(*) AS rows, CAST(4 AS BIGINT) AS columns, CAST(1 AS BIGINT) AS numeric, CAST(1 AS BIGINT) AS categorical, round((2 * count(*) - count(quality) - count(toxic)) / (4 * count(*)), 6) AS missing, CAST(0 AS BIGINT) AS duplicates FROM documents LEFT JOIN labels USING (doc_id)",
+)
+def _(spark, sf):
+    got = eda.kpis(labelled(spark, sf).select("doc_id", "lang", "quality", "toxic"))
+    return rounded(spark.createDataFrame([tuple(got.values())], "rows long, columns long, numeric long, categorical long, missing double, duplicates long"), ["missing"])
+
+
+@query("quality_issues")
+def _(spark, sf):
+    return eda.quality_issue_table(table(spark, sf, "customer"))
+
+
+@query("pipeline_customer")
+def _(spark, sf):
+    return mr.clean_data(table(spark, sf, "customer"))
