@@ -12,6 +12,9 @@ collected but the filter's words, whose number is fixed.
 
 Items longer than ``SEGMENT`` tokens are cut into overlapping segments of that length; one segment is enough.
 
+Every seed needs five agreeing words under one mask: in an item of fewer than about ten words a single changed word can
+break them all, so such items are found by exact copies.
+
 Defined cases: null and empty texts have no tokens; items of fewer than five tokens match nothing; equal items are reported
 each; repeated rows of one id give one row for an item; rows with a null id share the null id; texts are read whole.
 """
