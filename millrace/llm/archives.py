@@ -35,6 +35,8 @@ from millrace.llm.common import materialise, new_path, small_batches
 
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 8 << 20
+#: Bytes handed to the decompressor at once.
+PIECE = 1 << 13
 #: Salts over which the rows of one digest are spread.
 SALTS = 64
 #: Decisions up to this number are broadcast (about 100 bytes each); more are joined by shuffling.
@@ -93,10 +95,12 @@ def members(raw: bytes) -> Iterator[tuple[int, bytes]]:
         return
     at, view = 0, memoryview(raw)
     while at < len(raw) and raw[at : at + 2] == b"\x1f\x8b":
-        inflate = zlib.decompressobj(31)
-        data = inflate.decompress(view[at:])
-        yield at, data
-        at = len(raw) - len(inflate.unused_data)
+        inflate, parts, pos = zlib.decompressobj(31), [], at
+        while not inflate.eof and pos < len(raw):  # in pieces: what is left over after a member is copied
+            parts.append(inflate.decompress(view[pos : pos + PIECE]))
+            pos += PIECE
+        yield at, b"".join(parts)
+        at = min(pos, len(raw)) - len(inflate.unused_data)
 
 
 def parse_arc(raw: bytes, name: str) -> Iterator[ArcRecord]:
