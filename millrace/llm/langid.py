@@ -58,7 +58,11 @@ def _processor(path: str):
 
 
 def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+    """Runs of letters, lower-cased. Number forms such as fractions, which ``\\w`` takes too, end a word."""
+    words = _WORDS.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return "".join(c if c.isalpha() else " " for c in text.lower()).split()
 
 
 def count_pieces(df: DataFrame, text_col: str = "text", lang_col: str = "lang", path: str | None = None) -> DataFrame:

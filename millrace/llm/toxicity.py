@@ -34,6 +34,8 @@ EPOCHS = 12
 #: Weight of a toxic row's gradient: toxic rows are the rare ones.
 POSITIVE_WEIGHT = 4.0
 THRESHOLD = 0.7
+#: The learner's probability at which a text's score is ``THRESHOLD``: L1 shrinks weights, so the learner is too reserved.
+LEVEL = 0.3
 #: Stems are the first so many bytes of longer words.
 STEMS = (5, 6, 7)
 _WORDS = re.compile(r"\w+")
@@ -127,9 +129,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> Column:
-    """The probability (double) that a text of ``df`` is toxic."""
+    """How likely a text of ``df`` is toxic (double): the learner's log odds, moved so that ``LEVEL`` becomes ``THRESHOLD``."""
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
+    moved = np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(LEVEL / (1 - LEVEL)) if len(model.index) else 0.0
 
     @F.pandas_udf("double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -137,7 +140,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> Column:
         weights = np.zeros(1 << BITS, np.float32)
         weights[model.index] = model.weight
         for part in parts:
-            out = np.full(len(part), model.bias)
+            out = np.full(len(part), model.bias + moved)
             for k, text in enumerate(part):
                 at = features(text if isinstance(text, str) else None)
                 at = np.unique(at[weights[at] != 0])

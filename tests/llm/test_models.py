@@ -72,7 +72,7 @@ def test_toxicity_held_out(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     held = found.where("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").toPandas()
     assert auc(held.score, held.toxic) > 0.95
-    assert held[held.toxic == 1].predicted.mean() > 0.75 and held[held.toxic == 0].predicted.mean() < 0.01
+    assert held[held.toxic == 1].predicted.mean() > 0.8 and held[held.toxic == 0].predicted.mean() < 0.01
 
 
 def test_ftrl_against_its_formula():

@@ -102,7 +102,7 @@ def test_language_id_accuracy_and_cases(spark):
     held = rows.where(langid.crc_mod("doc_id", 3) == 1).withColumn("p", langid.predict(rows, model)).select("lang", "p.*").toPandas()
     held.columns = ["truth", "lang", "score"]
     assert (held.truth == held.lang).mean() > 0.98 and held.score.between(0, 1).all()
-    odd = docs(spark, [*ODD, "123 !!"]).withColumn("p", langid.predict(rows, model)).select("text", "p").collect()
+    odd = docs(spark, [*ODD, "123 !!", "½ ² Ⅷ ①", "½cup"]).withColumn("p", langid.predict(rows, model)).select("text", "p").collect()
     for r in odd:
         undetermined = not any(c.isalpha() for c in r.text or "")
         assert (r.p.lang == "und") == undetermined and (r.p.score == 0) == undetermined
