@@ -5,10 +5,10 @@ documents); every other word falls into one of ``BUCKETS`` hash buckets. The net
 side, each place with its own embedding weights, through one tanh layer, and gives the token's probability as that of its
 class times that within the class (both softmax), so that probabilities sum to one at a fraction of a full softmax's cost.
 
-Training is data parallel: each task takes Adagrad steps over the positions of its own documents (every ``STRIDE``-th
-position of every document, so what is learnt from grows with the corpus), starting from the same weights; the weights are
-averaged, weighted by positions, in rounds of bounded groups, and the next pass starts from the average. Scoring sums the
-log probabilities of all positions of a whole text.
+Training is data parallel: each task takes Adagrad steps over the positions of its own documents, starting from the same
+weights; the weights are averaged, weighted by positions, in rounds of bounded groups, and the next pass starts from the
+average. A pass takes every ``STRIDE``-th position of every document, each pass others, and there are as many passes as that:
+every position of the corpus is learnt from once. Scoring sums the log probabilities of all positions of a whole text.
 
 Defined cases: null and empty texts have no tokens, a score of 0 and no mean; a corpus without words leaves the network as
 initialised; ties in the vocabulary go by the word.
@@ -37,7 +37,7 @@ VOCABULARY = CLASSES * PER_CLASS
 WORDS = VOCABULARY - BUCKETS
 PAD = VOCABULARY
 REACH, EMBEDDING, HIDDEN = 2, 16, 32
-STRIDE, PASSES, BATCH, RATE = 16, 2, 1024, 0.08
+STRIDE, PASSES, BATCH, RATE = 2, 2, 1024, 0.08
 #: Weight vectors averaged in one group, and at most so many come to the driver.
 FAN_IN = 32
 #: Words a task counts before it passes its counts on.
@@ -100,9 +100,14 @@ def initial(seed: int = 1) -> np.ndarray:
     return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _slopes(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Slopes of the negative log softmax of each row at one place, over ``n``; ``x`` is used up."""
     x -= x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    x[np.arange(len(x)), at] -= 1
+    x /= n
+    return x
 
 
 def _hidden(net: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,36 +143,33 @@ def log_probabilities(net: dict[str, np.ndarray], context: np.ndarray, target: n
 def gradient(net: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Gradient (flat) of the mean negative log probability."""
     n = len(target)
+    order = np.argsort((target // PER_CLASS).astype(np.int8), kind="stable")  # a class is a slice
+    context, (kind, place) = context[order], np.divmod(target[order], PER_CLASS)
     x, h = _hidden(net, context)
-    kind, place = np.divmod(target, PER_CLASS)
     flat = np.zeros(sum(int(np.prod(s)) for s in SHAPES.values()), np.float32)
     g = unpack(flat)
-    d = np.exp(_log_softmax(h @ net["classes"] + net["classes_bias"]))
-    d[np.arange(n), kind] -= 1
-    d /= n
+    d = _slopes(h @ net["classes"] + net["classes_bias"], kind, n)
     g["classes"][:] = h.T @ d
     g["classes_bias"][:] = d.sum(axis=0)
     back = d @ net["classes"].T
-    order = np.argsort(kind, kind="stable")
-    cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        rows = order[cuts[c] : cuts[c + 1]]
-        if len(rows):
-            own = h[rows]
-            d = np.exp(_log_softmax(own @ net["words"][c] + net["words_bias"][c]))
-            d[np.arange(len(rows)), place[rows]] -= 1
-            d /= n
-            g["words"][c] = own.T @ d
-            g["words_bias"][c] = d.sum(axis=0)
-            back[rows] += d @ net["words"][c].T
+    cuts = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+    held = [(c, a, b) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    d = net["words_bias"][kind]
+    for c, a, b in held:
+        d[a:b] += h[a:b] @ net["words"][c]
+    d = _slopes(d, place, n)
+    g["words_bias"][[c for c, _, _ in held]] = np.add.reduceat(d, [a for _, a, _ in held], axis=0)
+    for c, a, b in held:
+        g["words"][c] = h[a:b].T @ d[a:b]
+        back[a:b] += d[a:b] @ net["words"][c].T
     back *= 1 - h * h
     g["inner"][:] = x.T @ back
     g["inner_bias"][:] = back.sum(axis=0)
     by_token = (back @ net["inner"].T).reshape(-1, EMBEDDING)
-    at = context.ravel()
+    at = context.ravel().astype(np.int16)
     order = np.argsort(at, kind="stable")
-    tokens, first = np.unique(at[order], return_index=True)
-    g["embedding"][tokens] = np.add.reduceat(by_token[order], first, axis=0)
+    first = np.flatnonzero(np.diff(at[order], prepend=-1))
+    g["embedding"][at[order[first]]] = np.add.reduceat(by_token[order], first, axis=0)
     return flat
 
 
@@ -193,7 +195,7 @@ class Model:
         return {w: k for k, w in enumerate(self.words)}
 
 
-def _trained(df: DataFrame, words: list[str], start: np.ndarray, turn: int, text_col: str, stride: int) -> DataFrame:
+def _trained(df: DataFrame, words: list[str], start: np.ndarray, turn: int, text_col: str, stride: int, passes: int = PASSES) -> DataFrame:
     """``shard``, ``n`` and ``w`` (32-bit floats): the weights each task reaches from ``start`` over its documents."""
     shared = df.sparkSession.sparkContext.broadcast((words, start))
 
@@ -211,8 +213,9 @@ def _trained(df: DataFrame, words: list[str], start: np.ndarray, turn: int, text
                 np.subtract(flat, RATE * g / np.sqrt(squares), out=flat)
 
         for batch in batches:
-            context, target, _ = windows([token_ids(x.as_py(), index) for x in batch.column(0)])
-            take = np.arange((turn * stride) // PASSES % stride, len(target), stride)
+            context, target, owner = windows([token_ids(x.as_py(), index) for x in batch.column(0)])
+            place = np.arange(len(target)) - np.searchsorted(owner, owner)
+            take = np.flatnonzero(place % stride == (turn * stride) // passes % stride)
             seen += len(take)
             left.append((context[take], target[take]))
             if sum(len(t) for _, t in left) >= BATCH:
@@ -255,7 +258,7 @@ def fit(df: DataFrame, text_col: str = "text", stride: int = STRIDE, passes: int
     small_batches(df.sparkSession)
     words, flat = vocabulary(df, text_col), initial()
     for turn in range(passes):
-        reached = average(_trained(df, words, flat, turn, text_col, stride))
+        reached = average(_trained(df, words, flat, turn, text_col, stride, passes))
         flat = flat if reached is None else reached
     return Model(words, flat)
 

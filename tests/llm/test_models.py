@@ -229,6 +229,17 @@ def test_training_beats_frequencies(spark):
     assert empty.words == [] and (empty.flat == lm.initial()).all()
 
 
+def test_every_position_is_learnt_from_once(spark, monkeypatch):
+    """Documents of 1 to 7 tokens, laid end to end in one task: the passes' counts add up to all tokens."""
+    frame = docs(spark, [" ".join(f"w{i}x{k}" for k in range(1 + i % 7)) for i in range(60)] + [None, ""]).coalesce(1)
+    learnt = []
+    average = lm.average
+    monkeypatch.setattr(lm, "average", lambda shards: learnt.append(sum(r.n for r in shards.select("n").collect())) or average(shards))
+    model = lm.fit(frame)
+    total = sum(1 + i % 7 for i in range(60))
+    assert sum(learnt) == total == len(model.words)
+
+
 def test_averaging_in_groups(spark, monkeypatch):
     monkeypatch.setattr(lm, "FAN_IN", 3)
     rng = np.random.default_rng(0)
