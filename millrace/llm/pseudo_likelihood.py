@@ -1,7 +1,9 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token from both sides.
 
-Words are lower-cased runs of word characters. The vocabulary is the ``WORDS`` most frequent of the corpus (counts over all
-documents); every other word falls into one of ``BUCKETS`` hash buckets. The network reads the ``REACH`` tokens on either
+Words are lower-cased runs of word characters, and every word of the corpus has its own probability (counts over all
+documents). The network's classes hold the ``WORDS`` most frequent; every other word falls into one of ``BUCKETS`` hash
+buckets, and its probability is that of the bucket times its share of the bucket's tokens in the corpus. The shares are joined
+in Spark, so their number may grow with the corpus while the network that tasks hold stays as it is. The network reads the ``REACH`` tokens on either
 side, each place with its own embedding weights, through one tanh layer, and gives the token's probability as that of its
 class times that within the class (both softmax), so that probabilities sum to one at a fraction of a full softmax's cost.
 
@@ -49,8 +51,8 @@ def words_of(text: str | None) -> list[str]:
     return _TOKENS.findall(text.lower()) if text else []
 
 
-def vocabulary(df: DataFrame, text_col: str = "text", size: int = WORDS) -> list[str]:
-    """The ``size`` most frequent words of all texts, most frequent first."""
+def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``word`` and ``n``: how often each word occurs in all texts."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,8 +66,16 @@ def vocabulary(df: DataFrame, text_col: str = "text", size: int = WORDS) -> list
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     counted = df.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r.word for r in top.collect()]
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counts: DataFrame, size: int = WORDS) -> list[str]:
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+
+
+def vocabulary(df: DataFrame, text_col: str = "text", size: int = WORDS) -> list[str]:
+    """The ``size`` most frequent words of all texts, most frequent first."""
+    return most_frequent(word_counts(df, text_col), size)
 
 
 def token_ids(text: str | None, index: dict[str, int]) -> np.ndarray:
@@ -254,9 +264,10 @@ def average(shards: DataFrame) -> np.ndarray | None:
     return _averaged(rows)[1] if len(rows) else None
 
 
-def fit(df: DataFrame, text_col: str = "text", stride: int = STRIDE, passes: int = PASSES) -> Model:
+def fit(df: DataFrame, text_col: str = "text", stride: int = STRIDE, passes: int = PASSES, words: list[str] | None = None) -> Model:
+    """``words``: the most frequent of ``df``, if they are known."""
     small_batches(df.sparkSession)
-    words, flat = vocabulary(df, text_col), initial()
+    words, flat = vocabulary(df, text_col) if words is None else words, initial()
     for turn in range(passes):
         reached = average(_trained(df, words, flat, turn, text_col, stride, passes))
         flat = flat if reached is None else reached
@@ -279,7 +290,10 @@ def pseudo_log_likelihoods(net: dict[str, np.ndarray], index: dict[str, int], te
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> Column:
-    """A struct column: ``n_tokens``, ``pll`` (the summed log probabilities) and ``mean`` (by token; null without tokens)."""
+    """A struct column: ``n_tokens``, ``pll`` (the summed log probabilities) and ``mean`` (by token; null without tokens).
+
+    By the network alone: a word beyond its classes counts with its bucket's probability. ``log_likelihoods`` has all words' own.
+    """
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -294,8 +308,48 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> Column:
     return scored
 
 
+def word_shares(counts: DataFrame, words: list[str]) -> DataFrame:
+    """``word`` and ``log_share`` (of its bucket's tokens) of all counted words that are not among ``words``."""
+    spark = counts.sparkSession
+    known = spark.createDataFrame([(w,) for w in words], "word string")
+    rare = counts.join(F.broadcast(known), "word", "left_anti").withColumn("bucket", F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(BUCKETS)))
+    totals = rare.groupBy("bucket").agg(F.sum("n").alias("total"))
+    return rare.join(F.broadcast(totals), "bucket").select("word", (F.log("n") - F.log("total")).alias("log_share"))
+
+
+def log_likelihoods(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, ``n_tokens``, ``pll`` and ``mean`` of every row of ``df``, each word with its own probability.
+
+    ``counts`` are those of the corpus (``word_counts``), ``df`` included. Texts are read once; of each, the words that have
+    no place in the network go on with their numbers and meet their shares in a join.
+    """
+    small_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    names = ["row", id_col, "n_tokens", "net", "rare", "times"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, index = unpack(shared.value.flat), shared.value.index()
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            n, sums = pseudo_log_likelihoods(net, index, texts)
+            rare = [Counter(w for w in words_of(t) if w not in index) for t in texts]
+            columns = [pa.array(np.arange(row, row + len(texts))), batch.column(0), pa.array(n), pa.array(sums)]
+            columns += [pa.array(list(map(list, rare)), pa.list_(pa.string())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int64()))]
+            row += len(texts)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    src = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    scored = src.mapInArrow(run, f"row long, `{id_col}` {src.schema[0].dataType.simpleString()}, n_tokens long, net double, rare array<string>, times array<long>")
+    scored = materialise(scored, "lm-scored")
+    each = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("e")).select("row", F.col("e.rare").alias("word"), F.col("e.times").alias("times"))
+    within = each.join(word_shares(counts, model.words), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_share")).alias("within"))
+    pll = F.col("net") + F.coalesce("within", F.lit(0.0))
+    return scored.select(*names[:4]).join(within, "row", "left").select(id_col, "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).alias("mean"))
+
+
 def op10_pseudo_likelihood(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit(docs)
-    scored = docs.select("doc_id", score(docs, model).alias("s"))
-    return scored.select("doc_id", "s.n_tokens", "s.pll", F.nanvl("s.mean", F.lit(None)).alias("mean_log_probability"))
+    counts = materialise(word_counts(docs), "lm-words")
+    model = fit(docs, words=most_frequent(counts))
+    return log_likelihoods(docs, model, counts).select("doc_id", "n_tokens", "pll", F.col("mean").alias("mean_log_probability"))

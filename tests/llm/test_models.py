@@ -240,6 +240,26 @@ def test_every_position_is_learnt_from_once(spark, monkeypatch):
     assert sum(learnt) == total == len(model.words)
 
 
+def test_every_word_has_its_own_probability(spark):
+    """Rare words of one bucket differ by their counts, and the probabilities of all words sum to one."""
+    bucket = lambda w: lm.token_ids(w, {})[0]
+    twin = next(w for w in (f"w{k}" for k in range(10_000)) if bucket(w) == bucket("rare"))
+    texts = ["rare"] * 3 + [twin, "the", None, "", "the " + " ".join(f"v{k}" for k in range(2000))]
+    frame = docs(spark, texts).repartition(3)
+    model = lm.Model(["the"], lm.initial())
+    found = {r.doc_id: r for r in lm.log_likelihoods(frame, model, lm.word_counts(frame)).collect()}
+    shares = {r.word: r.log_share for r in lm.word_shares(lm.word_counts(frame), model.words).collect()}
+    assert len(found) == len(texts) and len(shares) == 2002
+    assert found[0].pll - found[3].pll == pytest.approx(np.log(3), abs=1e-5)
+    assert found[5].pll == found[6].pll == 0 and found[5].mean is None and found[6].n_tokens == 0
+    net, index = lm.unpack(model.flat), model.index()
+    for i in (0, 4, 7):
+        n, sums = lm.pseudo_log_likelihoods(net, index, [texts[i]])
+        assert found[i].n_tokens == n[0] and found[i].pll == pytest.approx(sums[0] + sum(shares.get(w, 0.0) for w in lm.words_of(texts[i])), rel=1e-5)
+    every = lm.log_probabilities(net, np.full((lm.BUCKETS, 4), lm.PAD), np.arange(lm.WORDS, lm.VOCABULARY))
+    assert sum(np.exp(every[bucket(w) - lm.WORDS] + x) for w, x in shares.items()) == pytest.approx(np.exp(every).sum(), rel=1e-5)
+
+
 def test_averaging_in_groups(spark, monkeypatch):
     monkeypatch.setattr(lm, "FAN_IN", 3)
     rng = np.random.default_rng(0)
