@@ -54,14 +54,15 @@ def from_wav(media: bytes) -> bytes:
 
 
 def spectrogram(samples: bytes) -> Iterator[tuple[int, np.ndarray]]:
-    """Blocks of magnitudes (frames x bins) with the number of their first frame."""
+    """Blocks of magnitudes (frames x bins) with the number of their first frame; silence fills the last frame."""
     x = np.frombuffer(samples, np.uint8)
-    frames = 1 + max(0, len(x) - FRAME) // HOP
+    frames = 1 + -(-max(0, len(x) - FRAME) // HOP)
     for a in range(0, frames, FRAMES_AT_ONCE):
         b = min(frames, a + FRAMES_AT_ONCE)
         part = x[a * HOP : (b - 1) * HOP + FRAME].astype(np.float32) - 128
-        if len(part) < FRAME:
-            part = np.concatenate([part, np.zeros(FRAME - len(part), np.float32)])
+        missing = (b - 1 - a) * HOP + FRAME - len(part)
+        if missing:
+            part = np.concatenate([part, np.zeros(missing, np.float32)])
         windows = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
         yield a, np.abs(np.fft.rfft(windows * _HANN, axis=1))[:, : FRAME // 2]
 

@@ -140,6 +140,15 @@ def test_spectrogram_blocks_agree(monkeypatch):
     assert (media.fingerprint(x) == whole).all()
 
 
+@pytest.mark.parametrize("size", [64, 256, 320, 384, 448, 1344])
+def test_the_last_block_reaches_the_spectrogram(size):
+    x = np.random.default_rng(2).integers(0, 256, size).astype(np.uint8)
+    y = x.copy()
+    y[-64:] ^= 0x55
+    a, b = (np.concatenate([power for _, power in media.spectrogram(v.tobytes())]) for v in (x, y))
+    assert a.shape == b.shape == (1 + -(-max(0, size - 256) // 128), 128) and not np.allclose(a[-1], b[-1])
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, key string, payload string")
 
