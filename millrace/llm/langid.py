@@ -35,8 +35,10 @@ UNDETERMINED = "und"
 SMOOTHING = 0.05
 #: Words in each of the two generations of a worker's cache.
 CACHE_WORDS = 150_000
-#: A word longer than this is scored with rescaling, by itself.
+#: A word of so many letters or more is scored with rescaling, by itself.
 LONG_WORD = 40
+#: So is any word with a forward sum below this, far above where sums lose digits.
+LEAST_SUM = 1e-250
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -198,7 +200,12 @@ class Scorer:
                 forward.append(total or [0.0] * len(self.model.langs))
             out[w] = forward[n]
             before = s
-        return np.log(out)
+        small = np.flatnonzero((out < LEAST_SUM).any(axis=1))
+        out[small] = 1.0
+        out = np.log(out)
+        for w in small:
+            out[w] = self.long_word(words[w])
+        return out
 
     def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Summed word scores of each text (with the prior), and whether it has any letter."""

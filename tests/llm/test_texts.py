@@ -110,6 +110,24 @@ def test_language_id_accuracy_and_cases(spark):
     assert empty.langs == [] and rows.limit(3).select(langid.predict(rows, empty).alias("p")).first().p.lang == "und"
 
 
+@pytest.mark.parametrize("letters", [1, 10, 14, 39, 40, 200])
+def test_unseen_letters_do_not_underflow(letters):
+    """Cherokee is spelt with bytes only, so log space has one term a letter; other words of the text still count."""
+    own = langid._processor(langid.default_path())
+    counts = np.full((own.get_piece_size(), 2), langid.SMOOTHING)
+    counts[own.encode("hello")[0], 1] += 1e10
+    counts[own.encode("bonjour")[0], 0] += 1e10
+    model = langid.Model(["a", "b"], np.zeros(2), counts / counts.sum(axis=0), langid.default_path())
+    scorer = langid.Scorer(model)
+    word = "\uab70" * letters  # a small letter, three bytes
+    assert "\uab70" not in scorer.index and langid.words_of(word) == [word]
+    want = np.log(model.probs[scorer.index[langid.MARK]]) + letters * np.log(scorer.bytes[list("\uab70".encode())]).sum(axis=0)
+    total, _ = scorer.totals([word])
+    assert np.isfinite(total).all() and np.allclose(total[0], want)
+    found = scorer.predict([word + " hello hello"])
+    assert found.lang[0] == "b" and found.score[0] > 0.5
+
+
 def test_media_round_trip(spark):
     back = media.read(media.store(docs(spark, ODD).drop("media", "payload"))).collect()
     for r in back:
