@@ -61,8 +61,8 @@ def anomaly_scores(x: np.ndarray, trees: list[tuple[np.ndarray, ...]], sample: i
 def remove_outliers_isolation_forest(df: DataFrame, contamination: float = 0.05, columns: Iterable[str] | None = None, seed: int = 42) -> DataFrame:
     """Without the ``contamination`` share of rows that isolate fastest; nulls count as the column's mean.
 
-    The forest needs samples of 256 rows, whatever the input (a bound of the method); all rows are scored, and the cut is a
-    quantile of all scores.
+    The forest needs samples of 256 rows, whatever the input (a bound of the method), drawn by row, so a value is met as often
+    as rows hold it; all rows are scored, and the cut is a quantile of all scores.
     """
     names = chosen(df, columns, numeric(df))
     if not names:
@@ -72,9 +72,7 @@ def remove_outliers_isolation_forest(df: DataFrame, contamination: float = 0.05,
     if not rows:
         return df
     row = F.array(*[F.coalesce(present(df, c).cast("double"), F.lit(means[c] or 0.0)) for c in names])
-    parts = 1_000_000
-    share = min(parts, max(1, int(parts * SAMPLE * 16 / rows)))
-    pool = df.select(row.alias("x"), F.xxhash64(F.lit(seed), row).alias("h")).where(F.pmod("h", F.lit(parts)) < share).orderBy("h").limit(SAMPLE * 32).toPandas()
+    pool = df.select(row.alias("x"), F.rand(seed).alias("h")).where(F.col("h") < SAMPLE * 16 / rows).orderBy("h").limit(SAMPLE * 32).toPandas()
     x = np.array(pool["x"].tolist(), float).reshape(len(pool), len(names))
     if not len(x):
         return df

@@ -111,3 +111,16 @@ def test_dashboard(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError):
         mr.generate_dashboard(None)
     assert eda.kpis(df)["rows"] == 2 and eda.crosstab(df, "s", "id").count() == 2 and eda.box_by_category(df, "v", "s").count() == 2
+
+
+def test_isolation_forest_samples_rows_not_values(spark, monkeypatch):
+    """Three values over 40,000 rows: each is in the samples as often as in the rows."""
+    from millrace.operators import iforest
+
+    seen = []
+    tree = iforest._tree
+    monkeypatch.setattr(iforest, "_tree", lambda x, rng, limit: seen.append(x) or tree(x, rng, limit))
+    rows = spark.range(40_000).selectExpr("CASE WHEN id % 10 < 6 THEN 1.0D WHEN id % 10 < 9 THEN 2.0D ELSE 50.0D END AS x")
+    iforest.remove_outliers_isolation_forest(rows, 0.05).count()
+    sampled = [v for x in seen for v in x[:, 0]]
+    assert [sampled.count(v) / len(sampled) for v in (1.0, 2.0, 50.0)] == pytest.approx([0.6, 0.3, 0.1], abs=0.05)
