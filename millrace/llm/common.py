@@ -2,24 +2,45 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. Texts can be long, so batches are kept small; a batch is the unit of memory in a worker.
-BATCH_ROWS = 400
+#: Rows and bytes of one Arrow batch, whichever comes first: a batch is the unit of memory in a worker.
+BATCH_ROWS, BATCH_BYTES = 400, 4 << 20
 #: Slim rows that one file of an intermediate table may hold, and the most files a narrowed write makes.
 FILE_ROWS = 500_000
 MAX_COALESCED = 10_000
-#: Where tables go if the session names no shared folder (single-machine tests only).
+#: Where tables go if a session on one machine names no shared folder (tests only).
 LOCAL_FALLBACK = "file:///tmp/checkpoints"
+T = TypeVar("T")
+_resident: dict[object, object] = {}
+
+
+def resident(key: object, make: Callable[[], T]) -> T:
+    """The one large object (scorer, vocabulary) that this Python worker holds for ``key``.
+
+    Workers are used again by later operators: asking for another key lets go of the earlier object first, so that what
+    the stages of a pipeline need does not pile up.
+    """
+    if key not in _resident:
+        _resident.clear()
+        gc.collect()
+        _resident[key] = make()
+    return _resident[key]  # type: ignore[return-value]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a session on one machine may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = LOCAL_FALLBACK
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -38,14 +59,38 @@ def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     path = new_path(df.sparkSession, name)
     out = df if rows is None else df.coalesce(min(1 + rows // FILE_ROWS, MAX_COALESCED))
     out.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written out with a number for each row, and that column's name: rows stay apart whatever their ids are."""
+    key = fresh_name(df, "row_number")
+    return materialise(df.withColumn(key, F.monotonically_increasing_id()), name), key
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the Arrow batch size of the session, if it is larger, so that long texts fit a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Lower the session's Arrow batch limits, where they are larger, so that long texts fit a Python worker."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdecimal() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def text_or_empty(col: str = "text") -> Column:
@@ -57,8 +102,8 @@ def crc_mod(id_col: str, mod: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(mod)), F.lit(-1)).cast("int")
 
 
-def hash_share(id_col: str, rows: int, bound: int) -> Column:
-    """True for about ``bound`` of ``rows`` rows, chosen by the hash of the id: repeatable, no sort, no shuffle."""
-    parts = 1_000_000
+def row_share(rows: int, bound: int, *cols: str) -> Column:
+    """True for about ``bound`` of ``rows`` rows of a materialised table, drawn by row: equal rows are drawn one by one."""
+    parts = 1_000_000_000
     keep = parts if rows <= bound else max(1, int(parts * bound / rows))
-    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(parts)) < keep
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id(), *cols), F.lit(parts)) < keep

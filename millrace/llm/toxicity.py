@@ -4,8 +4,8 @@ Features of a text are its distinct words, their stems (leading bytes, so that f
 pairs, and pairs that skip one or two words, hashed to ``BITS`` bits. The learner is FTRL-proximal: every coordinate has its own rate, and the L1 term keeps most weights at exactly zero, so the
 weights that are broadcast are few.
 
-Fitting takes at most about ``LABEL_BOUND`` labelled rows (a documented bound for the classifier, chosen by hash), dealt to
-shards of ``SHARD_ROWS`` rows; every shard runs its own learner over its rows in a task, and the weights are averaged in
+Fitting takes at most about ``LABEL_BOUND`` labelled rows (a documented bound for the classifier, drawn by id and then by row),
+dealt by row to shards of ``SHARD_ROWS`` rows; every shard runs its own learner over its rows in a task, and the weights are averaged in
 Spark. Scoring reads every whole text: weights are looked up first, and only features with a weight are counted.
 
 Defined cases: null and empty texts have no features and get the score of the bias; without any labelled row, or with one
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import crc_mod, hash_share, small_batches
+from millrace.llm.common import crc_mod, materialise, row_share, small_batches
 
 BITS = 20
 LABEL_BOUND = 24_000
@@ -92,21 +92,25 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = LABEL_BOUND, epochs: int = EPOCHS) -> Model:
     """Learns from the rows of ``labels`` (already the training part) joined to their texts."""
     small_batches(docs.sparkSession)
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
     rows = known.count()
     if not rows:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
-    known = known.where(hash_share("id", rows, bound))
-    shards = max(1, round(min(rows, bound) / SHARD_ROWS))
+    parts = 1_000_000_000
+    known = known.where(F.pmod(F.xxhash64("id"), F.lit(parts)) < (parts if rows <= bound else int(parts * bound / rows)))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    joined = texts.join(F.broadcast(known), "id")  # about ``bound`` ids
+    joined = texts.join(F.broadcast(known), "id")  # about ``bound`` ids of one label or two
 
     @F.pandas_udf("array<int>")
     def distinct(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield pd.Series([np.unique(features(x if isinstance(x, str) else None)).astype(np.int32) for x in part])
 
-    joined = joined.select("label", F.xxhash64("id").alias("order"), F.pmod(F.xxhash64(F.lit("shard"), "id"), F.lit(shards)).alias("shard"), distinct("text").alias("at"))
+    described = materialise(joined.select("label", F.xxhash64("id").alias("order"), distinct("text").alias("at")), "toxicity-labelled")
+    held = described.count()  # an id may be on many rows
+    drawn = described.where(row_share(held, bound))
+    shards = max(1, round(min(held, bound) / SHARD_ROWS))
+    drawn = drawn.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "order", F.monotonically_increasing_id()), F.lit(shards)))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         own = Ftrl(1 << BITS)
@@ -120,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         at = at if len(at) and at[-1] == 1 << BITS else np.append(at, 1 << BITS)  # the bias is always sent
         return pd.DataFrame({"at": at, "w": w[at] * len(rows), "rows": len(rows)})
 
-    learnt = joined.groupBy("shard").applyInPandas(learn, "at long, w double, rows long").groupBy("at").agg(F.sum("w").alias("w"), F.sum("rows").alias("rows"))
+    learnt = drawn.groupBy("shard").applyInPandas(learn, "at long, w double, rows long").groupBy("at").agg(F.sum("w").alias("w"), F.sum("rows").alias("rows"))
     sums = learnt.toPandas().sort_values("at")  # at most 2**BITS + 1 rows, few of them because of L1
     if not len(sums):
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
