@@ -13,8 +13,15 @@ Plan
    Survivors are verified bit by bit; a bucket emits a spanning forest of its links, not all pairs.
 6. Links are joined to components by alternating large-star and small-star rounds.
 
+Texts that are similar word by word (``similar_groups``) differ by many more bits than blocks can serve: at a Jaccard similarity
+of 0.8 about 39 of 256. There candidates meet under band keys (least values of the same shingle hashes under several orders),
+fingerprints are longer, and the pivots are members of the bucket itself, from which its clusters lie at unlike distances.
+Survivors are verified by the exact similarity of their shingle sets. Only links between different components are searched
+for, so a group of near copies, however large, costs each member a link to one of them and no pairs.
+
 Defined cases: null text is an empty text; no words give fingerprint zero, which links like any other; a row with a null
-id gets its fingerprint, a null component, and links nothing; repeated rows give repeated rows.
+id gets its fingerprint, a null component, and links nothing; repeated rows give repeated rows; very long texts are read whole;
+ties go to the least id; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, small_batches
+from millrace.llm.common import discard, materialise, small_batches
 
 SEED = 42
 SHINGLE = 3
@@ -37,29 +44,42 @@ RADIUS = 3
 BLOCKS = 6
 PIVOTS = 24
 SPLIT_AT = 2000
+#: ``similar_groups``: words of a shingle, 64-bit words of a fingerprint and the most bits that may differ, bands and values in each.
+SIMILAR_SHINGLE, WIDE, WIDE_RADIUS = 5, 4, 64
+BANDS, ROWS = 16, 5
+#: Pivots taken from a bucket, and searches for links between components.
+OWN_PIVOTS, SEARCHES = 8, 2
 #: Buckets of at most so many fingerprints are compared together, larger ones one by one.
 SMALL_BUCKET = 16
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Majority bits of the XXH64 values of all word shingles, repeats included; zero for a text without words."""
+def shingle_digests(text: str | None, shingle: int, step: int = 1 << 16) -> Iterator[bytes]:
+    """The XXH64 digests (eight bytes each, big-endian) of all word shingles, repeats included, in blocks: a very long text needs
+    little memory. Fewer words are one shingle; a text without words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
+    digest = xxhash.xxh64_digest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        yield digest(joined, SEED)
+        return
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[: len(words) - shingle + 1].tolist()
     ends = ends[shingle - 1 :].tolist()
-    digest = xxhash.xxh64_digest
-    count, total, step = len(starts), np.zeros(64, np.int64), 1 << 16
-    for k in range(0, count, step):  # blocks, so that a very long text needs little memory
-        raw = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[k : k + step], ends[k : k + step])])
+    for k in range(0, len(starts), step):
+        yield b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[k : k + step], ends[k : k + step])])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Majority bits of the XXH64 values of all word shingles, repeats included; zero for a text without words."""
+    count, total = 0, np.zeros(64, np.int64)
+    for raw in shingle_digests(text, shingle):
         bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
         total += _column_sums(bits)
+        count += len(bits)
     return int.from_bytes(np.packbits(2 * total > count).tobytes(), "big")
 
 
@@ -233,15 +253,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     before = state(now)
     for _ in range(max_rounds):
-        size = before[0]
+        size, last = before[0], now
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = least(both, 2 * size).withColumn("m", F.least("a", "m"))
+        seen = least(both, 2 * size)
+        low = seen.withColumn("m", F.least("a", "m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialise(large.where("a <> b").distinct(), "large-star", size)
         low = least(large, size)
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         now = materialise(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "small-star", 2 * size)
         after = state(now)
+        discard(last, seen, large, low)
         if after == before:
             break
         before = after
@@ -267,6 +289,158 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return known.select(id_col, "fp", "component_id").unionByName(unknown.select(id_col, "fp", "component_id"))
 
 
+_MIX = (np.random.default_rng(23).integers(1, 2**62, 2 * WIDE + BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def shingle_set(text: str | None, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending."""
+    return np.unique(np.frombuffer(b"".join(shingle_digests(text, shingle)), ">u8").astype(np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """``WIDE`` words of majority bits over a shingle set; each word mixes the hashes anew."""
+    out = np.zeros(WIDE, np.uint64)
+    for w in range(WIDE if len(hashes) else 0):
+        total = np.zeros(64, np.int64)
+        for k in range(0, len(hashes), 1 << 16):
+            mixed = (hashes[k : k + (1 << 16)] + _MIX[w]) * _MIX[WIDE + w]
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX[w]
+            mixed ^= mixed >> np.uint64(32)
+            total += _column_sums(np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1))
+        out[w] = np.packbits(2 * total > len(hashes)).view(np.uint64)[0]
+    return out
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: its ``ROWS`` least values of the set, each under an order of its own, as one hash."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 1 << 12):
+        part = hashes[k : k + (1 << 12), None] * _MIX[2 * WIDE :]
+        np.minimum(low, part.min(axis=0), out=low)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, ROWS))], np.uint64)
+
+
+def sketches(df: DataFrame, key_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``row`` (the key), ``node`` (a digest of the shingle set), ``f`` (the long fingerprint) and ``bands`` of every row."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x.as_py(), shingle) for x in batch.column(1)]
+            nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64)
+            lists = [pa.array([f(x).view(np.int64) for x in sets], pa.list_(pa.int64())) for f in (wide_fingerprint, band_keys)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes.view(np.int64)), *lists], names=["row", "node", "f", "bands"])
+
+    src = df.select(F.col(key_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(run, "row long, node long, f array<long>, bands array<long>")
+
+
+def nearest_outside(words: np.ndarray, roots: np.ndarray, radius: int = WIDE_RADIUS, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``words`` (long fingerprints) the nearest row of another root within ``radius`` bits, as index pairs.
+
+    Pivots are rows of the bucket: pairs whose distances to one of them differ by more than ``radius`` are discarded.
+    """
+    n = len(words)
+    pivots = words[np.unique(np.linspace(0, n - 1, OWN_PIVOTS).astype(int))]
+    table = np.stack([np.bitwise_count(words ^ p).sum(axis=1, dtype=np.int16) for p in pivots])
+    found_i, found_j = [], []
+    for a in range(0, n, step):
+        b = min(a + step, n)
+        near = roots[a:b, None] != roots[None]
+        for row in table:
+            near &= np.abs(row[a:b, None] - row[None]) <= radius
+        i, j = np.nonzero(near)
+        apart = np.bitwise_count(words[i + a] ^ words[j]).sum(axis=1, dtype=np.int16)
+        i, j, apart = (x[apart <= radius] for x in (i, j, apart))
+        order = np.lexsort((j, apart, i))
+        first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+        found_i.append(i[first] + a)
+        found_j.append(j[first])
+    return np.concatenate(found_i), np.concatenate(found_j)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links of ``pairs`` (``a``, ``b``: nodes) whose shingle sets have the Jaccard similarity or more."""
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    both = one.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    sized = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("total"))
+    return sized.where(F.col("common") >= similarity * (F.col("total") - F.col("common"))).select("a", "b")
+
+
+def similar_groups(df: DataFrame, key_col: str, text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = 0.8, split_at: int = SPLIT_AT) -> DataFrame:
+    """``key_col`` and ``component`` of every row of ``df``: rows whose shingle sets reach ``similarity`` share a component.
+
+    ``key_col`` is a long that tells rows apart, without nulls; ``df`` is a stored table, since its texts are read twice. Rows of
+    equal sets are one node. Each node of a bucket (a band key) is compared with the bucket's least node, then, while
+    components remain apart in a bucket, with the nearest node outside its own component; buckets of more than ``split_at``
+    nodes are dealt as pairs of parts. Two texts of similarity s meet in a bucket with probability 1 - (1 - s**5)**16.
+    """
+    spark = df.sparkSession
+    rows = materialise(sketches(df, key_col, text_col, shingle), "similar-sketches")
+    nodes = rows.groupBy("node").agg(F.min("row").alias("row"), F.first("f").alias("f"), F.first("bands").alias("bands"))
+    nodes = materialise(nodes, "similar-nodes")
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    held = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("lead")).where("members > 1")
+    members = materialise(keyed.join(held, "key"), "similar-members")
+    prints = nodes.select("node", "f")
+    near = lambda: reduce(lambda x, y: x + y, [F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(WIDE)]) <= WIDE_RADIUS
+    stars = members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    stars = stars.join(prints.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
+    pairs = materialise(stars.where(near()).select("a", "b"), "similar-pairs")
+    in_buckets = members.select("node").distinct().join(nodes.select("node", "row"), "node")
+    texts = df.select(F.col(key_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text")).join(in_buckets, "row").select("node", "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [shingle_set(x.as_py(), shingle).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    sets = materialise(texts.mapInArrow(hashed, "node long, hashes array<long>"), "similar-sets")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.zeros((4 + WIDE, 0), np.int64)  # of the bucket that the last batch may not have ended
+        for batch in _and_end(batches):
+            if batch is not None:
+                rest = np.concatenate([rest, np.stack([np.asarray(c, np.int64) for c in batch.columns])], axis=1)
+            new = np.flatnonzero((np.diff(rest[:2], axis=1) != 0).any(axis=0)) + 1
+            cut = rest.shape[1] if batch is None else (int(new[-1]) if len(new) else 0)
+            edges = [0, *new[new < cut].tolist(), cut]
+            links: set[tuple[int, int]] = set()
+            for a, b in zip(edges, edges[1:]):
+                node, root, words = rest[2, a:b], rest[3, a:b], np.ascontiguousarray(rest[4:, a:b].T).view(np.uint64)
+                if b > a and (root != root[0]).any():
+                    i, j = nearest_outside(words, root)
+                    links.update(zip(np.maximum(node[i], node[j]).tolist(), np.minimum(node[i], node[j]).tolist()))
+            rest = rest[:, cut:]
+            if links:
+                left, right = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    edges = materialise(_verified(pairs, sets, similarity), "similar-links")
+    tried = pairs
+    roots = components(edges)
+    for _ in range(SEARCHES):
+        placed = members.join(roots, "node", "left").select("key", "members", "node", F.coalesce("root", "node").alias("root"))
+        open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        open_rows = materialise(placed.join(open_keys, "key", "left_semi").join(prints, "node"), "similar-open")
+        parts = F.ceil(F.col("members") / split_at).cast("int")
+        own = F.pmod(F.xxhash64("node"), parts).cast("int")
+        cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.least(k, own).cast("long") * 1_000_000 + F.greatest(k, own))
+        dealt = open_rows.where(F.col("members") <= split_at).withColumn("cell", F.lit(0).cast("long"))
+        dealt = dealt.unionByName(open_rows.where(F.col("members") > split_at).withColumn("cell", F.explode(cells)))
+        ordered = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell", "node").select("key", "cell", "node", "root", *[F.col("f")[k].alias(f"f{k}") for k in range(WIDE)])
+        found = ordered.mapInArrow(search, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        found = materialise(found, "similar-pairs")
+        more = materialise(_verified(found, sets, similarity), "similar-links")
+        if not more.limit(1).count():
+            break
+        tried, edges = tried.unionByName(found), edges.unionByName(more)
+        roots = components(edges)
+    placed = rows.select(F.col("row").alias(key_col), "node").join(roots, "node", "left")
+    return placed.select(key_col, F.coalesce("root", "node").alias("component"))
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

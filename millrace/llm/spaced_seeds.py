@@ -12,11 +12,13 @@ collected but the filter's words, whose number is fixed.
 
 Items longer than ``SEGMENT`` tokens are cut into overlapping segments of that length; one segment is enough.
 
-Every seed needs five agreeing words under one mask: in an item of fewer than about ten words a single changed word can
-break them all, so such items are found by exact copies.
+In an item of fewer than ten words one changed word can break every mask. Such items get runs of neighbouring words besides: the
+whole item if it has fewer than five words (none may change at this similarity), else both halves, of which one is left
+whole by the one word that may change.
 
-Defined cases: null and empty texts have no tokens; items of fewer than five tokens match nothing; equal items are reported
-each; repeated rows of one id give one row for an item; rows with a null id share the null id; texts are read whole.
+Defined cases: null and empty texts have no tokens and match nothing; equal items are reported each; repeated rows of one id
+give one row for an item; rows with a null id share the null id; of equal overlaps the first in the text is reported; very
+long texts are read whole; without documents or items there are no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ SIMILARITY = 0.8
 SEGMENT = 64
 #: Bits of the Bloom filter, a power of two: 8 MB whatever the number of items.
 FILTER_BITS = 26
+#: Items of fewer tokens get runs as well; a run has at most four words.
+FEW = 10
 _TOKENS = re.compile(r"\w+")
 _ODD = (np.random.default_rng(11).integers(1, 2**62, 2 * len(MASKS[0]) * len(MASKS), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -62,6 +66,23 @@ def seed_hashes(tokens: np.ndarray, masks: tuple[str, ...] = MASKS) -> Iterator[
         yield total ^ (total >> np.uint64(29))
 
 
+def run_length(n: int) -> int:
+    """Words in the runs of an item of ``n`` tokens (0: it has none)."""
+    return n if n < 5 else n // 2 if n < FEW else 0
+
+
+def run_hashes(tokens: np.ndarray, length: int) -> np.ndarray:
+    """The hashes of all runs of ``length`` neighbouring tokens."""
+    count = len(tokens) - length + 1
+    if count <= 0:
+        return np.zeros(0, np.uint64)
+    total = np.full(count, 1000 + length, np.uint64)
+    for k in range(length):
+        total += (tokens[k : k + count] + np.uint64(1)) * _ODD[-1 - k]
+    total *= _ODD[length]
+    return total ^ (total >> np.uint64(29))
+
+
 def segments(n: int, size: int = SEGMENT) -> list[tuple[int, int]]:
     """Bounds of the segments of an item of ``n`` tokens."""
     if n <= size:
@@ -70,7 +91,7 @@ def segments(n: int, size: int = SEGMENT) -> list[tuple[int, int]]:
 
 
 def item_segments(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``item``, ``segment``, ``tokens`` and the seed hashes (``hashes``, ``positions``) of every segment of five tokens or more."""
+    """``item``, ``segment``, ``tokens`` and the seed hashes (``hashes``, ``positions``) of every segment of one token or more."""
     small_batches(items.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,9 +101,12 @@ def item_segments(items: DataFrame, item_col: str = "item_id", text_col: str = "
                 whole = token_hashes(text.as_py())
                 for k, (a, b) in enumerate(segments(len(whole))):
                     tokens = whole[a:b]
-                    if len(tokens) >= 5:
-                        per_mask = list(seed_hashes(tokens))
-                        rows.append((item, k, tokens.astype(np.int64), np.concatenate(per_mask).view(np.int64), np.concatenate([np.arange(len(x)) for x in per_mask])))
+                    if len(tokens):
+                        found = [(x, np.arange(len(x))) for x in seed_hashes(tokens)]
+                        if length := run_length(len(tokens)):
+                            ends = np.array([0, len(tokens) - length])
+                            found.append((run_hashes(tokens, length)[ends], ends))
+                        rows.append((item, k, tokens.astype(np.int64), np.concatenate([x for x, _ in found]).view(np.int64), np.concatenate([at for _, at in found])))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0].as_py() for r in rows], batch.column(0).type), pa.array([r[1] for r in rows], pa.int32()), *[pa.array([r[c] for r in rows], pa.list_(pa.int64())) for c in (2, 3, 4)]],
@@ -109,10 +133,11 @@ def _held(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def regions_of(tokens: np.ndarray, words: np.ndarray, bits: int = FILTER_BITS) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Start, tokens, hit hashes and hit positions (in the region) of every region of hits of one text."""
+def regions_of(tokens: np.ndarray, words: np.ndarray, bits: int = FILTER_BITS, runs: tuple[int, ...] = ()) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Start, tokens, hit hashes and hit positions (in the region) of every region of hits of one text; ``runs``: lengths of the
+    runs that items have."""
     at, hashes = [], []
-    for found in seed_hashes(tokens):
+    for found in [*seed_hashes(tokens), *[run_hashes(tokens, n) for n in runs]]:
         hit = np.flatnonzero(_held(words, found >> np.uint64(64 - bits)))
         hit = hit[_held(words, found[hit] & np.uint64((1 << bits) - 1))]
         at.append(hit)
@@ -138,15 +163,17 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     seeds = parts.select("item", "segment", F.explode(F.arrays_zip("hashes", "positions")).alias("h"))
     seeds = seeds.groupBy(F.col("h.hashes").alias("hash"), "item", "segment").agg(F.min("h.positions").alias("item_at"))
     seeds = materialise(seeds, "seed-hashes")
-    shared = spark.sparkContext.broadcast(hash_filter(seeds))
+    few = parts.select(F.size("tokens").alias("n")).where(F.col("n") < FEW).distinct().collect()  # fewer than ``FEW`` rows
+    shared = spark.sparkContext.broadcast((hash_filter(seeds), tuple(sorted({run_length(r.n) for r in few}))))
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
+        words, runs = shared.value
         for batch in batches:
             ids, rows = [], []
             for k, text in enumerate(batch.column(1)):
-                found = regions_of(token_hashes(text.as_py()), shared.value)
+                found = regions_of(token_hashes(text.as_py()), words, runs=runs)
                 rows += found
                 ids += [k] * len(found)
             if rows:
