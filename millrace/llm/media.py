@@ -8,7 +8,9 @@ spectral peaks and the frame at which it begins, in order of time. Long recordin
 memory does not grow with the spectrogram.
 
 Defined cases: null text is empty text; an empty text is one block of zeros and has no peaks; equal texts have equal
-values; a media value that is null or no WAV file gives nulls.
+values; a media value that is null or no WAV file gives nulls; very long texts are one file each, transformed in blocks; repeated
+rows are stored each; an empty table gives no rows. Columns that a result makes (``n_bytes`` and the media column, ``payload`` and
+``landmarks``) take the place of those of the same name; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import small_batches
+from millrace.llm.common import fresh_name, small_batches
 
 BLOCK = 64
 RATE = 8000
@@ -100,9 +102,10 @@ def fingerprint(samples: bytes) -> np.ndarray:
 def store(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), media_col: str = "media") -> DataFrame:
     """Columns ``keep``, ``n_bytes`` and ``media_col`` (the WAV file's bytes)."""
     small_batches(df.sparkSession)
+    keep = tuple(c for c in keep if c.lower() not in ("n_bytes", media_col.lower()))
     names = [*keep, "n_bytes", media_col]
     raw = F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b""))
-    src = df.select(*keep, F.octet_length(raw).cast("long").alias("n_bytes"), raw.alias("raw"))
+    src = df.select(*keep, F.octet_length(raw).cast("long").alias("n_bytes"), raw.alias(fresh_name(df, "raw")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,6 +119,7 @@ def store(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_i
 def read(df: DataFrame, media_col: str = "media") -> DataFrame:
     """``df`` with ``payload`` (the samples read back) and ``landmarks`` (the fingerprint) of the stored files."""
     small_batches(df.sparkSession)
+    df = df.select(*[c for c in df.columns if c.lower() not in ("payload", "landmarks")])
     names = [*df.columns, "payload", "landmarks"]
     at = df.columns.index(media_col)
 
@@ -156,4 +160,5 @@ def op1_media(spark, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         feature().alias("feature"),
+        "landmarks",
     )
