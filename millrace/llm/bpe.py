@@ -9,7 +9,8 @@ strides) gives the state before every character. Slices between starts feed pair
 ``encode`` keeps ids and byte offsets; ``decode`` turns ids back into bytes.
 
 Defined cases: a null text is an empty text; an empty text has no ids and decodes to no bytes; very long texts are encoded
-whole, their memory in proportion to their own length; extra columns are ignored.
+whole, their memory in proportion to their own length; repeated rows are encoded each; an empty table gives no rows; extra
+columns, whatever their names, are ignored by ``encode`` and kept by ``decode``, which replaces ``decoded`` and ``offsets``.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import small_batches
+from millrace.llm.common import resident, small_batches
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LETTER, NUMBER, SPACE, WHITE, OTHER, QUOTE = range(6)
 #: Entries in each of the two generations of a worker's cache of merged slices (results do not depend on it).
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 100_000
 #: White space in the sense of the Unicode property, as the pattern's \s has it (fixed values).
 WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -266,10 +267,9 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(out)
 
 
-@lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
-    """One codec for each Python worker and vocabulary."""
-    return Codec(path)
+    """The codec of this Python worker."""
+    return resident(("bpe", path), lambda: Codec(path))
 
 
 def default_path() -> str:
@@ -278,31 +278,33 @@ def default_path() -> str:
     return public_tokenizers.path(RANKS)
 
 
-def encode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None) -> DataFrame:
+def encode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None, decoded: bool = False) -> DataFrame:
     """``id_col``, ``n_tokens``, ``ids`` and ``offsets`` of every text.
 
     ``ids`` and ``offsets`` are binary columns of little-endian unsigned 32-bit integers: the ids, and the byte at which
-    each token starts in the text's UTF-8. The vocabulary file must be readable on every executor.
+    each token starts in the text's UTF-8. With ``decoded`` the stored ids are read back in the same worker and a column
+    ``decoded`` has the bytes they stand for. The vocabulary file must be readable on every executor.
     """
     small_batches(df.sparkSession)
     path = path or default_path()
+    names = [id_col, "n_tokens", "ids", "offsets", *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            pairs = [own.encode(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(ids) for ids, _ in pairs], pa.int64()),
-                    pa.array([ids.astype("<u4").tobytes() for ids, _ in pairs], pa.binary()),
-                    pa.array([at.astype("<u4").tobytes() for _, at in pairs], pa.binary()),
-                ],
-                names=[id_col, "n_tokens", "ids", "offsets"],
-            )
+            counts, ids, offsets = [], [], []
+            for text in batch.column(1):
+                found, at = own.encode(text.as_py())
+                counts.append(len(found))
+                ids.append(found.astype("<u4").tobytes())
+                offsets.append(at.astype("<u4").tobytes())
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(offsets, pa.binary())]
+            if decoded:
+                columns.append(pa.array([own.decode(np.frombuffer(x, "<u4")) for x in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     src = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, n_tokens long, ids binary, offsets binary")
+    return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, n_tokens long, ids binary, offsets binary" + ", decoded binary" * decoded)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -323,7 +325,7 @@ def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> Data
 
 def digests(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None) -> DataFrame:
     """Each text encoded and its ids decoded again: counts and digests of both."""
-    coded = decode(encode(df, text_col, id_col, path), "ids", path)
+    coded = encode(df, text_col, id_col, path, decoded=True)
     return coded.select(F.col(id_col), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

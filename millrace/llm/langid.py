@@ -9,7 +9,8 @@ Fitting counts the pieces of all training texts in Spark (one row per language a
 most languages x vocabulary numbers, whatever the input.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; so is everything if no language was learnt; null
-languages are never learnt; ties go to the language first in order; texts are read whole.
+languages are never learnt; ties go to the language first in order; very long texts are read whole; repeated rows are counted and
+scored each; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,15 +28,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import crc_mod, small_batches
+from millrace.llm.common import crc_mod, resident, small_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 UNDETERMINED = "und"
 #: Smoothing count of every piece in every language.
 SMOOTHING = 0.05
+#: Most languages a model can hold: languages x vocabulary numbers come to the driver and go to every task.
+MAX_LANGUAGES = 500
 #: Words in each of the two generations of a worker's cache.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 80_000
 #: A word of so many letters or more is scored with rescaling, by itself.
 LONG_WORD = 40
 #: So is any word with a forward sum below this, far above where sums lose digits.
@@ -48,15 +52,11 @@ def default_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-_processors: dict[str, object] = {}
-
-
+@lru_cache(maxsize=1)
 def _processor(path: str):
-    if path not in _processors:
-        import sentencepiece
+    import sentencepiece
 
-        _processors[path] = sentencepiece.SentencePieceProcessor(model_file=path)
-    return _processors[path]
+    return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
 def words_of(text: str) -> list[str]:
@@ -105,7 +105,12 @@ class Model:
 
 
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", path: str | None = None, smoothing: float = SMOOTHING) -> Model:
+    """A model of every language named in ``lang_col``. More than ``MAX_LANGUAGES`` different names raise a ``ValueError``: such a
+    column holds something else, and is to be cleaned first."""
     path = path or default_path()
+    names = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(lang_col).distinct()
+    if (found := names.limit(MAX_LANGUAGES + 1).count()) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has {found} different values or more; a model holds {MAX_LANGUAGES} languages")
     rows = count_pieces(df, text_col, lang_col, path).toPandas()  # languages x vocabulary at most
     langs = sorted(rows["lang"].unique())
     counts = np.full((_processor(path).get_piece_size(), len(langs)), smoothing)
@@ -244,15 +249,9 @@ class Scorer:
         return pd.DataFrame({"lang": lang, "score": np.where(lettered, share[np.arange(len(best)), best], 0.0)})
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer(model: Model) -> Scorer:
-    """One scorer, with its cache, for each Python worker; an earlier model's is dropped."""
-    if model.name not in _scorers:
-        _scorers.clear()
-        _scorers[model.name] = Scorer(model)
-    return _scorers[model.name]
+    """The scorer, with its cache, of this Python worker."""
+    return resident(("langid", model.name), lambda: Scorer(model))
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> Column:
