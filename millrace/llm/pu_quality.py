@@ -7,33 +7,45 @@ negatives and is kept from going below zero, which would be overfitting. The cla
 positive-against-unlabelled score is the estimate.
 
 A text is described by shape figures of the whole text (shares of character kinds, repetition of words and lines,
-compressibility, lengths of words and sentences). They are standardised by means and deviations over all documents. The
-network is fitted in numpy on about ``BOUND`` positives and ``BOUND`` unlabelled rows, chosen by hash (a documented bound).
+compressibility, lengths of words and sentences). They are standardised by means and deviations over all documents.
 
-Defined cases: null and empty texts have zero figures and are scored like any text; without positives or without unlabelled
-rows every score is 0.5; null labels are no labels; a document that carries several labels is positive if one is.
+Every document is learnt from as unlabelled text: in each round every task takes Adam steps over its own documents against the
+trusted positives, from the same weights, and the weights are averaged in Spark. The prior's ratios are counted over all
+documents too. Only the trusted positives are bounded: about ``BOUND`` labelled rows, drawn by row (a documented bound).
+
+Defined cases: null and empty texts have zero figures and are scored like any text, and so are very long ones, which are read
+whole; equal texts have equal scores, to the last bit and wherever they lie; an empty table gives no rows; without positives
+every score is 0.5; null ids are nobody's label; null labels are no labels; a document that carries several labels is positive
+if one is; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import crc_mod, hash_share, materialise, small_batches
+from millrace.llm.common import crc_mod, materialise, row_share, small_batches
+from millrace.llm.pseudo_likelihood import average
 
+#: Trusted positives that learning takes, about.
 BOUND = 20_000
+#: Documents of one learner, rows it mixes at once and takes in one step, and the steps it makes at least (over its documents again).
+SHARD_ROWS, MIXED, BATCH, STEPS = 50_000, 16_384, 256, 500
+#: Rounds of learning and averaging on the risk.
+ROUNDS = 3
+HIDDEN = 32
 THRESHOLD = 0.3
 #: The level of decision: this quantile of the trusted positives, lowered by a share of its distance to their median.
 LOW_SHARE = 0.001
-SLACK = 0.3
-_WORDS = re.compile(r"\S+")
+SLACK = 0.5
 #: Bytes whose shares are figures of their own: ASCII punctuation, and kinds of bytes.
 _PUNCTUATION = np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)
 
@@ -95,11 +107,24 @@ class Model:
     prior: float
     level: float = 0.0
 
+    def output(self, x: np.ndarray) -> np.ndarray:
+        """The network's output of every row. Sums run over features and units in a fixed order, so that a row's output does not
+        depend on the rows beside it."""
+        x = np.clip((x - self.mean) / self.scale, -8, 8)
+        inner, bias, outer, last = self.layers
+        hidden = np.zeros((len(x), len(bias))) + bias
+        for k in range(len(inner)):
+            hidden += x[:, k, None] * inner[k]
+        hidden = np.maximum(hidden, 0)
+        out = np.zeros(len(x)) + last[0]
+        for k in range(len(outer)):
+            out += hidden[:, k] * outer[k]
+        return out
+
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.layers:
             return np.full(len(x), 0.5)
-        out = _forward(self.layers, np.clip((x - self.mean) / self.scale, -8, 8))[1]
-        return _sigmoid(out - self.level + np.log(THRESHOLD / (1 - THRESHOLD)))
+        return np.round(_sigmoid(self.output(x) - self.level + np.log(THRESHOLD / (1 - THRESHOLD))), 12)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -118,16 +143,22 @@ def _gradient(layers: list[np.ndarray], x: np.ndarray, by_output) -> list[np.nda
     return [x.T @ back, back.sum(axis=0), hidden.T @ d, np.array([d.sum()])]
 
 
-def _train(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int, hidden: int = 32, rate: float = 0.005, decay: float = 1e-5, batch: int = 1024, seed: int = 0) -> list[np.ndarray]:
+class Learner:
     """Adam on the non-negative risk with logistic loss; with ``prior`` None on plain positive-against-unlabelled loss."""
-    rng = np.random.default_rng(seed)
-    layers = [rng.normal(0, 1 / np.sqrt(p.shape[1]), (p.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
-    first, second = [np.zeros_like(w) for w in layers], [np.zeros_like(w) for w in layers]
-    for step in range(1, steps + 1):
-        xp, xu = (x[rng.integers(0, len(x), batch)] for x in (p, u))
+
+    def __init__(self, layers: list[np.ndarray], p: np.ndarray, prior: float | None, seed: int, rate: float = 0.005, decay: float = 1e-5) -> None:
+        self.layers, self.p, self.prior, self.rate, self.decay = layers, p, prior, rate, decay
+        self.rng = np.random.default_rng(seed)
+        self.first, self.second = [np.zeros_like(w) for w in layers], [np.zeros_like(w) for w in layers]
+        self.steps = 0
+
+    def step(self, xu: np.ndarray) -> None:
+        """One step on the unlabelled rows ``xu`` and as many positives, drawn again each time."""
+        layers, prior = self.layers, self.prior
+        xp = self.p[self.rng.integers(0, len(self.p), len(xu))]
         gp, gu = _forward(layers, xp)[1], _forward(layers, xu)[1]
-        positive = lambda g: (_sigmoid(g) - 1) / batch  # noqa: E731  of loss(g, +1)
-        negative = lambda g: _sigmoid(g) / batch  # noqa: E731  of loss(g, -1)
+        positive = lambda g: (_sigmoid(g) - 1) / len(xu)  # noqa: E731  of loss(g, +1)
+        negative = lambda g: _sigmoid(g) / len(xu)  # noqa: E731  of loss(g, -1)
         if prior is None:
             parts = [(xp, positive), (xu, negative)]
         else:
@@ -136,20 +167,79 @@ def _train(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int, hidden
                 parts = [(xp, lambda g: prior * (positive(g) - negative(g))), (xu, negative)]
             else:  # the estimated negative risk fell below zero: step back up
                 parts = [(xp, lambda g: prior * negative(g)), (xu, lambda g: -negative(g))]
-        grads = [sum(g) for g in zip(*[_gradient(layers, x, f) for x, f in parts])]
-        for k, g in enumerate(grads):
-            g = g + decay * layers[k]
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.999 * second[k] + 0.001 * g * g
-            layers[k] = layers[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return layers
+        self.steps += 1
+        for k, g in enumerate(sum(g) for g in zip(*[_gradient(layers, x, f) for x, f in parts])):
+            g = g + self.decay * layers[k]
+            self.first[k] = 0.9 * self.first[k] + 0.1 * g
+            self.second[k] = 0.999 * self.second[k] + 0.001 * g * g
+            self.layers[k] = layers[k] - self.rate * (self.first[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.second[k] / (1 - 0.999**self.steps)) + 1e-8)
+
+
+def _initial(seed: int = 0) -> list[np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return [rng.normal(0, _NAMES**-0.5, (_NAMES, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
+
+
+def _flat(layers: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([w.ravel() for w in layers]).astype(np.float32)
+
+
+def _layers(flat: np.ndarray) -> list[np.ndarray]:
+    cuts = np.cumsum([_NAMES * HIDDEN, HIDDEN, HIDDEN])
+    inner, bias, outer, last = np.split(flat.astype(float), cuts)
+    return [inner.reshape(_NAMES, HIDDEN), bias, outer, last]
+
+
+def _learnt(own: DataFrame, p: np.ndarray, mean: np.ndarray, scale: np.ndarray, layers: list[np.ndarray], prior: float | None, turn: int, steps: int) -> DataFrame:
+    """``shard``, ``n`` and ``w``: the weights each task reaches over all its rows of ``own`` (``figures``)."""
+    shared = own.sparkSession.sparkContext.broadcast((p, mean, scale, layers))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, mean, scale, layers = shared.value
+        shard = TaskContext.get().partitionId()
+        learner = Learner([w.copy() for w in layers], p, prior, seed=1000 * shard + turn)
+        x, seen, held = np.zeros((0, _NAMES)), 0, []
+
+        def learn(x: np.ndarray) -> None:
+            mixed = learner.rng.permutation(len(x))
+            for a in range(0, len(x), BATCH):
+                learner.step(x[mixed[a : a + BATCH]])
+
+        def rows() -> Iterator[np.ndarray | None]:
+            for batch in batches:
+                values = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, _NAMES)
+                yield np.clip((values - mean) / scale, -8, 8)
+            yield None
+
+        for new in rows():
+            if new is not None:
+                held.append(new)
+                seen += len(new)
+            if held and (new is None or sum(map(len, held)) >= MIXED):
+                x, held = np.concatenate(held), []
+                learn(x)
+        while len(x) and learner.steps < steps:
+            learn(x)
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([seen], pa.int64()), pa.array([_flat(learner.layers).tobytes()], pa.binary())], names=["shard", "n", "w"])
+
+    return own.mapInArrow(run, "shard long, n long, w binary")
+
+
+def lowest_ratio(p: np.ndarray, above: np.ndarray, cuts: np.ndarray) -> float:
+    """The least U(A) / P(A) over the regions above each of ``cuts``; ``above`` has U's shares there, ``p`` the positives' outputs."""
+    ratios = [share / (p >= c).mean() for share, c in zip(above, cuts)]
+    return float(np.clip(min(ratios), 0.05, 0.97))
+
+
+def prior_cuts(p: np.ndarray) -> np.ndarray:
+    """Cuts above which a tenth of the positives or more lie."""
+    return np.quantile(p, np.linspace(0.0, 0.9, 46))
 
 
 def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     """The least U(A) / P(A) over upper regions A that hold a tenth of the positives or more."""
-    cuts = np.quantile(p, np.linspace(0.0, 0.9, 46))
-    ratios = [(u >= c).mean() / (p >= c).mean() for c in cuts]
-    return float(np.clip(min(ratios), 0.05, 0.97))
+    cuts = prior_cuts(p)
+    return lowest_ratio(p, np.array([(u >= c).mean() for c in cuts]), cuts)
 
 
 def with_figures(df: DataFrame, text_col: str = "text") -> Column:
@@ -164,30 +254,55 @@ def with_figures(df: DataFrame, text_col: str = "text") -> Column:
     return run(F.col(text_col).cast("string"))
 
 
-def fit(described: DataFrame, positives: DataFrame, id_col: str = "doc_id", bound: int = BOUND, steps: int = 2500) -> Model:
-    """Learns from ``described`` (``id_col``, ``figures``; all documents) and the ids of trusted positives."""
+def fit(described: DataFrame, positives: DataFrame, id_col: str = "doc_id", bound: int = BOUND, steps: int = STEPS, figures_col: str = "figures") -> Model:
+    """Learns from ``described`` (``id_col``, ``figures_col``; all documents, written out) and the ids of trusted positives."""
+    own = described.select(F.col(id_col).alias("id"), F.col(figures_col).alias("figures"))
     known = positives.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
-    stats = described.select(*[F.col("figures")[k].alias(f"f{k}") for k in range(_NAMES)])
+    stats = own.select(*[F.col("figures")[k].alias(f"f{k}") for k in range(_NAMES)])
     row = stats.agg(F.count("*"), *[F.avg(f"f{k}") for k in range(_NAMES)], *[F.stddev_pop(f"f{k}") for k in range(_NAMES)]).first()
     rows, good = row[0], known.count()
     if not rows or not good:
         return Model(np.zeros(_NAMES), np.ones(_NAMES), [], 0.5)
     mean, scale = np.array(row[1 : 1 + _NAMES], float), np.array(row[1 + _NAMES :], float)
     scale = np.where(scale > 1e-6, scale, 1.0)
-    own = described.select(F.col(id_col).alias("id"), "figures")
-    p = own.join(F.broadcast(known.where(hash_share("id", good, bound))), "id").select("figures").toPandas()  # about ``bound`` rows
-    u = own.where(hash_share("id", rows, bound)).select("figures").toPandas()
-    if not len(p) or not len(u):
+    parts = 1_000_000_000
+    few = known.where(F.pmod(F.xxhash64("id"), F.lit(parts)) < (parts if good <= bound else int(parts * bound / good)))  # distinct ids: about ``bound``
+    trusted_rows = own.join(F.broadcast(few), "id").select("figures")
+    p = trusted_rows.where(row_share(trusted_rows.count(), bound)).toPandas()  # about ``bound`` rows, though an id may be on many
+    if not len(p):
         return Model(mean, scale, [], 0.5)
-    p, u = (np.clip((np.stack(x["figures"]).astype(float) - mean) / scale, -8, 8) for x in (p, u))
+    p = np.clip((np.stack(p["figures"]).astype(float) - mean) / scale, -8, 8)
+    slim = own.select("figures").coalesce(1 + rows // SHARD_ROWS)
+
+    def rounds(p: np.ndarray, prior: float | None, turns: int) -> list[np.ndarray]:
+        layers = _initial()
+        for turn in range(turns):
+            layers = _layers(average(_learnt(slim, p, mean, scale, layers, prior, turn, steps)))
+        return layers
+
     half = np.arange(len(p)) % 2 == 0  # the prior is read off rows the score has not seen
-    plain = _train(p[half] if half.any() and (~half).any() else p, u, None, steps // 2)
-    seen = p[~half] if (~half).any() else p
-    prior = estimate_prior(_forward(plain, seen)[1], _forward(plain, u)[1])
-    layers = _train(p, u, prior, steps)
-    out = _forward(layers, p)[1]
-    low, middle = np.quantile(out, [LOW_SHARE, 0.5])
-    return Model(mean, scale, layers, prior, float(low - SLACK * (middle - low)))
+    whole = len(p) < 2
+    plain = Model(mean, scale, rounds(p if whole else p[half], None, 1), 0.5)
+    seen = plain.output((p if whole else p[~half]) * scale + mean)
+    cuts = prior_cuts(seen)
+    outputs = own.select(_outputs(described, plain)(F.col("figures")).alias("g"))
+    above = outputs.agg(*[F.avg((F.col("g") >= float(c)).cast("double")) for c in cuts]).first()
+    model = Model(mean, scale, rounds(p, lowest_ratio(seen, np.array(above), cuts), ROUNDS), lowest_ratio(seen, np.array(above), cuts))
+    low, middle = np.quantile(model.output(p * scale + mean), [LOW_SHARE, 0.5])
+    model.level = float(low - SLACK * (middle - low) - 1e-3)  # never on a positive itself
+    return model
+
+
+def _outputs(df: DataFrame, model: Model):
+    """A function from figures to the network's output."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series(shared.value.output(np.stack(part.to_list()).astype(float)) if len(part) else [], dtype=float)
+
+    return run
 
 
 def score_figures(df: DataFrame, model: Model, col: str = "figures") -> Column:
@@ -221,6 +336,7 @@ def trusted(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality
 
 
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` and ``figures`` of every row, written out."""
     return materialise(docs.select(F.col(id_col), with_figures(docs, text_col).alias("figures")), "quality-figures")
 
 
