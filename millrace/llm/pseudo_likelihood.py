@@ -9,11 +9,12 @@ class times that within the class (both softmax), so that probabilities sum to o
 
 Training is data parallel: each task takes Adagrad steps over the positions of its own documents, starting from the same
 weights; the weights are averaged, weighted by positions, in rounds of bounded groups, and the next pass starts from the
-average. A pass takes every ``STRIDE``-th position of every document, each pass others, and there are as many passes as that:
+average. Texts are split once: token numbers (two bytes each) are written to a table that all passes and the scoring read. A pass takes every ``STRIDE``-th position of every document, each pass others, and there are as many passes as that:
 every position of the corpus is learnt from once. Scoring sums the log probabilities of all positions of a whole text.
 
 Defined cases: null and empty texts have no tokens, a score of 0 and no mean; a corpus without words leaves the network as
-initialised; ties in the vocabulary go by the word.
+initialised; ties in the vocabulary go by the word; very long texts are read whole; repeated rows are learnt from and scored each;
+an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ VOCABULARY = CLASSES * PER_CLASS
 WORDS = VOCABULARY - BUCKETS
 PAD = VOCABULARY
 REACH, EMBEDDING, HIDDEN = 2, 16, 32
-STRIDE, PASSES, BATCH, RATE = 2, 2, 1024, 0.08
+STRIDE, PASSES, BATCH, RATE = 2, 2, 2048, 0.08
 #: Weight vectors averaged in one group, and at most so many come to the driver.
 FAN_IN = 32
 #: Words a task counts before it passes its counts on.
@@ -84,6 +85,36 @@ def token_ids(text: str | None, index: dict[str, int]) -> np.ndarray:
     return np.array([k if k is not None else WORDS + zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for k, w in zip(known, words)], np.int32)
 
 
+def _split(text: str | None, index: dict[str, int]) -> tuple[np.ndarray, Counter]:
+    """Token numbers of a text, and how often each word occurs that has no place in the network."""
+    words = words_of(text)
+    found = list(map(index.get, words))
+    rare = Counter(w for k, w in zip(found, words) if k is None)
+    numbers = {w: WORDS + zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in rare}
+    return np.array([k if k is not None else numbers[w] for k, w in zip(found, words)], np.int16), rare
+
+
+def tokenised(df: DataFrame, words: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``row``, ``id``, ``ids`` (token numbers, two bytes each), and ``rare`` and ``times``: the words beyond ``words`` with their
+    numbers. Written out: texts are split here and nowhere else."""
+    small_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(words)
+    names = ["row", "id", "ids", "rare", "times"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = {w: k for k, w in enumerate(shared.value)}
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            split = [_split(x.as_py(), index) for x in batch.column(1)]
+            columns = [pa.array(np.arange(row, row + len(split))), batch.column(0), pa.array([ids.astype("<i2").tobytes() for ids, _ in split], pa.binary())]
+            columns += [pa.array([list(r) for _, r in split], pa.list_(pa.string())), pa.array([list(r.values()) for _, r in split], pa.list_(pa.int64()))]
+            row += len(split)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return materialise(src.mapInArrow(run, f"row long, id {src.schema[0].dataType.simpleString()}, ids binary, rare array<string>, times array<long>"), "lm-tokens")
+
+
 SHAPES = {
     "embedding": (VOCABULARY + 1, EMBEDDING),
     "inner": (2 * REACH * EMBEDDING, HIDDEN),
@@ -205,13 +236,12 @@ class Model:
         return {w: k for k, w in enumerate(self.words)}
 
 
-def _trained(df: DataFrame, words: list[str], start: np.ndarray, turn: int, text_col: str, stride: int, passes: int = PASSES) -> DataFrame:
+def _trained(tokens: DataFrame, start: np.ndarray, turn: int, stride: int, passes: int = PASSES) -> DataFrame:
     """``shard``, ``n`` and ``w`` (32-bit floats): the weights each task reaches from ``start`` over its documents."""
-    shared = df.sparkSession.sparkContext.broadcast((words, start))
+    shared = tokens.sparkSession.sparkContext.broadcast(start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, start = shared.value
-        index = {w: k for k, w in enumerate(words)}
+        start = shared.value
         flat, seen, squares = start.copy(), 0, np.full(len(start), 1e-6, np.float32)
         net = unpack(flat)
         left: list[tuple[np.ndarray, np.ndarray]] = []
@@ -223,7 +253,7 @@ def _trained(df: DataFrame, words: list[str], start: np.ndarray, turn: int, text
                 np.subtract(flat, RATE * g / np.sqrt(squares), out=flat)
 
         for batch in batches:
-            context, target, owner = windows([token_ids(x.as_py(), index) for x in batch.column(0)])
+            context, target, owner = windows([np.frombuffer(x.as_py(), "<i2") for x in batch.column(0)])
             place = np.arange(len(target)) - np.searchsorted(owner, owner)
             take = np.flatnonzero(place % stride == (turn * stride) // passes % stride)
             seen += len(take)
@@ -241,7 +271,7 @@ def _trained(df: DataFrame, words: list[str], start: np.ndarray, turn: int, text
                 steps(context, target)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["shard", "n", "w"])
 
-    return df.select(F.col(text_col).cast("string")).mapInArrow(run, "shard long, n long, w binary")
+    return tokens.select("ids").mapInArrow(run, "shard long, n long, w binary")
 
 
 def _averaged(pdf: pd.DataFrame) -> tuple[int, np.ndarray]:
@@ -264,12 +294,13 @@ def average(shards: DataFrame) -> np.ndarray | None:
     return _averaged(rows)[1] if len(rows) else None
 
 
-def fit(df: DataFrame, text_col: str = "text", stride: int = STRIDE, passes: int = PASSES, words: list[str] | None = None) -> Model:
-    """``words``: the most frequent of ``df``, if they are known."""
+def fit(df: DataFrame, text_col: str = "text", stride: int = STRIDE, passes: int = PASSES, words: list[str] | None = None, tokens: DataFrame | None = None) -> Model:
+    """``words``: the most frequent of ``df``, if they are known; ``tokens``: ``df`` as ``tokenised`` gives it for them."""
     small_batches(df.sparkSession)
     words, flat = vocabulary(df, text_col) if words is None else words, initial()
+    tokens = tokenised(df.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col)), words, "doc_id", text_col) if tokens is None else tokens
     for turn in range(passes):
-        reached = average(_trained(df, words, flat, turn, text_col, stride, passes))
+        reached = average(_trained(tokens, flat, turn, stride, passes))
         flat = flat if reached is None else reached
     return Model(words, flat)
 
@@ -280,12 +311,15 @@ TOGETHER = 1 << 14
 
 def pseudo_log_likelihoods(net: dict[str, np.ndarray], index: dict[str, int], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Number of tokens, and summed conditional log probabilities, of each text."""
-    ids = [token_ids(t, index) for t in texts]
+    return _summed(net, [token_ids(t, index) for t in texts])
+
+
+def _summed(net: dict[str, np.ndarray], ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     context, target, owner = windows(ids)
-    sums = np.zeros(len(texts))
+    sums = np.zeros(len(ids))
     for a in range(0, len(target), TOGETHER):
         part = slice(a, a + TOGETHER)
-        sums += np.bincount(owner[part], weights=log_probabilities(net, context[part], target[part]), minlength=len(texts))
+        sums += np.bincount(owner[part], weights=log_probabilities(net, context[part], target[part]), minlength=len(ids))
     return np.fromiter(map(len, ids), np.int64, len(ids)), sums
 
 
@@ -317,39 +351,34 @@ def word_shares(counts: DataFrame, words: list[str]) -> DataFrame:
     return rare.join(F.broadcast(totals), "bucket").select("word", (F.log("n") - F.log("total")).alias("log_share"))
 
 
-def log_likelihoods(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def log_likelihoods(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: DataFrame | None = None) -> DataFrame:
     """``id_col``, ``n_tokens``, ``pll`` and ``mean`` of every row of ``df``, each word with its own probability.
 
-    ``counts`` are those of the corpus (``word_counts``), ``df`` included. Texts are read once; of each, the words that have
-    no place in the network go on with their numbers and meet their shares in a join.
+    ``counts`` are those of the corpus (``word_counts``), ``df`` included; ``tokens``: ``df`` as ``tokenised`` gives it. The words
+    of a text that have no place in the network go on with their numbers and meet their shares in a join.
     """
     small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    names = ["row", id_col, "n_tokens", "net", "rare", "times"]
+    tokens = tokenised(df, model.words, id_col, text_col) if tokens is None else tokens
+    shared = df.sparkSession.sparkContext.broadcast(model.flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, index = unpack(shared.value.flat), shared.value.index()
-        row = TaskContext.get().partitionId() << 33
+        net = unpack(shared.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n, sums = pseudo_log_likelihoods(net, index, texts)
-            rare = [Counter(w for w in words_of(t) if w not in index) for t in texts]
-            columns = [pa.array(np.arange(row, row + len(texts))), batch.column(0), pa.array(n), pa.array(sums)]
-            columns += [pa.array(list(map(list, rare)), pa.list_(pa.string())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int64()))]
-            row += len(texts)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            n, sums = _summed(net, [np.frombuffer(x.as_py(), "<i2") for x in batch.column(2)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(sums)], names=["row", "id", "n_tokens", "net"])
 
-    src = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    scored = src.mapInArrow(run, f"row long, `{id_col}` {src.schema[0].dataType.simpleString()}, n_tokens long, net double, rare array<string>, times array<long>")
-    scored = materialise(scored, "lm-scored")
-    each = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("e")).select("row", F.col("e.rare").alias("word"), F.col("e.times").alias("times"))
+    src = tokens.select("row", "id", "ids")
+    scored = src.mapInArrow(run, f"row long, id {src.schema[1].dataType.simpleString()}, n_tokens long, net double")
+    each = tokens.select("row", F.explode(F.arrays_zip("rare", "times")).alias("e")).select("row", F.col("e.rare").alias("word"), F.col("e.times").alias("times"))
     within = each.join(word_shares(counts, model.words), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_share")).alias("within"))
     pll = F.col("net") + F.coalesce("within", F.lit(0.0))
-    return scored.select(*names[:4]).join(within, "row", "left").select(id_col, "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).alias("mean"))
+    return scored.join(within, "row", "left").select(F.col("id").alias(id_col), "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).alias("mean"))
 
 
 def op10_pseudo_likelihood(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     counts = materialise(word_counts(docs), "lm-words")
-    model = fit(docs, words=most_frequent(counts))
-    return log_likelihoods(docs, model, counts).select("doc_id", "n_tokens", "pll", F.col("mean").alias("mean_log_probability"))
+    words = most_frequent(counts)
+    tokens = tokenised(docs, words)
+    model = fit(docs, words=words, tokens=tokens)
+    return log_likelihoods(docs, model, counts, tokens=tokens).select("doc_id", "n_tokens", "pll", F.col("mean").alias("mean_log_probability"))

@@ -1,5 +1,6 @@
 """Quality, toxicity, URL verdicts and pseudo-likelihood: held-out accuracy and brute force."""
 
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -128,8 +129,8 @@ def slow_verdicts(rows):
             hosts.add(host)
             if rule:
                 seeds[rule[0]][host] += 1
-        for part in (html or "").split('href="')[1:]:
-            link = part.split('"')[0]
+        for quoted, single, bare in re.findall(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", html or "", re.IGNORECASE):
+            link = (quoted or single or bare).strip(" ")
             other = parse("http:" + link if link.startswith("//") else link)[0]
             if host and other and other != host:
                 edges[(host, other)] += 1
@@ -146,6 +147,7 @@ def slow_verdicts(rows):
         total = defaultdict(float)
         for (a, _), w in edges.items():
             total[a] += w
+        seed = {h: w / sum(seed.values()) for h, w in seed.items()}
         now = dict(seed)
         for _ in range(url_filter.ROUNDS):
             new = defaultdict(float, {h: 0.15 * w for h, w in seed.items()})
@@ -156,7 +158,7 @@ def slow_verdicts(rows):
 
     trust, distrust = rank(edges, seeds["allow"]), rank({(b, a): w for (a, b), w in edges.items()}, seeds["block"])
     for v in out.values():
-        v[3] = v[3] or ("block" if round(distrust.get(v[0], 0) - trust.get(v[0], 0), 6) > 0 else "allow")
+        v[3] = v[3] or ("block" if distrust.get(v[0], 0) > trust.get(v[0], 0) * (1 + 1e-9) else "allow")
     return {i: tuple(v) for i, v in out.items()}
 
 
@@ -179,6 +181,9 @@ def test_url_verdicts_against_brute_force(spark, monkeypatch, together):
         (12, "http://h3.net/#", "x"),
         (13, "://", ""),
         (14, "http://.com/de/", ""),
+        (15, "http://single.net", "<A HREF='http://bad.com/x'>x</A>"),
+        (16, "http://bare.net", "<a class=y href = http://bad.com/y>x</a> <a href=/z>"),
+        (17, "http://spaced.net", '<a HReF=" http://bad.com ">x</a>'),
     ]
     frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, verdict string").repartition(3)
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.verdicts(frame).collect()}
@@ -186,6 +191,17 @@ def test_url_verdicts_against_brute_force(spark, monkeypatch, together):
     assert url_filter.verdicts(frame.limit(0)).count() == 0
 
 
+def test_many_allowed_pages_do_not_drown_distrust(spark):
+    """A thousand allowed pages and one blocked page: who links to the blocked host alone is suspect all the same."""
+    rows = [(i, f"http://good.com/fr/{i}", '<a href="http://far.net">') for i in range(1000)]
+    rows += [(1000, "http://bad.com/de/", ""), (1001, "http://helper.net", '<a href="http://bad.com/de/">'), (1002, "http://far.net", "")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.verdicts(frame).where("page_id >= 1000").collect()}
+    assert got[1001][3] == "block" and got[1002][3] == "allow"
+    assert got == {k: v for k, v in slow_verdicts(rows).items() if k >= 1000}
+    assert 0.85**url_filter.ROUNDS < url_filter.TOLERANCE
+
+
 def test_network_gradient_and_normalisation():
     rng = np.random.default_rng(0)
     flat = lm.initial().astype(np.float64)
