@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ BATCH_ROWS, BATCH_BYTES = 400, 4 << 20
 #: Slim rows that one file of an intermediate table may hold, and the most files a narrowed write makes.
 FILE_ROWS = 500_000
 MAX_COALESCED = 10_000
+#: Slim rows (a key or two) that a broadcast may hold: some 100 MB when hashed.
+BROADCAST_ROWS = 1_000_000
 #: Where tables go if a session on one machine names no shared folder (tests only).
 LOCAL_FALLBACK = "file:///tmp/checkpoints"
 T = TypeVar("T")
@@ -80,9 +83,24 @@ def fresh_name(df: DataFrame, name: str) -> str:
 
 
 def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written out with a number for each row, and that column's name: rows stay apart whatever their ids are."""
-    key = fresh_name(df, "row_number")
-    return materialise(df.withColumn(key, F.monotonically_increasing_id()), name), key
+    """``df`` with a key for each row (a struct of two longs), and that column's name: rows stay apart whatever their ids are.
+
+    The rows of a table read from files are known by file and place, so nothing is copied; what comes from elsewhere is written
+    out with numbers under ``name`` first, since it may not come in the same order twice.
+    """
+    key = fresh_name(df, "row_key")
+    try:
+        keyed = df.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")).alias(key))
+        keyed.schema  # noqa: B018  analysed here: only a table read from files has the metadata
+    except AnalysisException:
+        keyed = materialise(df.withColumn(key, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place"))), name)
+    return keyed, key
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A slim stored table for one side of a join: marked for broadcast if it is counted to have ``BROADCAST_ROWS`` rows or fewer, else
+    left to Spark."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:

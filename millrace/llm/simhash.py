@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, materialise, small_batches
+from millrace.llm.common import discard, materialise, small_batches, small_side
 
 SEED = 42
 SHINGLE = 3
@@ -331,8 +331,8 @@ def sketches(df: DataFrame, key_col: str, text_col: str, shingle: int) -> DataFr
             lists = [pa.array([f(x).view(np.int64) for x in sets], pa.list_(pa.int64())) for f in (wide_fingerprint, band_keys)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes.view(np.int64)), *lists], names=["row", "node", "f", "bands"])
 
-    src = df.select(F.col(key_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "row long, node long, f array<long>, bands array<long>")
+    src = df.select(F.col(key_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(run, f"row {src.schema[0].dataType.simpleString()}, node long, f array<long>, bands array<long>")
 
 
 def nearest_outside(words: np.ndarray, roots: np.ndarray, radius: int = WIDE_RADIUS, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -368,15 +368,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return sized.where(F.col("common") >= similarity * (F.col("total") - F.col("common"))).select("a", "b")
 
 
+def _sets(df: DataFrame, nodes: DataFrame, pairs: DataFrame, key_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``node`` and ``hashes`` (the shingle set) of the nodes in ``pairs``, from the text of one row of each."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = materialise(needed.join(nodes.select("node", "row"), "node"), "similar-wanted")
+    src = df.select(F.col(key_col).alias("row"), F.col(text_col).cast("string").alias("text")).join(small_side(wanted), "row").select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [shingle_set(x.as_py(), shingle).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    return materialise(src.mapInArrow(run, "node long, hashes array<long>"), "similar-sets")
+
+
 def similar_groups(df: DataFrame, key_col: str, text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = 0.8, split_at: int = SPLIT_AT) -> DataFrame:
     """``key_col`` and ``component`` of every row of ``df``: rows whose shingle sets reach ``similarity`` share a component.
 
-    ``key_col`` is a long that tells rows apart, without nulls; ``df`` is a stored table, since its texts are read twice. Rows of
-    equal sets are one node. Each node of a bucket (a band key) is compared with the bucket's least node, then, while
-    components remain apart in a bucket, with the nearest node outside its own component; buckets of more than ``split_at``
-    nodes are dealt as pairs of parts. Two texts of similarity s meet in a bucket with probability 1 - (1 - s**5)**16.
+    ``key_col`` tells rows apart and has no nulls; ``df`` is a stored table, since some texts are read again. Rows of equal sets
+    are one node. Each node of a bucket (a band key) is compared with the bucket's least node, then, while components remain
+    apart in a bucket, with the nearest node outside its own component; buckets of more than ``split_at`` nodes are dealt as
+    pairs of parts. Two texts of similarity s meet in a bucket with probability 1 - (1 - s**5)**16.
     """
-    spark = df.sparkSession
     rows = materialise(sketches(df, key_col, text_col, shingle), "similar-sketches")
     nodes = rows.groupBy("node").agg(F.min("row").alias("row"), F.first("f").alias("f"), F.first("bands").alias("bands"))
     nodes = materialise(nodes, "similar-nodes")
@@ -384,19 +397,13 @@ def similar_groups(df: DataFrame, key_col: str, text_col: str = "text", shingle:
     held = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("lead")).where("members > 1")
     members = materialise(keyed.join(held, "key"), "similar-members")
     prints = nodes.select("node", "f")
-    near = lambda: reduce(lambda x, y: x + y, [F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(WIDE)]) <= WIDE_RADIUS
+    near = reduce(lambda x, y: x + y, [F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(WIDE)]) <= WIDE_RADIUS
     stars = members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     stars = stars.join(prints.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
-    pairs = materialise(stars.where(near()).select("a", "b"), "similar-pairs")
-    in_buckets = members.select("node").distinct().join(nodes.select("node", "row"), "node")
-    texts = df.select(F.col(key_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text")).join(in_buckets, "row").select("node", "text")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [shingle_set(x.as_py(), shingle).view(np.int64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["node", "hashes"])
-
-    sets = materialise(texts.mapInArrow(hashed, "node long, hashes array<long>"), "similar-sets")
+    pairs = materialise(stars.where(near).select("a", "b"), "similar-pairs")
+    edges = materialise(_verified(pairs, _sets(df, nodes, pairs, key_col, text_col, shingle), similarity), "similar-links")
+    tried = pairs
+    roots = components(edges)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.zeros((4 + WIDE, 0), np.int64)  # of the bucket that the last batch may not have ended
@@ -405,9 +412,9 @@ def similar_groups(df: DataFrame, key_col: str, text_col: str = "text", shingle:
                 rest = np.concatenate([rest, np.stack([np.asarray(c, np.int64) for c in batch.columns])], axis=1)
             new = np.flatnonzero((np.diff(rest[:2], axis=1) != 0).any(axis=0)) + 1
             cut = rest.shape[1] if batch is None else (int(new[-1]) if len(new) else 0)
-            edges = [0, *new[new < cut].tolist(), cut]
+            cuts = [0, *new[new < cut].tolist(), cut]
             links: set[tuple[int, int]] = set()
-            for a, b in zip(edges, edges[1:]):
+            for a, b in zip(cuts, cuts[1:]):
                 node, root, words = rest[2, a:b], rest[3, a:b], np.ascontiguousarray(rest[4:, a:b].T).view(np.uint64)
                 if b > a and (root != root[0]).any():
                     i, j = nearest_outside(words, root)
@@ -417,9 +424,6 @@ def similar_groups(df: DataFrame, key_col: str, text_col: str = "text", shingle:
                 left, right = zip(*links)
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    edges = materialise(_verified(pairs, sets, similarity), "similar-links")
-    tried = pairs
-    roots = components(edges)
     for _ in range(SEARCHES):
         placed = members.join(roots, "node", "left").select("key", "members", "node", F.coalesce("root", "node").alias("root"))
         open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
@@ -432,7 +436,8 @@ def similar_groups(df: DataFrame, key_col: str, text_col: str = "text", shingle:
         ordered = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell", "node").select("key", "cell", "node", "root", *[F.col("f")[k].alias(f"f{k}") for k in range(WIDE)])
         found = ordered.mapInArrow(search, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         found = materialise(found, "similar-pairs")
-        more = materialise(_verified(found, sets, similarity), "similar-links")
+        more = materialise(_verified(found, _sets(df, nodes, found, key_col, text_col, shingle), similarity), "similar-links")
+        discard(open_rows)
         if not more.limit(1).count():
             break
         tried, edges = tried.unionByName(found), edges.unionByName(more)
