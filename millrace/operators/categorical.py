@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,14 +94,16 @@ def manual_correction(values: list[str], corrections: dict[str, str]) -> list[st
     return [corrections.get(v, v) for v in values]
 
 
-def fix_spelling_errors_in_categorical(df: DataFrame, corrections: dict[str, dict[str, str]] | None = None, corrector: Callable | None = None, max_values: int = 1000) -> DataFrame:
-    """String columns corrected by a given mapping, or by a function over their distinct values (``max_values`` at most)."""
+def fix_spelling_errors_in_categorical(df: DataFrame, corrections: dict[str, dict[str, str]] | None = None, corrector: Callable | None = None, batch: int = 1000) -> DataFrame:
+    """String columns corrected by a given mapping, or by a function over all their distinct values, ``batch`` at a time."""
     table = {c: dict(m) for c, m in (corrections or {}).items()}
     if corrector:
         for c in strings(df):
-            values = [r[0] for r in df.select(col(c)).where(col(c).isNotNull()).distinct().orderBy(col(c)).limit(max_values + 1).collect()]
-            if len(values) <= max_values:
-                table[c] = {a: b for a, b in zip(values, correct_categorical_values(corrector, c, values)) if a != b} | table.get(c, {})
+            values = df.select(col(c).alias("v")).where(col(c).isNotNull()).distinct().orderBy("v").toLocalIterator()
+            found: dict[str, str] = {}
+            while part := [r.v for r in islice(values, batch)]:
+                found |= {a: b for a, b in zip(part, correct_categorical_values(corrector, c, part)) if a != b}
+            table[c] = found | table.get(c, {})
     return replace_values(df, table)
 
 

@@ -1,23 +1,25 @@
 """Imputation by neighbours and by chained regressions.
 
-KNN compares each row that misses a value with a bounded set of donors, held in every task; chained equations need only
-sums of products, which one aggregation a feature and round gives.
+KNN folds rows to distinct tuples of features and compares the incomplete ones, in blocks of bounded size, with all of them where
+they lie: a task keeps the nearest of its own donors, and these are merged. No donor is left out at any size. Chained equations
+need only sums of products, which one aggregation a feature and round gives.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.selectors import col, present, replaced
 from millrace.functions.stats import first_row
 
-#: Donor rows at most; beyond that a hash-chosen share of the rows donates (a documented bound of the estimator).
-DONORS = 50_000
+#: Incomplete tuples of one block, and donors compared at once: what a task holds.
+QUERIES, DONORS_AT_ONCE = 2_000, 2_000
 #: Rows whose distances to all donors are held at once, in numbers.
 CELLS = 4_000_000
 
@@ -56,10 +58,49 @@ def neighbour_means(x: np.ndarray, donors: np.ndarray, means: np.ndarray, k: int
     return out
 
 
-def impute_knn(df: DataFrame, columns: list[str], k: int = 5, donors: int = DONORS) -> DataFrame:
+def _ordered(donors: np.ndarray) -> np.ndarray:
+    """The order of donor tuples, feature by feature, missing values last."""
+    return np.lexsort(donors.T[::-1])
+
+
+def _nearest(queries: np.ndarray, gaps: list[int], k: int):
+    """A task's function: of its donors (``x``, ``n``) the ``k`` nearest tuples for every query and missing feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = queries.shape[1]
+        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            values = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            times = batch.column(1).to_numpy(zero_copy_only=False)
+            for a in range(0, len(values), DONORS_AT_ONCE):
+                donors, n = values[a : a + DONORS_AT_ONCE], times[a : a + DONORS_AT_ONCE]
+                order = _ordered(donors)
+                donors, n = donors[order], n[order]
+                far = _distances(queries, donors)
+                for j in gaps:
+                    own = np.flatnonzero(~np.isnan(donors[:, j]))
+                    for i in np.flatnonzero(np.isnan(queries[:, j])) if len(own) else ():
+                        d = far[i, own]
+                        few = np.argsort(d, kind="stable")[:k]
+                        few = few[np.isfinite(d[few])]
+                        new = (d[few], donors[own[few]], n[own[few]])
+                        if (i, j) in held:  # equal distances go by tuple
+                            d, x, m = (np.concatenate(p) for p in zip(held[(i, j)], new))
+                            best = np.lexsort((*x.T[::-1], d))[:k]
+                            new = d[best], x[best], m[best]
+                        held[(i, j)] = new
+        rows = [(i, j, *row) for (i, j), found in held.items() for row in zip(*found)]
+        columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate([pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.int64()])]
+        yield pa.RecordBatch.from_arrays(columns, names=["q", "j", "d", "x", "n"])
+
+    return run
+
+
+def impute_knn(df: DataFrame, columns: list[str], k: int = 5, queries: int = QUERIES) -> DataFrame:
     """NaN-Euclidean nearest neighbours over ``columns``; those with a missing value become double, the others stay.
 
-    Columns without any value stay null. Complete rows do not leave the JVM's projection but pass unchanged.
+    A gap gets the mean of the ``k`` nearest rows that have the feature (equal distances by the rows' values, feature by feature), or
+    the column's mean if no such row shares a feature. Columns without any value stay null; complete rows pass unchanged.
     """
     exprs: dict = {("n", c): F.count(present(df, c)) for c in columns} | {("m", c): F.avg(present(df, c)) for c in columns} | {"rows": F.count(F.lit(1))}
     got = first_row(df, exprs)
@@ -67,32 +108,33 @@ def impute_knn(df: DataFrame, columns: list[str], k: int = 5, donors: int = DONO
     gaps = [c for c in names if got[("n", c)] < got["rows"]]
     if not gaps:
         return df
-    features = df.select(*[present(df, c).cast("double").alias(f"f{i}") for i, c in enumerate(names)])
-    parts = 1_000_000
-    share = parts if got["rows"] <= donors else max(1, int(parts * donors / got["rows"]))
-    pool = features.where(F.pmod(F.xxhash64(*features.columns), F.lit(parts)) < share).toPandas().to_numpy(float)
-    pool = pool[np.lexsort(pool.T[::-1])]
-    means = np.array([got[("m", c)] for c in names], float)
-    shared = df.sparkSession.sparkContext.broadcast((pool, means))
     at = [names.index(c) for c in gaps]
-
-    @F.pandas_udf("array<double>")
-    def fill(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pool, means = shared.value
-        for rows in parts:
-            out = [None] * len(rows)
-            which = [i for i, r in enumerate(rows) if r is not None]
-            if which:
-                x = np.array([np.asarray(rows.iloc[i], float) for i in which])
-                for i, r in zip(which, neighbour_means(x, pool, means, k)[:, at]):
-                    out[i] = r
-            yield pd.Series(out)
-
-    row = F.array(*[present(df, c).cast("double") for c in names])
+    row = F.array(*[F.coalesce(present(df, c).cast("double"), F.lit(float("nan"))) for c in names])
     incomplete = F.coalesce(*[F.when(present(df, c).isNull(), True) for c in gaps], F.lit(False))
-    filled = df.withColumn("__filled", fill(F.when(incomplete, row)))
-    new = {c: F.coalesce(present(df, c).cast("double"), F.col("__filled")[i]) for i, c in enumerate(gaps)}
-    return replaced(filled, new).drop("__filled")
+    tuples = df.groupBy(row.alias("x")).agg(F.count("*").alias("n")).checkpoint()
+    open_tuples = tuples.where(reduce(lambda a, b: a | b, [F.isnan(F.col("x")[j]) for j in at])).select("x")
+    blocks = 1 + open_tuples.count() // queries
+    fills = []
+    for b in range(blocks):  # distinct tuples, so a hash deals them evenly: about ``queries`` come to the driver
+        block = open_tuples.where(F.pmod(F.xxhash64("x"), F.lit(blocks)) == b).toPandas()["x"]
+        if not len(block):
+            continue
+        x = np.stack(block.to_list())
+        near = tuples.select("x", "n").mapInArrow(_nearest(x, at, k), "q int, j int, d double, x array<double>, n long")
+        ranked = near.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("q", "j").orderBy("d", "x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        taken = ranked.withColumn("take", F.least("n", F.lit(k) - F.col("before"))).where("take > 0")
+        value = F.element_at("x", F.col("j") + 1)
+        means = taken.groupBy("q", "j").agg((F.sum(value * F.col("take")) / F.sum("take")).alias("mean"))
+        of_query = means.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("j", "mean"))).alias("means"))
+        keys = df.sparkSession.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "q int, x array<double>")
+        fills.append(keys.join(of_query, "q").select(F.col("x").alias("__tuple"), "means"))
+    kept = df.columns
+    fill = reduce(DataFrame.unionByName, fills).withColumnRenamed("means", "__means")
+    gone = df.where(incomplete).withColumn("__row", row)
+    found = gone.join(fill, F.col("__row") == F.col("__tuple"), "left")
+    new = {c: F.coalesce(present(df, c).cast("double"), F.try_element_at("__means", F.lit(j)), F.lit(float(got[("m", c)]))) for c, j in zip(gaps, at)}
+    whole = replaced(df.where(~incomplete), {c: present(df, c).cast("double") for c in gaps})
+    return whole.unionByName(replaced(found, new).select(*map(col, kept)))
 
 
 def _solve(sums: dict, names: list[str], target: str) -> tuple[float, np.ndarray]:

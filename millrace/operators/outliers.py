@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.selectors import chosen, col, core_numeric, numeric, present, replaced
-from millrace.functions.stats import correlations, first_row, iqr_fences, medians, quantiles, skewnesses
+from millrace.functions.stats import ACCURACY, correlations, first_row, iqr_fences, medians, quantiles, skewnesses
 
 
 def check_outliers(df: DataFrame) -> dict[str, DataFrame]:
@@ -64,16 +64,27 @@ def winsorize(df: DataFrame, lower: float = 0.05, upper: float = 0.05, columns:
 def remove_outliers_by_group(df: DataFrame, group_col: str, columns: Iterable[str] | None = None, k: float = 1.5) -> DataFrame:
     """Rows inside the fences of their group, column after column; nulls go, a null group is a group.
 
-    The ranks come from counts of distinct values (folded before the shuffle), so a large group costs its distinct values,
-    not its rows.
+    Approximate percentiles bracket each rank, and only a group's values inside its brackets are ranked one by one, so that the task
+    of a large group sees few of its values. A group of up to ``ACCURACY`` rows is ranked whole.
     """
     kept = df.columns
     for c in [c for c in chosen(df, columns, numeric(df)) if c != group_col]:
         x = present(df, c)
-        counts = df.where(x.isNotNull()).groupBy(col(group_col).alias("g"), x.cast("double").alias("x")).agg(F.count("*").alias("n"))
-        by_value = Window.partitionBy("g").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = counts.withColumn("upto", F.sum("n").over(by_value)).withColumn("total", F.sum("n").over(Window.partitionBy("g")))
-        at = lambda q: F.min(F.when(F.col("upto") >= F.floor(F.lit(q) * (F.col("total") - 1) + F.lit(0.5)) + 1, F.col("x")))
+        rows = df.where(x.isNotNull()).select(col(group_col).alias("g"), x.cast("double").alias("x"))
+        slack = 3 / ACCURACY
+        percents = [0.25 - slack, 0.25 + slack, 0.75 - slack, 0.75 + slack]
+        sized = rows.groupBy("g").agg(F.count("*").alias("total"), F.percentile_approx("x", percents, ACCURACY).alias("p"))
+        large = F.col("total") > ACCURACY
+        low_of = lambda i: F.when(large, F.col("p")[i]).otherwise(F.lit(-math.inf))
+        high_of = lambda i: F.when(large, F.col("p")[i]).otherwise(F.lit(math.inf))
+        sides = [F.struct(F.lit(q).alias("q"), low_of(i).alias("low"), high_of(i + 1).alias("high")) for q, i in ((0.25, 0), (0.75, 2))]
+        brackets = sized.select(F.col("g").alias("__g"), "total", F.array(*sides).alias("sides"))
+        met = rows.join(brackets, F.col("g").eqNullSafe(F.col("__g"))).select("g", "total", "x", F.explode("sides").alias("s"))
+        inside = (F.col("x") >= F.col("s.low")) & (F.col("x") <= F.col("s.high"))
+        counts = met.where(F.col("x") <= F.col("s.high")).groupBy("g", "total", F.col("s.q").alias("q"), F.when(inside, F.col("x")).alias("x")).agg(F.count("*").alias("n"))
+        by_value = Window.partitionBy("g", "q").orderBy(F.asc_nulls_first("x")).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counts.withColumn("upto", F.sum("n").over(by_value))
+        at = lambda q: F.min(F.when((F.col("q") == q) & (F.col("upto") >= F.floor(F.lit(q) * (F.col("total") - 1) + F.lit(0.5)) + 1), F.col("x")))
         fences = ranked.groupBy("g").agg(at(0.25).alias("q1"), at(0.75).alias("q3"))
         low, high = F.col("q1") - F.lit(k) * (F.col("q3") - F.col("q1")), F.col("q3") + F.lit(k) * (F.col("q3") - F.col("q1"))
         fences = fences.select(F.col("g").alias("__g"), low.alias("__low"), high.alias("__high"))

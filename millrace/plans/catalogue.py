@@ -64,9 +64,14 @@ LINE = "l_orderkey, l_linenumber"
 # outliers -----------------------------------------------------------------------------------------------------------
 
 
-@query("iqr_filter_extendedprice", f"WITH {fences('l_extendedprice', 'lineitem', 'f')} SELECT {LINE}, l_extendedprice FROM lineitem, f WHERE l_extendedprice BETWEEN lo AND hi")
+#: A long-tailed price, so that fences cut something off.
+_TAIL = "(l_extendedprice * l_extendedprice / 1000000e0) * (l_extendedprice * l_extendedprice / 1000000e0)"
+
+
+@query("iqr_filter_extendedprice", f"WITH t AS (SELECT {LINE}, {_TAIL} AS tail FROM lineitem), {fences('tail', 't', 'f')} SELECT {LINE}, tail FROM t, f WHERE tail BETWEEN lo AND hi")
 def _(spark, sf):
-    return mr.remove_outliers(table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("int").alias("l_orderkey"), "l_linenumber", "l_extendedprice")).select(F.col("l_orderkey").cast("long").alias("l_orderkey"), "l_linenumber", "l_extendedprice")
+    df = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("int").alias("l_orderkey"), "l_linenumber", F.expr(_TAIL).alias("tail"))
+    return mr.remove_outliers(df).withColumn("l_orderkey", F.col("l_orderkey").cast("long"))
 
 
 @query("iqr_bounds_orders", f"WITH {fences('o_totalprice', 'orders', 'f')} SELECT round(lo, 6) AS lo, round(hi, 6) AS hi FROM f")
@@ -77,17 +82,20 @@ def _(spark, sf):
 
 @query(
     "remove_outliers_sequential",
-    f"WITH {fences('l_quantity', 'lineitem', 'f1')}, t1 AS (SELECT l.* FROM lineitem l, f1 WHERE l_quantity BETWEEN lo AND hi), {fences('l_extendedprice', 't1', 'f2')}, "
-    f"t2 AS (SELECT t1.* FROM t1, f2 WHERE l_extendedprice BETWEEN lo AND hi), {fences('l_discount', 't2', 'f3')} SELECT {LINE}, l_quantity, l_extendedprice, l_discount FROM t2, f3 WHERE l_discount BETWEEN lo AND hi",
+    f"WITH t0 AS (SELECT *, {_TAIL} AS tail FROM lineitem), {fences('l_quantity', 't0', 'f1')}, t1 AS (SELECT t0.* FROM t0, f1 WHERE l_quantity BETWEEN lo AND hi), {fences('tail', 't1', 'f2')}, "
+    f"t2 AS (SELECT t1.* FROM t1, f2 WHERE tail BETWEEN lo AND hi), {fences('l_discount', 't2', 'f3')} SELECT {LINE}, l_quantity, tail, l_discount FROM t2, f3 WHERE l_discount BETWEEN lo AND hi",
 )
 def _(spark, sf):
-    df = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("l_orderkey"), "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
+    df = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("l_orderkey"), "l_linenumber", "l_quantity", F.expr(_TAIL).alias("tail"), "l_discount")
     return mr.remove_outliers(df).withColumn("l_orderkey", F.col("l_orderkey").cast("long"))
 
 
-@query("outlier_rows_orders", f"WITH {fences('o_totalprice', 'orders', 'f')} SELECT o_orderkey, o_totalprice FROM orders, f WHERE o_totalprice < lo OR o_totalprice > hi")
+_ORDER_TAIL = "(o_totalprice * o_totalprice / 1000000e0) * (o_totalprice * o_totalprice / 1000000e0)"
+
+
+@query("outlier_rows_orders", f"WITH t AS (SELECT o_orderkey, {_ORDER_TAIL} AS tail FROM orders), {fences('tail', 't', 'f')} SELECT o_orderkey, tail FROM t, f WHERE tail < lo OR tail > hi")
 def _(spark, sf):
-    return mr.check_outliers(table(spark, sf, "orders"))["o_totalprice"].select("o_orderkey", "o_totalprice")
+    return mr.check_outliers(table(spark, sf, "orders").select("o_orderkey", F.expr(_ORDER_TAIL).alias("tail")))["tail"].select("o_orderkey", "tail")
 
 
 @query("zscore_filter", "WITH s AS (SELECT avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS d FROM customer) SELECT c_custkey, c_acctbal FROM customer, s WHERE abs((c_acctbal - m) / d) <= 1.5")
@@ -107,10 +115,10 @@ def _(spark, sf):
 
 @query(
     "outliers_by_group",
-    f"WITH q AS (SELECT l_returnflag AS g, {rank('l_extendedprice', '0.25')} AS q1, {rank('l_extendedprice', '0.75')} AS q3 FROM lineitem GROUP BY 1) SELECT {LINE}, l_returnflag, l_extendedprice FROM lineitem JOIN q ON g = l_returnflag WHERE l_extendedprice BETWEEN q1 - 0.8 * (q3 - q1) AND q3 + 0.8 * (q3 - q1)",
+    f"WITH q AS (SELECT l_returnflag AS g, {rank('l_extendedprice', '0.25')} AS q1, {rank('l_extendedprice', '0.75')} AS q3 FROM lineitem GROUP BY 1) SELECT {LINE}, l_returnflag, l_extendedprice FROM lineitem JOIN q ON g = l_returnflag WHERE l_extendedprice BETWEEN q1 - 0.3e0 * (q3 - q1) AND q3 + 0.3e0 * (q3 - q1)",
 )
 def _(spark, sf):
-    return mr.remove_outliers_by_group(table(spark, sf, "lineitem"), "l_returnflag", ["l_extendedprice"], 0.8).select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    return mr.remove_outliers_by_group(table(spark, sf, "lineitem"), "l_returnflag", ["l_extendedprice"], 0.3).select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
 
 
 _SKEW = "(avg(power({x} - m, 3)) / power(avg(power({x} - m, 2)), 1.5))"
@@ -437,9 +445,10 @@ for _keep, _order in (("first", "ASC"), ("last", "DESC")):
         return mr.drop_duplicates_subset(table(spark, sf, "events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], keep, "event_id")
 
 
-@query("dedup_subset_none", "SELECT event_id, user_id, event_type FROM (SELECT *, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events) WHERE n = 1")
+@query("dedup_subset_none", "SELECT event_id, user_id, event_type, day FROM (SELECT *, CAST(ts AS DATE) AS day, count(*) OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE)) AS n FROM events) WHERE n = 1")
 def _(spark, sf):
-    return mr.drop_duplicates_subset(table(spark, sf, "events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], "none")
+    df = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"))
+    return mr.drop_duplicates_subset(df, ["user_id", "event_type", "day"], "none")
 
 
 @query("fuzzy_dedup")
@@ -589,8 +598,8 @@ def _(spark, sf):
 
 @query("pii_mask", f"SELECT doc_id, regexp_replace(regexp_replace(text, '{pii.KINDS['EMAIL_ADDRESS']}', '<EMAIL_ADDRESS>', 'g'), '{pii.KINDS['IP_ADDRESS']}', '<IP_ADDRESS>', 'g') AS text_masked FROM documents")
 def _(spark, sf):
-    only = lambda x: F.regexp_replace(F.regexp_replace(x, pii.KINDS["EMAIL_ADDRESS"], "<EMAIL_ADDRESS>"), pii.KINDS["IP_ADDRESS"], "<IP_ADDRESS>")
-    return mr.detect_and_mask_pii(table(spark, sf, "documents").select("doc_id", "text"), columns=["text"], masker=only).drop("text")
+    df = table(spark, sf, "documents").select("doc_id", "text")
+    return mr.detect_and_mask_pii(df, columns=["text"], masker=lambda x: pii.mask_text(x, ("EMAIL_ADDRESS", "IP_ADDRESS"))).drop("text")
 
 
 @query("pii_mask_all")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import millrace as mr
+from millrace.operators import outliers
 from millrace.functions import stats
 from millrace.operators import eda
 
@@ -124,3 +125,18 @@ def test_isolation_forest_samples_rows_not_values(spark, monkeypatch):
     iforest.remove_outliers_isolation_forest(rows, 0.05).count()
     sampled = [v for x in seen for v in x[:, 0]]
     assert [sampled.count(v) / len(sampled) for v in (1.0, 2.0, 50.0)] == pytest.approx([0.6, 0.3, 0.1], abs=0.05)
+
+
+def test_large_groups_are_bracketed_exactly(spark, monkeypatch):
+    """With a coarse approximation the brackets differ from all values, and the fences do not."""
+    monkeypatch.setattr(outliers, "ACCURACY", 50)
+    rng = np.random.default_rng(7)
+    rows = [("a", float(v)) for v in rng.lognormal(size=3000).round(2)] + [("b", 1.0)] * 500 + [("b", 9.0)] * 20 + [(None, float(k)) for k in range(60)] + [("c", None), ("d", 5.0)]
+    got = mr.remove_outliers_by_group(spark.createDataFrame(rows, "g string, x double"), "g", ["x"]).collect()
+    want = []
+    for g in {r[0] for r in rows}:
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        if own:
+            q1, q3 = (own[int(np.floor(q * (len(own) - 1) + 0.5))] for q in (0.25, 0.75))
+            want += [(g, v) for v in own if q1 - 1.5 * (q3 - q1) <= v <= q3 + 1.5 * (q3 - q1)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(got) < len(rows)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import millrace as mr
 from millrace.functions.ratio import lcs_length, ratio, token_sort_ratio
-from millrace.operators.impute import neighbour_means
+from millrace.operators.impute import impute_knn, neighbour_means
 
 
 def column(df, c, by=None):
@@ -65,6 +65,16 @@ def test_knn_matches_brute_force(spark):
     assert neighbour_means(np.array([[np.nan]]), np.array([[2.0]]), np.array([7.0]), 5)[0, 0] == 7.0
 
 
+def test_knn_counts_repeated_rows_and_uses_every_donor(spark):
+    """Half the rows are equal; queries come in several blocks; the nearest five are rows, not distinct rows."""
+    rows = [(1.0, 10.0)] * 40 + [(float(k), float(100 * k)) for k in range(2, 30)] + [(1.1, None)] * 30 + [(k + 0.4, None) for k in range(2, 29)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, a double, b double").repartition(4)
+    got = {r.id: r.b for r in impute_knn(df, ["a", "b"], queries=5).collect()}
+    for i, (a, b) in enumerate(rows):
+        near = sorted((2 * (a - x) ** 2, x, y) for x, y in rows if y is not None)[:5]
+        assert got[i] == pytest.approx(b if b is not None else np.mean([y for _, _, y in near])), i
+
+
 def test_mice_recovers_a_linear_relation(spark):
     rng = np.random.default_rng(1)
     rows = [(i, float(a), None if i % 4 == 0 else float(3 * a - 2 * b + 1), None if i % 5 == 0 else float(b)) for i, (a, b) in enumerate(rng.normal(size=(200, 2)))]
@@ -107,6 +117,8 @@ def test_categories(spark):
     assert column(mr.replace_values(spark.createDataFrame([("k7",), ("x",)], "c string"), {"c": many}), "c") == ["v7", "x"]
     assert mr.correct_categorical_values(lambda c, v: "- A\n- B", "c", ["a", "b"]) == ["A", "B"]
     assert mr.correct_categorical_values(lambda c, v: "A", "c", ["a", "b"]) == ["a", "b"]
+    fixed = mr.fix_spelling_errors_in_categorical(spark.createDataFrame([(f"x{k}",) for k in range(25)], "c string"), corrector=lambda c, v: [x.upper() for x in v], batch=10)
+    assert sorted(column(fixed, "c")) == sorted(f"X{k}" for k in range(25))
 
 
 def test_ratio():
