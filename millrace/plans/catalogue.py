@@ -295,10 +295,15 @@ def _(spark, sf):
     return rounded(mr.impute_missing(gaps(spark, sf), "interpolate", columns=["value"], order_by="event_id", partition_by="user_id"), ["value"])
 
 
-@query("impute_knn")
+@query(
+    "impute_knn",
+    "WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 9 <> 0 THEN p_retailprice END AS price, CAST(p_size AS DOUBLE) AS size FROM part), q AS (SELECT DISTINCT size FROM p WHERE price IS NULL), "
+    "r AS (SELECT q.size AS wanted, d.price, row_number() OVER (PARTITION BY q.size ORDER BY abs(d.size - q.size), d.price, d.size) AS k FROM q, p d WHERE d.price IS NOT NULL), "
+    "m AS (SELECT wanted, avg(price) AS mean FROM r WHERE k <= 5 GROUP BY wanted) SELECT p_partkey, round(coalesce(price, mean), 6) AS p_retailprice, size AS p_size FROM p LEFT JOIN m ON wanted = size",
+)
 def _(spark, sf):
     df = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 9 != 0, F.col("p_retailprice")).alias("p_retailprice"), F.col("p_size").cast("double").alias("p_size"))
-    return mr.impute_missing(df, "knn", columns=["p_retailprice", "p_size"])
+    return rounded(mr.impute_missing(df, "knn", columns=["p_retailprice", "p_size"]), ["p_retailprice"])
 
 
 @query("impute_mice")
@@ -626,7 +631,30 @@ def _(spark, sf):
     return rounded(spark.createDataFrame([tuple(got.values())], "rows long, columns long, numeric long, categorical long, missing double, duplicates long"), ["missing"])
 
 
-@query("quality_issues")
+def _issues() -> str:
+    """SQL for the rules of ``quality_issues`` over ``customer``."""
+    columns, numbers, texts = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), ("c_custkey", "c_acctbal"), ("c_name", "c_mktsegment")
+    level = lambda x, high, medium: f"CASE WHEN {x} > {high} THEN 'high' WHEN {x} > {medium} THEN 'medium' ELSE 'low' END"
+    found = []
+    for c in columns:
+        share, different = f"((count(*) - count({c})) / count(*))", f"(count(DISTINCT {c}) + CAST(count(*) > count({c}) AS INT))"
+        found.append(f"SELECT {level(share, '0.3', '0.05')} AS severity, 'missing' AS rule, '{c}' AS \"column\", {share} AS value FROM customer HAVING count(*) > count({c})")
+        found.append(f"SELECT 'medium', 'constant', '{c}', {different} FROM customer HAVING {different} <= 1")
+        found.append(f"SELECT 'low', 'identifier', '{c}', {different} / count(*) FROM customer HAVING {different} / count(*) > 0.95 AND count(*) > 10")
+    same = f"(SELECT count(*) AS n FROM customer GROUP BY {', '.join(columns)})"
+    found.append(f"SELECT CASE WHEN sum(n) FILTER (n > 1) / sum(n) > 0.05 THEN 'high' ELSE 'medium' END, 'duplicate_rows', NULL, sum(n) FILTER (n > 1) FROM {same} HAVING max(n) > 1")
+    for c in numbers:
+        out = f"count(*) FILTER ({c} < lo OR {c} > hi)"
+        found.append(f"SELECT {level(f'{out} / count({c})', '0.1', '0.02')}, 'outliers', '{c}', {out} FROM customer, (WITH {fences(c, 'customer', 'f')} SELECT * FROM f) HAVING count({c}) >= 8 AND {out} > 0")
+        found.append(f"SELECT 'low', 'negative', '{c}', count(*) FROM customer WHERE {c} < 0 HAVING count(*) > 0")
+        found.append(f"SELECT 'low', 'skewed', '{c}', {_SKEW.format(x=c)} FROM customer, (SELECT avg({c}) AS m FROM customer) HAVING abs({_SKEW.format(x=c)}) > 1")
+    for c in texts:
+        found.append(f"SELECT 'low', 'whitespace', '{c}', count(*) FROM customer WHERE {c} <> trim(regexp_replace({c}, '\\s+', ' ', 'g')) HAVING count(*) > 0")
+        found.append(f"SELECT 'medium', 'casing', '{c}', count(DISTINCT {c}) - count(DISTINCT lower({c})) FROM customer HAVING count(DISTINCT {c}) > count(DISTINCT lower({c}))")
+    return "SELECT severity, rule, \"column\", CAST(value AS DOUBLE) AS value FROM (" + " UNION ALL ".join(found) + ")"
+
+
+@query("quality_issues", _issues())
 def _(spark, sf):
     return eda.quality_issue_table(table(spark, sf, "customer"))
 
