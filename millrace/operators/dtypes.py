@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -33,6 +34,13 @@ def _guessed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(pd.to_datetime([parse(s) for s in part], errors="coerce"))
 
 
+def _outline(pattern: str) -> str:
+    """A regular expression that every value of a date format matches: digits or a name for each field, its separators between."""
+    field = lambda m: ".+" if "MMM" in m[0] else r"[+\-]?\d+"
+    parts = [re.escape(p) if k % 2 else re.sub("[A-Za-z]+", field, re.escape(p)) for k, p in enumerate(pattern.split("'"))]  # quoted text stands for itself
+    return "^" + "".join(parts) + "$"
+
+
 def parse_dates(df: DataFrame, columns: Iterable[str] | None = None, min_success: float = 0.7) -> DataFrame:
     """String columns as timestamps or dates where a known format fits ``min_success`` of the non-null values.
 
@@ -42,10 +50,9 @@ def parse_dates(df: DataFrame, columns: Iterable[str] | None = None, min_success
     names = [c for c in chosen(df, columns, strings(df)) if c in strings(df)]
     tries: dict[tuple[str, str], Column] = {}
     for c in names:
-        for f in DATETIME_FORMATS:
-            tries[(c, f)] = F.try_to_timestamp(col(c), F.lit(f)).cast("timestamp_ntz")
-        for f in DATE_FORMATS:
-            tries[(c, f)] = F.try_to_timestamp(col(c), F.lit(f)).cast("date")
+        for formats, kind in ((DATETIME_FORMATS, "timestamp_ntz"), (DATE_FORMATS, "date")):
+            for f in formats:  # a failed parse is dear: only values of the format's outline are tried
+                tries[(c, f)] = F.when(col(c).rlike(_outline(f)), F.try_to_timestamp(col(c), F.lit(f)).cast(kind))
     got = first_row(df, {k: F.count(e) for k, e in tries.items()} | {c: F.count(col(c)) for c in names})
     new = {}
     for c in names:
