@@ -5,18 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from itertools import islice
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.ratio import token_sort_ratio
+from millrace.functions.ratio import sorted_tokens
 from millrace.functions.selectors import chosen, col, replaced, strings
 from millrace.functions.stats import distinct_counts
 from millrace.functions.text import literal_map
+from millrace.operators.dedupe import greedy_dropped, similar_pairs
 
 #: Maps up to this size are literals in the plan; larger ones are joined.
 LITERAL_MAP = 200
-#: Distinct values that greedy clustering on the driver takes at most.
-CLUSTER_VALUES = 20_000
 
 
 def mapped(df: DataFrame, c: str, table: DataFrame) -> DataFrame:
@@ -44,23 +44,27 @@ def fuzzy_cluster_categories(df: DataFrame, columns: Iterable[str] | None = None
     """Spellings that resemble a more frequent one become that one.
 
     Distinct values, most frequent first (ties by value), are taken one by one: the first canonical value whose token-sorted
-    similarity is at least ``threshold`` takes them in, else they become canonical themselves. Categories are few; a column
-    with more than ``CLUSTER_VALUES`` distinct values is refused.
+    similarity is at least ``threshold`` takes them in, else they become canonical themselves. Values of equal sorted tokens
+    share a fate, so they are folded; the pairs of the rest come from a lossless filter (``similar_pairs``), and the rule is
+    settled in rounds of joins, at any number of values. Null stays null.
     """
+
+    @F.pandas_udf("string")
+    def token_sorted(x: pd.Series) -> pd.Series:
+        return x.map(lambda s: sorted_tokens(s.lower()), na_action="ignore")
+
     for c in chosen(df, columns, strings(df)):
-        counts = df.where(col(c).isNotNull()).groupBy(col(c).cast("string").alias("v")).agg(F.count("*").alias("n"))
-        rows = counts.orderBy(F.desc("n"), "v").limit(CLUSTER_VALUES + 1).collect()
-        if len(rows) > CLUSTER_VALUES:
-            raise ValueError(f"{c!r} has more than {CLUSTER_VALUES} values; it is no category")
-        canonical: list[str] = []
-        table = {}
-        for value in (r.v for r in rows):
-            near = next((k for k in canonical if token_sort_ratio(value.lower(), k.lower(), threshold) >= threshold), None)
-            if near is None:
-                canonical.append(value)
-            elif near != value:
-                table[value] = near
-        df = replace_values(df, {c: table}) if table else df
+        counts = df.where(col(c).isNotNull()).groupBy(col(c).cast("string").alias("from")).agg((-F.count("*")).alias("at"))
+        values = _numbered(counts).select("from", F.col("to").alias("place"), token_sorted("from").alias("key")).checkpoint()
+        texts = values.groupBy(F.col("key").alias("text")).agg(F.min("place").alias("place")).checkpoint()
+        edges = similar_pairs(texts, threshold).checkpoint()
+        canonical = edges.join(greedy_dropped(edges).select(F.col("place").alias("a")), "a", "left_anti")
+        taken = canonical.groupBy("b").agg(F.min("a").alias("a"))
+        heads = texts.join(taken, F.col("place") == F.col("b"), "left").select("text", F.coalesce("a", "place").alias("head"))
+        table = values.join(heads, F.col("key") == F.col("text")).where("place <> head").select("from", "head")
+        table = table.join(values.select(F.col("place").alias("head"), F.col("from").alias("to")), "head").select(F.col("from").alias("__from"), F.col("to").alias("__to"))
+        joined = df.join(table, col(c) == F.col("__from"), "left")
+        df = joined.select(*[(F.coalesce(F.col("__to"), col(x)) if x == c else col(x)).alias(x) for x in df.columns])
     return df
 
 

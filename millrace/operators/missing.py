@@ -40,19 +40,73 @@ def _modes(df: DataFrame, names: list[str]) -> dict:
     return out
 
 
-def _windows(order_by: str | list[str], partition_by: str | list[str] | None):
-    keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    parts = [] if partition_by is None else [partition_by] if isinstance(partition_by, str) else list(partition_by)
-    base = Window.partitionBy(*map(col, parts)).orderBy(*map(col, keys))
-    return base, base.rowsBetween(Window.unboundedPreceding, 0), base.rowsBetween(0, Window.unboundedFollowing)
+def _names(columns: str | Iterable[str] | None) -> list[str]:
+    return [] if columns is None else [columns] if isinstance(columns, str) else list(columns)
 
 
-def _interpolated(x: Column, at: Column, before, after) -> Column:
-    """On the line between the neighbours that are there; outside them null."""
-    known = F.when(x.isNotNull(), at)
-    x0, x1 = F.last(x, True).over(before).cast("double"), F.first(x, True).over(after).cast("double")
-    t0, t1 = F.last(known, True).over(before), F.first(known, True).over(after)
-    return F.when(x.isNotNull(), x.cast("double")).otherwise(x0 + (x1 - x0) * F.try_divide(at - t0, t1 - t0))
+def _filled_in_order(df: DataFrame, strategies: dict[str, str], order_by: str | list[str] | None, partition_by: str | list[str] | None) -> DataFrame:
+    """``df`` with columns filled by ``ffill``, ``bfill`` or ``interpolate`` in the order of ``order_by`` within ``partition_by``.
+
+    No task sees a whole key: rows are cut into ranges of (key, order), every range is filled by itself, and what it lacks comes
+    from the ranges of the same key around it. A key has more than one range only where a range ends inside it, so the table
+    of such ranges has at most two rows a range and is broadcast.
+    """
+    names, keys, orders = list(strategies), _names(partition_by), _names(order_by)
+    key, order = [f"k{i}" for i in range(len(keys))], [f"o{i}" for i in range(max(1, len(orders)))]
+    placed = [col(c) for c in orders] or [F.monotonically_increasing_id()]
+    rows = df.select(
+        F.struct(*map(col, df.columns)).alias("row"),
+        *[present(df, c).alias(f"x{i}") for i, c in enumerate(names)],
+        *[col(c).alias(k) for c, k in zip(keys, key)],
+        *[e.alias(o) for e, o in zip(placed, order)],
+    )
+    rows = rows.repartitionByRange(*key, *order).withColumn("range", F.spark_partition_id())
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("range", *key).orderBy(*order)))
+    rows = rows.drop(*order).checkpoint()  # ranges are drawn anew by each run of the plan, so they are written once
+
+    known = [(f"x{i}", F.when(F.col(f"x{i}").isNotNull(), F.col("at"))) for i in range(len(names))]
+    ends = [e for x, at in known for e in (F.max_by(x, at).alias(f"last_{x}"), F.max(at).alias(f"last_at_{x}"), F.min_by(x, at).alias(f"first_{x}"), F.min(at).alias(f"first_at_{x}"))]
+    ranges = rows.groupBy("range", *key).agg(F.max("at").alias("n"), *ends).withColumn("of_key", F.count("*").over(Window.partitionBy(*key))).where("of_key > 1")
+    inside = Window.partitionBy(*key).orderBy("range")
+    earlier, later = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(1, Window.unboundedFollowing)
+    ranges = ranges.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    around = ranges.select(
+        F.col("range").alias("a_range"),
+        *[F.col(k).alias(f"a_{k}") for k in key],
+        "start",
+        *[e for x, _ in known for e in (
+            F.last(f"last_{x}", True).over(earlier).alias(f"before_{x}"),
+            F.last(F.col("start") + F.col(f"last_at_{x}"), True).over(earlier).alias(f"before_at_{x}"),
+            F.first(f"first_{x}", True).over(later).alias(f"after_{x}"),
+            F.first(F.col("start") + F.col(f"first_at_{x}"), True).over(later).alias(f"after_at_{x}"),
+        )],
+    )
+    local = Window.partitionBy("range", *key).orderBy("at")
+    before, after = local.rowsBetween(Window.unboundedPreceding, 0), local.rowsBetween(0, Window.unboundedFollowing)
+    near = rows.select(
+        "*",
+        *[e for x, at in known for e in (
+            F.last(x, True).over(before).alias(f"own_before_{x}"),
+            F.last(at, True).over(before).alias(f"own_before_at_{x}"),
+            F.first(x, True).over(after).alias(f"own_after_{x}"),
+            F.first(at, True).over(after).alias(f"own_after_at_{x}"),
+        )],
+    )
+    same = F.col("range") == F.col("a_range")
+    for k in key:
+        same &= F.col(k).eqNullSafe(F.col(f"a_{k}"))
+    joined = near.join(F.broadcast(around), same, "left")
+    start = F.coalesce("start", F.lit(0))
+    new = {}
+    for (x, _), (c, strategy) in zip(known, strategies.items()):
+        x0, x1 = F.coalesce(f"own_before_{x}", f"before_{x}"), F.coalesce(f"own_after_{x}", f"after_{x}")
+        if strategy == "interpolate":  # on the line between the neighbours that are there; outside them null
+            t, t0, t1 = start + F.col("at"), F.coalesce(start + F.col(f"own_before_at_{x}"), f"before_at_{x}"), F.coalesce(start + F.col(f"own_after_at_{x}"), f"after_at_{x}")
+            line = x0.cast("double") + (x1.cast("double") - x0.cast("double")) * F.try_divide(t - t0, t1 - t0)
+            new[c] = F.when(F.col(x).isNotNull(), F.col(x).cast("double")).otherwise(line)
+        else:
+            new[c] = x0 if strategy == "ffill" else x1
+    return joined.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in df.columns])
 
 
 def impute_missing(
@@ -67,8 +121,8 @@ def impute_missing(
 ) -> DataFrame:
     """Fill nulls: numbers by ``mean|median|interpolate|ffill|bfill|constant|knn|mice``, strings by ``mode|ffill|bfill|constant``.
 
-    The order-bound strategies follow ``order_by`` (default: the order in which rows were read) within ``partition_by``;
-    without ``partition_by`` all rows pass one task, so give one on large tables.
+    The order-bound strategies follow ``order_by`` (default: the order in which rows were read; nulls first) within
+    ``partition_by`` (null is a key of its own). Neither a hot key nor a table without keys passes one task.
     """
     if numeric_strategy not in ("mean", "median", "interpolate", "ffill", "bfill", "constant", "knn", "mice"):
         raise ValueError(f"unknown numeric strategy {numeric_strategy!r}")
@@ -83,31 +137,21 @@ def impute_missing(
         numbers = []
     _, nulls = null_counts(df.select(*[present(df, c).alias(c) if c in numbers else col(c) for c in [*numbers, *texts]]), [*numbers, *texts])
     numbers, texts = [c for c in numbers if nulls[c]], [c for c in texts if nulls[c]]
-    ordered = numeric_strategy in ("interpolate", "ffill", "bfill") and numbers or categorical_strategy in ("ffill", "bfill") and texts
-    kept = df.columns
-    if ordered and order_by is None:
-        df, order_by = df.withColumn("__row", F.monotonically_increasing_id()), "__row"
-    new: dict[str, Column] = {}
+    ordered = {c: how for found, how in ((numbers, numeric_strategy), (texts, categorical_strategy)) if how in ("interpolate", "ffill", "bfill") for c in found}
     if ordered:
-        base, before, after = _windows(order_by, partition_by)
-        if numeric_strategy == "interpolate":
-            df = df.withColumn("__at", F.row_number().over(base))
+        df = _filled_in_order(df, ordered, order_by, partition_by)
+    new: dict[str, Column] = {}
     if numeric_strategy in ("mean", "median"):
         values = first_row(df, {c: F.avg(present(df, c)) for c in numbers}) if numeric_strategy == "mean" else medians(df, numbers)
         new |= {c: F.coalesce(present(df, c).cast("double"), F.lit(values[c]).cast("double")) for c in numbers}
     elif numeric_strategy == "constant":
         new |= {c: F.coalesce(present(df, c), F.lit(constant_value)) for c in numbers}
-    for c in numbers if numeric_strategy == "interpolate" else []:
-        new[c] = _interpolated(present(df, c), col("__at"), before, after)
-    for names, strategy in ((numbers, numeric_strategy), (texts, categorical_strategy)):
-        for c in names if strategy in ("ffill", "bfill") else []:
-            new[c] = F.last(present(df, c), True).over(before) if strategy == "ffill" else F.first(present(df, c), True).over(after)
     if categorical_strategy == "mode":
         modes = _modes(df, texts)
         new |= {c: F.coalesce(col(c), F.lit(modes[c]).cast("string")) for c in texts}
     elif categorical_strategy == "constant":
         new |= {c: F.coalesce(col(c), F.lit(str(constant_value))) for c in texts}
-    return replaced(df, new).select(*map(col, kept))
+    return replaced(df, new)
 
 
 def handle_missing_values(df: DataFrame, neighbors: int = 5, only_missing: bool = True) -> DataFrame:

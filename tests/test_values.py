@@ -2,6 +2,7 @@ import datetime
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,41 @@ def test_ordered_imputation_does_not_depend_on_partitions(spark, parts):
     assert fill("interpolate") == [None, 2.0, 4.0, 6.0, 8.0, None, None]
 
 
+def test_fills_carry_over_the_ranges_of_a_hot_key(spark):
+    rng = np.random.default_rng(1)
+    n = 600
+    key = np.where(rng.random(n) < 0.6, "hot", rng.choice(["a", "b", "c"], n)).astype(object)
+    key[rng.random(n) < 0.05] = None
+    value = np.where(rng.random(n) < 0.9, np.nan, np.round(rng.normal(size=n), 3))
+    word = np.where(rng.random(n) < 0.9, None, rng.choice(["x", "y"], n))
+    rows = [(int(i), k, None if np.isnan(v) else float(v), w, 7) for i, k, v, w in zip(rng.permutation(n), key, value, word)]
+    df = spark.createDataFrame(rows, "`id.x` int, range string, at double, x0 string, row int")  # names the step uses itself
+    pdf = pd.DataFrame(rows, columns=["id", "key", "value", "word", "row"]).sort_values("id")
+
+    def expected(c, how, keyed):
+        parts = [pdf[c]] if not keyed else [g[c] for _, g in pdf.groupby("key", dropna=False)]
+        fill = lambda x: x.astype(float).reset_index(drop=True).interpolate(limit_area="inside").to_numpy() if how == "interpolate" else getattr(x, how)().to_numpy()
+        got = pd.concat([pd.Series(fill(x), x.index, dtype=object) for x in parts]).sort_index()
+        ids = pdf["id"].sort_index()
+        return {i: None if pd.isna(v) else v for i, v in zip(ids, got)}
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges even on a small table
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        for how in ("ffill", "bfill", "interpolate"):
+            for keyed in (True, False):
+                texts = "bfill" if how == "interpolate" else how
+                out = mr.impute_missing(df, how, texts, columns=["at", "x0"], order_by="id.x", partition_by="range" if keyed else None)
+                assert out.columns == df.columns
+                found = out.collect()
+                numbers, words = expected("value", how, keyed), expected("word", texts, keyed)
+                assert len(found) == n and all(r[3] == words[r[0]] and r[4] == 7 for r in found)
+                assert all((r[2] is None) == (numbers[r[0]] is None) and (r[2] is None or abs(r[2] - numbers[r[0]]) < 1e-9) for r in found)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_knn_matches_brute_force(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 3))
@@ -102,6 +138,29 @@ def test_downcast(spark):
     assert dict(mr.downcast_numeric(df).dtypes) == {"a": "tinyint", "b": "smallint", "c": "bigint", "d": "float"}
 
 
+def test_clusters_follow_the_greedy_rule(spark):
+    rng = np.random.default_rng(3)
+    words = ["north gate", "south gate", "river bank", "Gate North", "old mill", ""]
+    values = []
+    for _ in range(150):
+        w = list(words[rng.integers(len(words))])
+        for _ in range(rng.integers(0, 3)):
+            if w:
+                w[rng.integers(len(w))] = "abcdef "[rng.integers(7)]
+        values += ["".join(w)] * int(rng.integers(1, 4))
+    counts = sorted(pd.Series(values).value_counts().items(), key=lambda x: (-x[1], x[0]))
+    for threshold in (80, 90, 100):
+        canonical, table = [], {}
+        for v, _ in counts:
+            near = next((k for k in canonical if token_sort_ratio(v.lower(), k.lower()) >= threshold), None)
+            canonical += [v] if near is None else []
+            table[v] = v if near is None else near
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(-1, None)], "id int, c string")
+        got = mr.fuzzy_cluster_categories(df, threshold=threshold).orderBy("id").collect()
+        assert [r.c for r in got] == [None, *[table[v] for v in values]]
+    assert mr.fuzzy_cluster_categories(df.limit(0)).count() == 0
+
+
 def test_categories(spark):
     df = spark.createDataFrame([("New York",)] * 5 + [("newyork",)] * 2 + [("Paris",), (None,)], "c string")
     assert sorted(map(str, column(mr.fuzzy_cluster_categories(df), "c"))) == ["New York"] * 7 + ["None", "Paris"]
