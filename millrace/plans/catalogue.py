@@ -6,6 +6,8 @@ different orders. Steps whose result SQL cannot state (iterative or greedy ones)
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,7 @@ import millrace as mr
 from millrace.functions import text
 from millrace.functions.selectors import col
 from millrace.functions.stats import correlations, iqr_fences, skewnesses
-from millrace.functions.words import CONTRACTIONS, STOPWORDS
+from millrace.functions.words import COMMON_WORDS, CONTRACTIONS, FORMATS, STOPWORDS
 from millrace.operators import eda, pii
 from millrace.plans.pipeline import CleanConfig, Pipeline
 
@@ -61,6 +63,29 @@ def fences(x: str, source: str, name: str) -> str:
 
 LINE = "l_orderkey, l_linenumber"
 
+# reading and writing ------------------------------------------------------------------------------------------------
+
+
+def round_trip(spark: SparkSession, df: DataFrame, suffix: str, quantize: bool = False) -> DataFrame:
+    """``df`` written and read back, in a new place of the folder that all executors share (on one machine: a temporary one)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    path = f"{folder.rstrip('/')}/round-trip-{uuid.uuid4().hex}{suffix}"
+    mr.save_cleaned_data(df, path, quantize)
+    return mr.load_data(path, spark)
+
+
+@query("csv_round_trip", "SELECT o_orderkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, 'date' AS kind FROM orders")
+def _(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.to_date("o_orderdate").alias("o_orderdate"))
+    back = round_trip(spark, df, ".csv")
+    return back.withColumn("kind", F.lit(dict(back.dtypes)["o_orderdate"])).withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+
+
+@query("parquet_round_trip", "SELECT CAST(o_orderkey AS INT) AS o_orderkey, o_orderpriority, CAST(o_totalprice AS FLOAT) AS o_totalprice FROM orders")
+def _(spark, sf):
+    return round_trip(spark, table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), ".parquet", quantize=True)
+
+
 # outliers -----------------------------------------------------------------------------------------------------------
 
 
@@ -317,6 +342,30 @@ def _(spark, sf):
     return mr.handle_missing_values(labelled(spark, sf).select("lang", "n_chars", F.col("quality").cast("double").alias("quality")))
 
 
+_MIXED = "CASE WHEN c_custkey % 5 = 0 THEN 'n/a' ELSE CAST(c_acctbal AS {text}) END"
+
+
+@query("coerce_numeric", "SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS mixed, CASE WHEN c_custkey % 2 <> 0 THEN 'n/a' ELSE '7' END AS words FROM customer")
+def _(spark, sf):
+    df = table(spark, sf, "customer").select("c_custkey", F.expr(_MIXED.format(text="STRING")).alias("mixed"), F.expr("CASE WHEN c_custkey % 2 <> 0 THEN 'n/a' ELSE '7' END").alias("words"))
+    return mr.coerce_numeric(df, min_success=0.75)
+
+
+@query("rename_columns", "SELECT n_nationkey AS nation_key, n_name, n_regionkey AS region_key FROM nation")
+def _(spark, sf):
+    names = {"n_nationkey": "nation_key", "n_regionkey": "region_key", "n_nmae": "name"}
+    return mr.fix_spelling_errors_in_columns(table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"), names)
+
+
+@query(
+    "data_types",
+    "SELECT column_name AS name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(column_type) END AS kind FROM (DESCRIBE customer)",
+)
+def _(spark, sf):
+    df = table(spark, sf, "customer")
+    return spark.createDataFrame(list(zip(df.columns, mr.check_data_types(df))), "name string, kind string")
+
+
 @query("missing_report", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, round((count(*) - count({c})) / count(*), 6) AS share FROM {_LABELLED}" for c in ("doc_id", "quality", "toxic")))
 def _(spark, sf):
     return rounded(mr.missing_report(labelled(spark, sf).select("doc_id", "quality", "toxic")), ["share"])
@@ -530,6 +579,21 @@ def _(spark, sf):
     return mr.validate_formats(table(spark, sf, "pages").select("page_id", "url"), {"url": "url"})
 
 
+#: Well-formed and broken values of every kind, made of columns.
+_FORMS = {
+    "email": "CASE WHEN c_custkey % 3 = 0 THEN concat(c_mktsegment, '.at.', c_name) WHEN c_custkey % 7 > 0 THEN concat('c', c_custkey, '@example.org') END",
+    "ip": "concat('10.', c_nationkey, '.', c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE '.7' END)",
+    "phone": "concat(CASE WHEN c_custkey % 5 = 0 THEN 'ext ' ELSE '+49 ' END, c_nationkey, '-', c_custkey)",
+    "postal": "concat(c_nationkey, CASE WHEN c_custkey % 6 = 0 THEN '/' ELSE ' ' END, c_custkey)",
+}
+
+
+@query("validate_formats_customer", "SELECT c_custkey, " + ", ".join(f"{e} AS {k}, regexp_matches({e}, '{FORMATS[k]}') AS {k}_valid" for k, e in _FORMS.items()) + " FROM customer")
+def _(spark, sf):
+    df = table(spark, sf, "customer").select("c_custkey", *[F.expr(e).alias(k) for k, e in _FORMS.items()])
+    return mr.validate_formats(df, {k: k for k in _FORMS})
+
+
 @query("referential_integrity", "SELECT count(*) AS bad FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)")
 def _(spark, sf):
     _, bad = mr.check_referential_integrity(table(spark, sf, "orders"), "o_custkey", table(spark, sf, "customer").where("c_nationkey < 20").select("c_custkey"))
@@ -596,11 +660,50 @@ def _(spark, sf):
 # languages, PII, profile --------------------------------------------------------------------------------------------
 
 
-@query("detect_language")
+_HITS = ", ".join(f"len(list_filter(t, lambda w: list_contains({words!r}, w))) AS {k}" for k, words in COMMON_WORDS.items())
+_BEST = f"greatest({', '.join(COMMON_WORDS)})"
+_GUESSED = (
+    f"t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+') AS t FROM documents), h AS (SELECT doc_id, {_HITS} FROM t), "
+    f"g AS (SELECT doc_id, CASE WHEN {_BEST} > 0 THEN CASE {' '.join(f"WHEN {k} = {_BEST} THEN '{k}'" for k in COMMON_WORDS)} END END AS guess FROM h)"
+)
+
+
+@query("detect_language", f"WITH {_GUESSED} SELECT doc_id, guess FROM g")
 def _(spark, sf):
     return mr.detect_language(table(spark, sf, "documents").select("doc_id", "text", "lang"), "text", "guess").select("doc_id", "guess")
 
 
+@query("filter_by_language", f"WITH {_GUESSED} SELECT doc_id, text FROM g JOIN documents USING (doc_id) WHERE guess = 'de'")
+def _(spark, sf):
+    return mr.filter_by_language(table(spark, sf, "documents").select("doc_id", "text"), "text", "de")
+
+
+@query("redact_profanity", r"SELECT page_id, regexp_replace(html, '(?i)\b(?:article|div|data)\b', '####', 'g') AS html FROM pages")
+def _(spark, sf):
+    return mr.redact_profanity(table(spark, sf, "pages").select("page_id", "html"), ["html"], ["data", "div", "article"], "#")
+
+
+_SPELLINGS = {"smalls": 4, "smell": 9, "rings": 3, "ring": 1, "widgets": 2, "rde": 5}
+
+
+@query(
+    "correct_spelling",
+    f"WITH v AS (SELECT * FROM (VALUES {', '.join(f"('{w}', {n})" for w, n in _SPELLINGS.items())}) AS v(known, n)), "
+    "w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part), "
+    "c AS (SELECT word, CASE WHEN lower(word) IN (SELECT known FROM v) THEN word ELSE coalesce((SELECT known FROM v WHERE damerau_levenshtein(lower(word), known) <= 1 ORDER BY n DESC, known DESC LIMIT 1), word) END AS fixed FROM w), "
+    "p AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part) "
+    "SELECT p_partkey, string_agg(fixed, ' ' ORDER BY i) AS p_name FROM p JOIN c USING (word) GROUP BY 1",
+)
+def _(spark, sf):
+    return mr.correct_spelling_text(table(spark, sf, "part").select("p_partkey", "p_name"), ["p_name"], _SPELLINGS)
+
+
+@query("correct_categories", "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'first' ELSE lower(o_orderpriority) END AS o_orderpriority FROM orders")
+def _(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    return mr.fix_spelling_errors_in_categorical(df, {"o_orderpriority": {"1-URGENT": "first"}}, lambda name, values: "\n".join(f"- {v.lower()}" for v in values))
+
+
 @query("pii_mask", f"SELECT doc_id, regexp_replace(regexp_replace(text, '{pii.KINDS['EMAIL_ADDRESS']}', '<EMAIL_ADDRESS>', 'g'), '{pii.KINDS['IP_ADDRESS']}', '<IP_ADDRESS>', 'g') AS text_masked FROM documents")
 def _(spark, sf):
     df = table(spark, sf, "documents").select("doc_id", "text")
@@ -617,6 +720,31 @@ def _(spark, sf):
     return eda.value_counts(table(spark, sf, "part"), "p_type")
 
 
+_TOP = "(SELECT {c} FROM {t} GROUP BY 1 ORDER BY count(*) DESC, {c} LIMIT {n})"
+
+
+@query("crosstab", f"SELECT p_brand AS a, p_name AS b, count(*) AS count FROM part WHERE p_brand IN {_TOP.format(c='p_brand', t='part', n=eda.BOX_GROUPS)} AND p_name IN {_TOP.format(c='p_name', t='part', n=eda.CROSS_GROUPS)} GROUP BY 1, 2")
+def _(spark, sf):
+    return eda.crosstab(table(spark, sf, "part"), "p_brand", "p_name")
+
+
+@query("box_by_category", f"SELECT p_brand AS category, count(*) AS n, round(avg(p_retailprice), 6) AS mean, min(p_retailprice) AS min, max(p_retailprice) AS max FROM part GROUP BY 1 ORDER BY n DESC, category LIMIT {eda.BOX_GROUPS}")
+def _(spark, sf):
+    return rounded(eda.box_by_category(table(spark, sf, "part"), "p_retailprice", "p_brand"), ["mean"])
+
+
+@query("five_numbers", " UNION ALL ".join(f"SELECT '{c}' AS name, min({c}) AS least, {rank(c, '0.25')} AS q1, median({c}) AS median, {rank(c, '0.75')} AS q3, max({c}) AS greatest FROM lineitem" for c in _NUMBERS))
+def _(spark, sf):
+    got = eda.five_numbers(table(spark, sf, "lineitem"), _NUMBERS)
+    rows = [(c, *map(float, v.values())) for c, v in got.items()]
+    return spark.createDataFrame(rows, "name string, least double, q1 double, median double, q3 double, greatest double")
+
+
+@query("preview", f"SELECT * FROM orders ORDER BY o_orderkey LIMIT {eda.PREVIEW}")
+def _(spark, sf):
+    return eda.preview(table(spark, sf, "orders"), order_by="o_orderkey")
+
+
 @query("histogram", "WITH m AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), b AS (SELECT CAST(least(floor((l_extendedprice - lo) / ((hi - lo) / 20)) + 1, 20) AS INT) AS bin FROM lineitem, m) SELECT bin, count(*) AS count FROM b GROUP BY 1")
 def _(spark, sf):
     return eda.histogram(table(spark, sf, "lineitem"), "l_extendedprice").select("bin", "count")

@@ -48,7 +48,7 @@ def test_queries_match_their_sql(spark):
     con = duckdb.connect()
     for f in os.listdir(DATA):
         con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{DATA}/{f}')")
-    for name in ("remove_outliers_sequential", "outliers_by_group", "preprocess_text", "canonical_urls", "impute_interpolate", "encode_label", "bin_quantile"):
+    for name in ("remove_outliers_sequential", "outliers_by_group", "preprocess_text", "canonical_urls", "impute_interpolate", "encode_label", "bin_quantile", "detect_language", "correct_spelling", "csv_round_trip", "parquet_round_trip"):
         got = catalogue.QUERIES[name](spark, DATA)
         want = con.sql(catalogue.ORACLES[name])
         order = sorted(got.columns)
