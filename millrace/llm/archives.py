@@ -14,8 +14,10 @@ revisits whom is decided on slim rows (key, digest, length): groups of equal pay
 joined back on a salted digest, so a hot payload is spread. The few decisions meet the records by a join on the key.
 
 Defined cases: null payloads are empty; a null URL is written as ``unknown:``; blanks in URLs are percent-encoded; a record
-without a readable header line ends its file's reading with an error that names the offset; keys that repeat are records of
-their own, and the pair (key, place) keeps them apart.
+without a readable header line ends its file's reading with an error that names the offset; keys that repeat (null ones too), and
+rows that are equal, are records of their own with ids of their own, which the place in the ARC file tells apart; of equal keys the
+later place is the greater; a payload of any length is one record; a table without rows gives no files; columns besides key, URL
+and payload are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -129,8 +131,9 @@ def parse_arc(raw: bytes, name: str) -> Iterator[ArcRecord]:
             pos = end + 1 + length
 
 
-def record_id(key: str, url: str, date: str, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{key} {url} {date} {digest}')}>"
+def record_id(place: str) -> str:
+    """The id of the record that lies at ``place`` of an ARC file: the same at each conversion, and another for each record."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, place)}>"
 
 
 def iso_date(date: str) -> str:
@@ -168,8 +171,18 @@ def _gzip(raw: bytes) -> bytes:
     return deflate.compress(raw) + deflate.flush()
 
 
+def _archive(parts: list[bytes]) -> pa.RecordBatch:
+    """A file of gzip members without its last byte, a zero, which ``_write_files`` adds again.
+
+    A member ends with the four bytes of its size, low ones first, so the last is zero unless the member has 16 MB or more:
+    then a member of size 0 follows.
+    """
+    last = parts[-1] if parts[-1].endswith(b"\0") else parts[-1] + _gzip(b"")
+    return pa.RecordBatch.from_arrays([pa.array([b"".join([*parts[:-1], last[:-1]])], pa.binary())], names=["bytes"])
+
+
 def _write_files(archives: DataFrame, path: str) -> None:
-    """One file for each row of ``archives`` (column ``bytes``); the writer ends a file with one zero, which gzip ignores."""
+    """One file for each row of ``archives`` (column ``bytes``), which Spark's text writer ends with a zero byte and names ``.txt``."""
     text = archives.select(F.col("bytes").cast("string").alias("value"))
     text.write.option("maxRecordsPerFile", 1).option("lineSep", "\0").text(path)
 
@@ -195,10 +208,10 @@ def write_arc(df: DataFrame, path: str, key_col: str = "page_id", url_col: str =
                 parts.append(_gzip(arc_record(version, name, size, url, head.encode() + body)))
                 size += len(parts[-1])
                 if size >= target:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["bytes"])
+                    yield _archive(parts)
                     parts, size, number = [], 0, number + 1
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["bytes"])
+            yield _archive(parts)
 
     _write_files(src.mapInArrow(run, "bytes binary"), path)
 
@@ -231,7 +244,7 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
 
 
 def decide(slim: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """``place``, ``to_key`` and ``to_id`` of the records that revisit another; ``slim`` has place, key, url, date, length, digest."""
+    """The records (``place``) that revisit another, and that one's place, key, URL and date; ``slim`` has place, key, url, date, length, digest."""
     order = F.struct(F.expr("try_cast(key as long)").alias("number"), F.col("key"), F.col("place"))
     long = slim.where(F.col("length") >= min_bytes).withColumn("order", order).withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(SALTS)).cast("int"))
     top = F.max_by(F.struct("place", "key", "url", "date"), "order")
@@ -239,7 +252,7 @@ def decide(slim: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     groups = materialise(groups, "archive-groups")
     spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     pairs = long.join(spread, ["digest", "length", "salt"]).where(F.col("place") != F.col("top.place"))
-    return pairs.select("place", F.col("top.key").alias("to_key"), F.col("top.url").alias("to_url"), F.col("top.date").alias("to_date"))
+    return pairs.select("place", F.col("top.place").alias("to_place"), F.col("top.key").alias("to_key"), F.col("top.url").alias("to_url"), F.col("top.date").alias("to_date"))
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, target: int = ARCHIVE_BYTES, min_bytes: int = MIN_REVISIT) -> None:
@@ -249,41 +262,40 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, target: int = AR
     records = read_arc(spark, arc_path)
     if decisions.count() <= BROADCAST_ROWS:
         decisions = F.broadcast(decisions)
-    joined = records.join(decisions, "place", "left").select("key", "url", "ip", "date", "mime", "head", "payload", "digest", "to_key", "to_url", "to_date")
+    joined = records.join(decisions, "place", "left").select("place", "url", "ip", "date", "mime", "head", "payload", "digest", "to_place", "to_key", "to_url", "to_date")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_gzip(_warcinfo())]
-        size, begun = len(parts[0]), False
+        parts, size = [], 0
         for batch in batches:
             for row in batch.to_pylist():
-                parts.append(_gzip(_converted(row)))
-                size, begun = size + len(parts[-1]), True
+                parts += [_gzip(_converted(row))] if parts else [_gzip(_warcinfo(row["place"])), _gzip(_converted(row))]
+                size += len(parts[-1])
                 if size >= target:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["bytes"])
-                    parts = [_gzip(_warcinfo())]
-                    size, begun = len(parts[0]), False
-        if begun:
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["bytes"])
+                    yield _archive(parts)
+                    parts, size = [], 0
+        if parts:
+            yield _archive(parts)
 
     _write_files(joined.mapInArrow(run, "bytes binary"), warc_path)
 
 
-def _warcinfo() -> bytes:
+def _warcinfo(place: str) -> bytes:
+    """The record that opens a file; its id comes from the place of the file's first record."""
     body = b"software: millrace\r\nformat: WARC File Format 1.1\r\n"
-    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("", "warcinfo", DATE, sha1_label(body))), ("WARC-Date", iso_date(DATE)), ("Content-Type", "application/warc-fields")]
+    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(f"warcinfo {place}")), ("WARC-Date", iso_date(DATE)), ("Content-Type", "application/warc-fields")]
     return warc_record(fields, body)
 
 
 def _converted(row: dict) -> bytes:
     """One ARC record as a WARC record."""
-    key, revisit = row["key"] or "", row["to_url"] is not None
+    revisit = row["to_place"] is not None
     payload_label = "sha1:" + base64.b32encode(bytes.fromhex(row["digest"])).decode()
     http = bool(row["head"])
     block = row["head"] if revisit else row["head"] + row["payload"]
     kind = "revisit" if revisit else "response" if http else "resource"
     fields = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", record_id(key, row["url"], row["date"], row["digest"])),
+        ("WARC-Record-ID", record_id(row["place"])),
         ("WARC-Date", iso_date(row["date"])),
         ("WARC-Target-URI", row["url"]),
         ("WARC-IP-Address", row["ip"]),
@@ -294,7 +306,7 @@ def _converted(row: dict) -> bytes:
     if revisit:
         fields += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            ("WARC-Refers-To", record_id(row["to_key"] or "", row["to_url"], row["to_date"], row["digest"])),
+            ("WARC-Refers-To", record_id(row["to_place"])),
             ("WARC-Refers-To-Target-URI", row["to_url"]),
             ("WARC-Refers-To-Date", iso_date(row["to_date"])),
         ]

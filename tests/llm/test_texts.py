@@ -193,6 +193,28 @@ def test_archives(spark, monkeypatch, broadcast_rows):
         assert (by_id[r.refers_to_id] if revisit else r.refers_to_id) == (same if revisit else None)
 
 
+def test_archive_files_end_with_their_last_member(spark):
+    rows = [(1, "http://a", "same")] * 5 + [(2, "http://a", "x" * (17 << 20)), (None, "http://a", "y" * 1500), (None, "http://a", "y" * 1500)]
+    arc, warc = new_path(spark, "t-arc"), new_path(spark, "t-warc")
+    archives.write_arc(pages(spark, rows).repartition(4), arc)
+    archives.convert(spark, arc, warc)
+    ids = []
+    for path in (arc, warc):
+        for f in spark.read.format("binaryFile").load(path).collect():
+            rest, raw = f.content, b""
+            while rest:
+                member = zlib.decompressobj(31)
+                raw += member.decompress(rest)
+                assert member.eof
+                rest = member.unused_data
+            ids += [line for line in raw.split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+    assert len(ids) == len(set(ids)) > len(rows)  # the records that open the files have ids as well
+    got = archives.read_warc(spark, warc).collect()
+    assert len(got) == len(rows) and sorted(r.record_type for r in got) == ["response"] * 7 + ["revisit"] and all(r.intact for r in got)
+    (revisit,) = [r for r in got if r.record_type == "revisit"]
+    assert revisit.refers_to is None and revisit.refers_to_id in {r.record_id for r in got if r.payload_bytes == 1500} - {revisit.record_id}
+
+
 def test_archive_parsing_is_strict():
     block = archives.arc_version_block(1, "f.arc")
     good = block + archives.arc_record(1, "f.arc", 0, "http://u", b"body\n\nmore")
