@@ -60,9 +60,13 @@ def order_statistics(df: DataFrame, wanted: dict[str, Callable[[int], list[int]]
     ranks = {(c, i): r for c, f in wanted.items() if counts[c] for i, r in enumerate(f(counts[c]))}
     exact: dict[tuple, Column] = {}
     large = {k: r for k, r in ranks.items() if counts[k[0]] > direct_rows}
-    for (c, i), r in ranks.items():
-        if (c, i) not in large:
-            exact[(c, i)] = _at(_sql(df, c), r, counts[c])
+    shared: dict[str, list[int]] = {}  # ranks of a column that one aggregate gives together
+    for c in {c: 0 for c, _ in ranks if counts[c] <= direct_rows}:
+        shares = {i: _share(r, counts[c]) for (x, i), r in ranks.items() if x == c}
+        shared[c] = [i for i, p in shares.items() if p is not None]
+        if shared[c]:
+            exact[(c, "all")] = F.expr(f"percentile({_sql(df, c)}, array({', '.join(f'{shares[i]!r}D' for i in shared[c])}))")
+        exact |= {(c, i): _at(_sql(df, c), ranks[(c, i)], counts[c]) for i, p in shares.items() if p is None}
     if large:
         bounds = {}
         for (c, i), r in large.items():
@@ -84,6 +88,7 @@ def order_statistics(df: DataFrame, wanted: dict[str, Callable[[int], list[int]]
             else:  # the approximation missed the rank: all values are ranked
                 exact[(c, i)] = _at(_sql(df, c), r, counts[c])
     got = first_row(df, exact)
+    got |= {(c, i): v for c, at in shared.items() if at for i, v in zip(at, got[(c, "all")])}
     return {c: [got[(c, i)] for i in range(len(wanted[c](counts[c])))] if counts[c] else [] for c in wanted}
 
 
@@ -97,6 +102,12 @@ def _literal(value: float | int) -> str:
     return f"double('{value!r}')" if isinstance(value, float) else str(value)
 
 
+def _share(rank: int, n: int) -> float | None:
+    """A number whose product with ``n - 1`` is ``rank`` to the last bit, so that nothing is interpolated; None if there is none."""
+    p = rank / max(1, n - 1)
+    return next((q for q in (p, math.nextafter(p, 0.0), math.nextafter(p, 1.0)) if q * (n - 1) == rank), None)
+
+
 def _at(x: str, rank: int, n: int) -> Column:
     """The value at a rank: the middle of its step of the cumulative distribution."""
     return F.expr(f"percentile_disc({(rank + 0.5) / n!r}D) WITHIN GROUP (ORDER BY {x})")

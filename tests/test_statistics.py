@@ -140,3 +140,13 @@ def test_large_groups_are_bracketed_exactly(spark, monkeypatch):
             q1, q3 = (own[int(np.floor(q * (len(own) - 1) + 0.5))] for q in (0.25, 0.75))
             want += [(g, v) for v in own if q1 - 1.5 * (q3 - q1) <= v <= q3 + 1.5 * (q3 - q1)]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(got) < len(rows)
+
+
+def test_ranks_taken_together_are_values(spark):
+    ranks = [(r, n) for n in (1, 2, 50, 997) for r in range(n)]
+    assert all(stats._share(r, n) is None or stats._share(r, n) * (n - 1) == r for r, n in ranks)
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 50, 997):
+        values = np.sort(np.round(rng.normal(size=n), 1 + n % 3))
+        df = spark.createDataFrame([(float(v),) for v in rng.permutation(values)], "x double")
+        assert stats.order_statistics(df, {"x": lambda k: list(range(k))})["x"] == values.tolist()
