@@ -337,9 +337,16 @@ def _(spark, sf):
     return rounded(mr.impute_missing(df, "mice", columns=["l_quantity", "l_extendedprice", "l_tax"]), ["l_extendedprice", "l_tax"], 4)
 
 
-@query("handle_missing_values")
+@query(
+    "handle_missing_values",
+    f"WITH d AS (SELECT lang, n_chars, quality FROM {_LABELLED}), q AS (SELECT DISTINCT n_chars FROM d WHERE quality IS NULL), "
+    "r AS (SELECT q.n_chars AS wanted, d.quality, row_number() OVER (PARTITION BY q.n_chars ORDER BY abs(d.n_chars - q.n_chars), d.n_chars, d.quality) AS k FROM q, d WHERE d.quality IS NOT NULL), "
+    "m AS (SELECT wanted, avg(quality) AS mean FROM r WHERE k <= 5 GROUP BY wanted) "
+    "SELECT coalesce(lang, (SELECT lang FROM d WHERE lang IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, lang LIMIT 1)) AS lang, CAST(n_chars AS DOUBLE) AS n_chars, round(coalesce(quality, mean), 6) AS quality FROM d LEFT JOIN m ON wanted = n_chars",
+)
 def _(spark, sf):
-    return mr.handle_missing_values(labelled(spark, sf).select("lang", "n_chars", F.col("quality").cast("double").alias("quality")))
+    df = labelled(spark, sf).select("lang", F.col("n_chars").cast("double").alias("n_chars"), F.col("quality").cast("double").alias("quality"))
+    return rounded(mr.handle_missing_values(df), ["quality"])
 
 
 _MIXED = "CASE WHEN c_custkey % 5 = 0 THEN 'n/a' ELSE CAST(c_acctbal AS {text}) END"
