@@ -11,6 +11,7 @@ from millrace.llm.pseudo_likelihood import op10_pseudo_likelihood
 from millrace.llm.pu_quality import op4_quality
 from millrace.llm.simhash import op9_simhash
 from millrace.llm.spaced_seeds import op2_decontaminate
+from millrace.llm.token_counts import op11_token_counts
 from millrace.llm.toxicity import op6_toxicity
 from millrace.llm.url_filter import op7_url_filter
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_simhash": op9_simhash,
     "op10_pseudo_likelihood": op10_pseudo_likelihood,
+    "op11_token_counts": op11_token_counts,
 }
 #: The others are tested against brute-force versions, exact round trips or held-out accuracy.
 ORACLES: dict[str, str] = {
