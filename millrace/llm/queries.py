@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import archives, centroids, url_filter
+from millrace.llm import archives, centroids, importance, url_filter
 from millrace.llm.archives import op3_archive
 from millrace.llm.bpe import op5_bpe
 from millrace.llm.centroids import op12_centroids
+from millrace.llm.importance import op13_importance
 from millrace.llm.langid import op8_langid
 from millrace.llm.media import op1_media
 from millrace.llm.pseudo_likelihood import op10_pseudo_likelihood
@@ -29,10 +30,12 @@ QUERIES = {
     "op10_pseudo_likelihood": op10_pseudo_likelihood,
     "op11_token_counts": op11_token_counts,
     "op12_centroids": op12_centroids,
+    "op13_importance": op13_importance,
 }
 #: The others are tested against brute-force versions, exact round trips or held-out accuracy.
 ORACLES: dict[str, str] = {
     "op3_archive": archives.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
     "op12_centroids": centroids.ORACLE,
+    "op13_importance": importance.ORACLE,
 }
