@@ -9,14 +9,17 @@ positive-against-unlabelled score is the estimate.
 A text is described by shape figures of the whole text (shares of character kinds, repetition of words and lines,
 compressibility, lengths of words and sentences). They are standardised by means and deviations over all documents.
 
-Every document is learnt from as unlabelled text: in each round every task takes Adam steps over its own documents against the
-trusted positives, from the same weights, and the weights are averaged in Spark. The prior's ratios are counted over all
-documents too. Only the trusted positives are bounded: about ``BOUND`` labelled rows, drawn by row (a documented bound).
+Every document is learnt from as unlabelled text. Documents are dealt to learners of about ``SHARD_ROWS`` by a hash of their ids and
+figures, so which of them learn together does not depend on files. In each round every learner takes Adam steps against the trusted
+positives, from the same weights, in even passes over all its documents, and the weights are averaged in Spark. The prior's ratios
+are counted over all documents too. Only the trusted positives are bounded: about ``BOUND`` labelled rows, drawn by row (a documented
+bound). The level of decision is set by two folds of the trusted positives: how far unseen ones fall below those learnt from.
 
 Defined cases: null and empty texts have zero figures and are scored like any text, and so are very long ones, which are read
 whole; equal texts have equal scores, to the last bit and wherever they lie; an empty table gives no rows; without positives
 every score is 0.5; null ids are nobody's label; null labels are no labels; a document that carries several labels is positive
-if one is; extra columns are ignored, whatever their names.
+if one is; rows equal in id and text share a learner, which takes them in blocks of bounded size; ties of outputs at a cut count as
+above it; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,16 +39,16 @@ from millrace.llm.pseudo_likelihood import average
 
 #: Trusted positives that learning takes, about.
 BOUND = 20_000
-#: Documents of one learner, rows it mixes at once and takes in one step, and the steps it makes at least (over its documents again).
-SHARD_ROWS, MIXED, BATCH, STEPS = 50_000, 16_384, 256, 500
+#: Documents of one learner, about, and of one block at least where more come together; documents of one step, about, and the steps a
+#: learner makes at least (in whole passes over its documents).
+SHARD_ROWS, BLOCK_ROWS, BATCH, STEPS = 50_000, 100_000, 256, 500
 #: Rounds of learning and averaging on the risk.
 ROUNDS = 3
 HIDDEN = 32
 THRESHOLD = 0.3
-#: The level of decision: this quantile of the trusted positives, lowered by a share of its distance to their median.
-#: ``SLACK`` was raised from 0.3 after two good held-out rows of sf0.1 had been lost: its choice is not blind to them.
-LOW_SHARE = 0.001
-SLACK = 0.5
+#: The level of decision: this quantile of the trusted positives, lowered by shares of its distance to their median: the share by which
+#: unseen positives fall below it in the folds, and ``MARGIN``.
+LOW_SHARE, MARGIN = 0.001, 0.25
 #: Bytes whose shares are figures of their own: ASCII punctuation, and kinds of bytes.
 _PUNCTUATION = np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)
 
@@ -191,37 +193,64 @@ def _layers(flat: np.ndarray) -> list[np.ndarray]:
     return [inner.reshape(_NAMES, HIDDEN), bias, outer, last]
 
 
+def learners(own: DataFrame, rows: int) -> DataFrame:
+    """``shard``, ``n`` and ``x``: the figures of all rows of ``own`` (``id``, ``figures``), one row a learner, written out.
+
+    A learner's documents lie in the order of their hashes, so equal tables give equal learners, however their files are cut.
+    """
+    shards = 1 + rows // SHARD_ROWS
+    key = F.xxhash64("id", "figures", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))
+    keyed = own.select(key.alias("key"), "figures").withColumn("shard", F.pmod("key", F.lit(shards)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values, block, shard = [], [], 0, 0
+
+        def packed(n: int | None = None) -> pa.RecordBatch:
+            k, x = np.concatenate(keys), np.concatenate(values)
+            keys[:], values[:] = ([], []) if n is None else ([k[n:]], [x[n:]])
+            k, x = k[:n], x[:n]
+            x = x[np.lexsort((*x.T[:1], k))].astype("<f4").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([shard + shards * block]), pa.array([len(k)], pa.int64()), pa.array([x], pa.binary())], names=["shard", "n", "x"])
+
+        for batch in batches:
+            shard = batch.column("shard")[0].as_py() if len(batch) else shard
+            keys.append(batch.column("key").to_numpy(zero_copy_only=False))
+            values.append(batch.column("figures").flatten().to_numpy(zero_copy_only=False).reshape(-1, _NAMES))
+            if sum(map(len, keys)) >= 2 * BLOCK_ROWS:
+                yield packed(BLOCK_ROWS)
+                block += 1
+        if sum(map(len, keys)):
+            yield packed()
+
+    return materialise(keyed.groupBy("shard").applyInArrow(pack, "shard long, n long, x binary"), "quality-learners")
+
+
+def passes(rows: int, steps: int) -> tuple[int, int]:
+    """Even passes over ``rows`` documents, and the steps of a pass, so that they are ``steps`` at least."""
+    each = max(1, round(rows / BATCH))
+    return -(-steps // each), each
+
+
+def learnt(learner: Learner, x: np.ndarray, steps: int) -> None:
+    """Takes every row of ``x`` equally often, each pass in an order of its own."""
+    turns, each = passes(len(x), steps)
+    for _ in range(turns):
+        for rows in np.array_split(learner.rng.permutation(len(x)), each):
+            learner.step(x[rows])
+
+
 def _learnt(own: DataFrame, p: np.ndarray, mean: np.ndarray, scale: np.ndarray, layers: list[np.ndarray], prior: float | None, turn: int, steps: int) -> DataFrame:
-    """``shard``, ``n`` and ``w``: the weights each task reaches over all its rows of ``own`` (``figures``)."""
+    """``shard``, ``n`` and ``w``: the weights every row of ``own`` (``learners``) reaches."""
     shared = own.sparkSession.sparkContext.broadcast((p, mean, scale, layers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, mean, scale, layers = shared.value
-        shard = TaskContext.get().partitionId()
-        learner = Learner([w.copy() for w in layers], p, prior, seed=1000 * shard + turn)
-        x, seen, held = np.zeros((0, _NAMES)), 0, []
-
-        def learn(x: np.ndarray) -> None:
-            mixed = learner.rng.permutation(len(x))
-            for a in range(0, len(x), BATCH):
-                learner.step(x[mixed[a : a + BATCH]])
-
-        def rows() -> Iterator[np.ndarray | None]:
-            for batch in batches:
-                values = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, _NAMES)
-                yield np.clip((values - mean) / scale, -8, 8)
-            yield None
-
-        for new in rows():
-            if new is not None:
-                held.append(new)
-                seen += len(new)
-            if held and (new is None or sum(map(len, held)) >= MIXED):
-                x, held = np.concatenate(held), []
-                learn(x)
-        while len(x) and learner.steps < steps:
-            learn(x)
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([seen], pa.int64()), pa.array([_flat(learner.layers).tobytes()], pa.binary())], names=["shard", "n", "w"])
+        for batch in batches:
+            for shard, n, x in zip(*batch.columns):
+                x = np.frombuffer(x.as_py(), "<f4").reshape(-1, _NAMES).astype(float)
+                learner = Learner([w.copy() for w in layers], p, prior, seed=1000 * shard.as_py() + turn)
+                learnt(learner, np.clip((x - mean) / scale, -8, 8), steps)
+                yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()]), pa.array([n.as_py()]), pa.array([_flat(learner.layers).tobytes()], pa.binary())], names=["shard", "n", "w"])
 
     return own.mapInArrow(run, "shard long, n long, w binary")
 
@@ -237,12 +266,6 @@ def prior_cuts(p: np.ndarray) -> np.ndarray:
     return np.quantile(p, np.linspace(0.0, 0.9, 46))
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """The least U(A) / P(A) over upper regions A that hold a tenth of the positives or more."""
-    cuts = prior_cuts(p)
-    return lowest_ratio(p, np.array([(u >= c).mean() for c in cuts]), cuts)
-
-
 def with_figures(df: DataFrame, text_col: str = "text") -> Column:
     """The figures of every text of ``df`` as an array column."""
     small_batches(df.sparkSession)
@@ -272,28 +295,44 @@ def fit(described: DataFrame, positives: DataFrame, id_col: str = "doc_id", boun
     p = trusted_rows.where(row_share(trusted_rows.count(), bound)).toPandas()  # about ``bound`` rows, though an id may be on many
     if not len(p):
         return Model(mean, scale, [], 0.5)
-    p = np.clip((np.stack(p["figures"]).astype(float) - mean) / scale, -8, 8)
-    slim = own.select("figures").coalesce(1 + rows // SHARD_ROWS)
+    p = np.stack(p["figures"]).astype(np.float32)
+    p = p[np.lexsort(p.T)]
+    fold = np.array([zlib.crc32(x.tobytes()) % 2 == 0 for x in p])  # equal texts lie in one fold
+    p = np.clip((p - mean) / scale, -8, 8)
+    slim = learners(own, rows)
 
-    def rounds(p: np.ndarray, prior: float | None, turns: int) -> list[np.ndarray]:
+    def reached(p: np.ndarray, prior: float | None, turns: int) -> Model:
         layers = _initial()
         for turn in range(turns):
             layers = _layers(average(_learnt(slim, p, mean, scale, layers, prior, turn, steps)))
-        return layers
+        return Model(mean, scale, layers, prior or 0.5)
 
-    half = np.arange(len(p)) % 2 == 0  # the prior is read off rows the score has not seen
-    whole = len(p) < 2
-    plain = Model(mean, scale, rounds(p if whole else p[half], None, 1), 0.5)
-    seen = plain.output((p if whole else p[~half]) * scale + mean)
+    folds = [fold, ~fold] if fold.any() and not fold.all() else []
+    learn, read = folds if folds else [fold | True] * 2  # the prior is read off rows the score has not seen
+    plain = reached(p[learn], None, 1)
+    seen = plain.output(p[read] * scale + mean)
     cuts = prior_cuts(seen)
     outputs = own.select(_outputs(described, plain)(F.col("figures")).alias("g"))
     above = outputs.agg(*[F.avg((F.col("g") >= float(c)).cast("double")) for c in cuts]).first()
-    model = Model(mean, scale, rounds(p, lowest_ratio(seen, np.array(above), cuts), ROUNDS), lowest_ratio(seen, np.array(above), cuts))
-    low, middle = np.quantile(model.output(p * scale + mean), [LOW_SHARE, 0.5])
-    model.level = float(low - SLACK * (middle - low) - 1e-3)  # never on a positive itself
+    prior = lowest_ratio(seen, np.array(above), cuts)
+    model = reached(p, prior, ROUNDS)
+    falls = [fall(reached(p[part], prior, ROUNDS), p[part] * scale + mean, p[~part] * scale + mean) for part in folds]
+    model.level = level(model.output(p * scale + mean), max([0.0, *falls]) + MARGIN)
     return model
 
 
+def fall(model: Model, learnt: np.ndarray, unseen: np.ndarray) -> float:
+    """How far the low quantile of unseen positives lies below that of learnt ones, in shares of the distance to their median."""
+    low, middle = np.quantile(model.output(learnt), [LOW_SHARE, 0.5])
+    return float((low - np.quantile(model.output(unseen), LOW_SHARE)) / max(middle - low, 1e-9))
+
+
+def level(outputs: np.ndarray, slack: float) -> float:
+    """The output at which the score is ``THRESHOLD``, from those of the trusted positives; never on a positive itself."""
+    low, middle = np.quantile(outputs, [LOW_SHARE, 0.5])
+    return float(low - slack * (middle - low) - 1e-3)
+
+
 def _outputs(df: DataFrame, model: Model):
     """A function from figures to the network's output."""
     shared = df.sparkSession.sparkContext.broadcast(model)

@@ -1,10 +1,13 @@
 """Quality, toxicity, URL verdicts and pseudo-likelihood: held-out accuracy and brute force."""
 
+import math
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import pseudo_likelihood as lm
 from millrace.llm import pu_quality, toxicity, url_filter
@@ -37,7 +40,117 @@ def test_quality_held_out(spark):
 def test_prior_estimate():
     rng = np.random.default_rng(0)
     p, n = rng.normal(3, 1, 4000), rng.normal(-3, 1, 4000)
-    assert pu_quality.estimate_prior(p[:2000], np.concatenate([p[2000:], n[:2000]])) == pytest.approx(0.5, abs=0.03)
+    u, cuts = np.concatenate([p[2000:], n[:2000]]), pu_quality.prior_cuts(p[:2000])
+    above = np.array([(u >= c).mean() for c in cuts])
+    assert pu_quality.lowest_ratio(p[:2000], above, cuts) == pytest.approx(0.5, abs=0.03)
+
+
+def test_learner_takes_rows_evenly_at_every_size():
+    """One document more than a round number changes hardly anything: no row is learnt from more often than another."""
+    rng = np.random.default_rng(7)
+    width, found = pu_quality._NAMES, {}
+    good, bad = rng.normal(0.25, 1, (60_000, width)), rng.normal(-0.25, 1, (60_000, width))
+    for rows in (16_400, 16_401, 50_003):
+        x = np.concatenate([good[: rows // 2], bad[: rows - rows // 2]])
+        learner = pu_quality.Learner(pu_quality._initial(), rng.normal(0.25, 1, (2000, width)), 0.5, seed=1)
+        seen = []
+        step = learner.step
+        learner.step = lambda part: (seen.append(part), step(part))[1]
+        pu_quality.learnt(learner, x, 500)
+        assert learner.steps >= 500 and min(map(len, seen)) > 0.9 * pu_quality.BATCH
+        assert sum(map(len, seen)) % rows == 0 and np.allclose(np.concatenate(seen).sum(axis=0), x.sum(axis=0) * (sum(map(len, seen)) // rows))
+        out = pu_quality._forward(learner.layers, np.concatenate([good[-2000:], bad[-2000:]]))[1]
+        found[rows] = auc(out, np.repeat([1, 0], 2000)), (out > 0).mean()
+    assert max(a for a, _ in found.values()) - min(a for a, _ in found.values()) < 0.01
+    assert all(abs(share - 0.5) < 0.1 for _, share in found.values())
+
+
+def plain_quality(rows, positives, steps):
+    """``fit`` without Spark for one learner, written from the formulas: its own Adam, ratios and level."""
+    x = np.array([f for _, f, _ in rows], float)
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale = np.where(scale > 1e-6, scale, 1.0)
+    z = lambda v: np.clip((v - mean) / scale, -8, 8)
+    p = np.array([f for i, f, _ in rows if i in positives], float)
+    p = p[np.lexsort(p.T)]
+    fold = np.array([zlib.crc32(v.astype("f4").tobytes()) % 2 == 0 for v in p])
+    p = z(p)
+    order = sorted(range(len(rows)), key=lambda r: (rows[r][2], rows[r][1][0]))
+    xu = z(x[order])
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def grads(w, v, d):
+        h = np.maximum(v @ w[0] + w[1], 0)
+        g = d(h @ w[2] + w[3][0])
+        back = np.outer(g, w[2]) * (h > 0)
+        return [v.T @ back, back.sum(axis=0), h.T @ g, np.array([g.sum()])]
+
+    def train(p, prior, turns):
+        w = pu_quality._initial()
+        for turn in range(turns):
+            rng, first, second, t = np.random.default_rng(turn), [0.0] * 4, [0.0] * 4, 0
+            each = max(1, round(len(xu) / 256))
+            for _ in range(math.ceil(steps / each)):
+                for part in np.array_split(rng.permutation(len(xu)), each):
+                    a, n = xu[part], len(part)
+                    b = p[rng.integers(0, len(p), n)]
+                    out = lambda v: np.maximum(v @ w[0] + w[1], 0) @ w[2] + w[3][0]  # noqa: B023, E731
+                    if prior is None:
+                        g = [i + j for i, j in zip(grads(w, b, lambda o: (sigmoid(o) - 1) / n), grads(w, a, lambda o: sigmoid(o) / n))]  # noqa: B023
+                    else:
+                        sign = 1 if np.log1p(np.exp(out(a))).mean() >= prior * np.log1p(np.exp(out(b))).mean() else -1
+                        own = (lambda o: prior * (sigmoid(o) - 1 - sigmoid(o)) / n) if sign > 0 else (lambda o: prior * sigmoid(o) / n)  # noqa: B023
+                        g = [i + j for i, j in zip(grads(w, b, own), grads(w, a, lambda o: sign * sigmoid(o) / n))]  # noqa: B023
+                    t += 1
+                    for k in range(4):
+                        d = g[k] + 1e-5 * w[k]
+                        first[k], second[k] = 0.9 * first[k] + 0.1 * d, 0.999 * second[k] + 0.001 * d * d
+                        w[k] = w[k] - 0.005 * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
+            w = [np.float32(v).astype(float) for v in w]
+        return lambda v: np.maximum(v @ w[0] + w[1], 0) @ w[2] + w[3][0]
+
+    plain = train(p[fold], None, 1)
+    cuts = np.quantile(plain(p[~fold]), [k / 50 for k in range(46)])
+    prior = min(max(min((plain(xu) >= c).mean() / (plain(p[~fold]) >= c).mean() for c in cuts), 0.05), 0.97)
+    falls = []
+    for part in (fold, ~fold):
+        g = train(p[part], prior, 3)
+        low, middle = np.quantile(g(p[part]), [0.001, 0.5])
+        falls.append((low - np.quantile(g(p[~part]), 0.001)) / (middle - low))
+    g = train(p, prior, 3)
+    low, middle = np.quantile(g(p), [0.001, 0.5])
+    cut = low - (max(0, *falls) + 0.25) * (middle - low) - 1e-3
+    return prior, 1 / (1 + np.exp(-(g(z(x)) - cut + np.log(0.3 / 0.7))))
+
+
+def test_quality_equals_a_plain_version(spark):
+    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400")
+    described = pu_quality.describe(docs_)
+    rows = [(r.doc_id, r.figures, r.key) for r in described.select("doc_id", "figures", F.xxhash64("doc_id", "figures", F.lit(None).cast("long")).alias("key")).collect()]
+    positives = {r.doc_id for r in pu_quality.trusted(spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).collect()}
+    model = pu_quality.fit(described, pu_quality.trusted(spark.read.parquet("/root/testdata/sf0.01/labels.parquet")), steps=60)
+    prior, scores = plain_quality(rows, positives, 60)
+    assert model.prior == pytest.approx(prior, rel=1e-6)
+    got = {r.doc_id: r.s for r in described.select("doc_id", pu_quality.score_figures(described, model).alias("s")).collect()}
+    np.testing.assert_allclose([got[i] for i, _, _ in rows], scores, atol=2e-4)
+
+
+def test_quality_does_not_depend_on_files(spark):
+    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    known = pu_quality.trusted(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    one, other = (pu_quality.fit(pu_quality.describe(d), known, steps=30) for d in (docs_.coalesce(1), docs_.repartition(9)))
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(one.layers, other.layers)) and one.level == pytest.approx(other.level, abs=1e-4)
+
+
+def test_learners_hold_every_row_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pu_quality, "SHARD_ROWS", 100)
+    monkeypatch.setattr(pu_quality, "BLOCK_ROWS", 50)
+    width = pu_quality._NAMES
+    rows = [(None if i % 3 == 0 else 5, [float(i % 7 == 0)] * width) for i in range(1200)]
+    own = spark.createDataFrame(rows, "id long, figures array<float>").repartition(4)
+    found = pu_quality.learners(own, 1200).collect()
+    assert sum(r.n for r in found) == 1200 and len({r.shard for r in found}) == len(found)
+    assert sum(np.frombuffer(r.x, "<f4").sum() for r in found) == sum(sum(f) for _, f in rows)
 
 
 def test_non_negative_risk_gradient():
