@@ -1,12 +1,20 @@
-"""Problem type and class balance."""
+"""Problem type and class balance.
+
+Defined cases: columns may have any names; rows without a label are kept and belong to no class; repeated rows are rows of their own;
+empty tables and tables of one class are returned as they are.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.selectors import col, signed_numeric
 from millrace.functions.stats import distinct_counts
+from millrace.functions.storage import cut, fresh_names
+
+#: Hash slots in which the rows of a class are counted.
+SLOTS = 4096
 
 
 def check_problem_type(df: DataFrame, target_col: str) -> str:
@@ -20,31 +28,23 @@ def class_counts(df: DataFrame, target_col: str) -> DataFrame:
     return df.groupBy(col(target_col)).agg(F.count("*").alias("count")).orderBy("count", col(target_col))
 
 
-def _exact(rows: DataFrame, quota: dict, seed: int) -> DataFrame:
-    """``quota[class]`` rows of each class, by hash order: rows under a threshold go whole, ties at it are ranked.
+def _exact(rows: DataFrame, label: str, quota: DataFrame, seed: int) -> DataFrame:
+    """``need`` rows of each class (``quota``: ``class`` and ``need``), by hash order: rows under a threshold go whole, ties at it are ranked.
 
     A count for each (class, hash slot) tells in which slot the quota ends; only that slot is ranked, so no class passes one
-    task.
+    task. Counts and quotas stay tables, however many classes there are.
     """
-    slots = 4096
-    placed = rows.withColumn("__h", F.xxhash64(F.lit(seed), F.monotonically_increasing_id())).checkpoint()
-    placed = placed.withColumn("__s", F.pmod("__h", F.lit(slots)))
-    counts = sorted((r["__y"], r["__s"], r["n"]) for r in placed.groupBy("__y", "__s").agg(F.count("*").alias("n")).collect())
-    cuts = []
-    for y, need in quota.items():
-        for slot, n in ((s, n) for k, s, n in counts if k == y):
-            if need <= n:
-                cuts.append((y, slot, need))
-                break
-            need -= n
-    schema = f"__c {placed.schema['__y'].dataType.simpleString()}, __cut int, __rest long"
-    table = F.broadcast(rows.sparkSession.createDataFrame(cuts, schema))  # a row for each class
-    joined = placed.join(table, F.col("__y") == F.col("__c"))
-    whole = joined.where("__s < __cut")
-    from pyspark.sql import Window
-
-    edge = joined.where("__s = __cut").withColumn("__r", F.row_number().over(Window.partitionBy("__y").orderBy("__h"))).where("__r <= __rest").drop("__r")
-    return whole.unionByName(edge)
+    kept = rows.columns
+    hash_, slot, rank, class_, cut_at, rest = fresh_names(rows, "hash", "slot", "rank", "class", "cut", "rest")
+    placed = cut(rows.withColumn(hash_, F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))).withColumn(slot, F.pmod(hash_, F.lit(SLOTS)))
+    counts = placed.groupBy(col(label).alias("class"), F.col(slot).alias("slot")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("class").orderBy("slot"))
+    ends = counts.withColumn("upto", upto).join(quota, "class").where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
+    ends = ends.select(F.col("class").alias(class_), F.col("slot").alias(cut_at), (F.col("need") - F.col("upto") + F.col("n")).alias(rest))
+    joined = placed.join(ends, col(label) == F.col(class_))
+    whole = joined.where(F.col(slot) < F.col(cut_at)).select(*map(col, kept))
+    edge = joined.where(F.col(slot) == F.col(cut_at)).withColumn(rank, F.row_number().over(Window.partitionBy(class_).orderBy(hash_)))
+    return whole.unionByName(edge.where(F.col(rank) <= F.col(rest)).select(*map(col, kept)))
 
 
 def check_and_handle_imbalance(df: DataFrame, target_col: str, method: str | None = None, seed: int = 42, ratio: float = 1.5) -> DataFrame:
@@ -52,21 +52,16 @@ def check_and_handle_imbalance(df: DataFrame, target_col: str, method: str | Non
     ``under`` (exact samples of the least size). Without a method the table is returned as it is; rows without a label stay."""
     if method not in (None, "over", "under"):
         raise ValueError("method must be 'over' or 'under'")
-    labelled = df.where(col(target_col).isNotNull()).withColumn("__y", col(target_col))
-    counts = {r["__y"]: r["count"] for r in labelled.groupBy("__y").count().collect()}
-    if method is None or len(counts) < 2 or max(counts.values()) / min(counts.values()) <= ratio:
+    labelled = df.where(col(target_col).isNotNull())
+    sizes = cut(labelled.groupBy(col(target_col).alias("class")).agg(F.count("*").alias("n")))
+    classes, least, most = sizes.agg(F.count("*"), F.min("n"), F.max("n")).first()
+    if method is None or classes < 2 or most / least <= ratio:
         return df
-    unlabelled = df.where(col(target_col).isNull())
     if method == "under":
-        out = _exact(labelled, dict.fromkeys(counts, min(counts.values())), seed)
+        out = _exact(labelled, target_col, sizes.select("class", F.lit(least).alias("need")), seed)
     else:
-        most = max(counts.values())
-        out = labelled
-        for times in {most // n for n in counts.values()}:
-            own = [y for y, n in counts.items() if most // n == times and n < most]
-            if own and times > 1:
-                out = out.unionByName(labelled.where(F.col("__y").isin(*own)).withColumn("__k", F.explode(F.sequence(F.lit(2), F.lit(times)))).drop("__k"))
-        rest = {y: most % n for y, n in counts.items() if most % n}
-        if rest:
-            out = out.unionByName(_exact(labelled.where(F.col("__y").isin(*rest)), rest, seed).select(out.columns))
-    return out.select(*map(col, df.columns)).unionByName(unlabelled)
+        class_, times = fresh_names(df, "class", "times")
+        copies = sizes.select(F.col("class").alias(class_), F.explode(F.sequence(F.lit(1), F.floor(F.lit(most) / F.col("n")).cast("int"))).alias(times))
+        out = labelled.join(copies, col(target_col) == F.col(class_)).select(*map(col, df.columns))
+        out = out.unionByName(_exact(labelled, target_col, sizes.select("class", (F.lit(most) % F.col("n")).alias("need")).where("need > 0"), seed))
+    return out.unionByName(df.where(col(target_col).isNull()))

@@ -1,9 +1,12 @@
-"""Rare categories, near-equal spellings, encodings and value maps."""
+"""Rare categories, near-equal spellings, encodings and value maps.
+
+Defined cases: columns may have any names, those used inside included; nulls stay null; ties of frequency go by value; empty tables
+give empty tables; values of any length are taken whole.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from itertools import islice
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,21 +15,24 @@ from pyspark.sql import functions as F
 from millrace.functions.ratio import sorted_tokens
 from millrace.functions.selectors import chosen, col, replaced, strings
 from millrace.functions.stats import distinct_counts
+from millrace.functions.storage import cut, fresh_name, fresh_names
 from millrace.functions.text import literal_map
-from millrace.operators.dedupe import greedy_dropped, similar_pairs
+from millrace.operators.dedupe import greedy_dropped, numbered, similar_pairs
 
 #: Maps up to this size are literals in the plan; larger ones are joined.
 LITERAL_MAP = 200
 
 
-def mapped(df: DataFrame, c: str, table: DataFrame) -> DataFrame:
-    """``df`` with column ``c`` replaced by ``table``'s ``to`` for its ``from`` (null-safe); without a row it becomes null.
+def mapped(df: DataFrame, c: str, table: DataFrame, whole: bool = True) -> DataFrame:
+    """``df`` with column ``c`` replaced by ``table``'s ``to`` for its ``from`` (null-safe); without a row it becomes null, or stays
+    unless ``whole``.
 
     Spark broadcasts the table if it knows it to be small, and joins by shuffle otherwise.
     """
-    keyed = table.select(F.col("from").alias("__from"), F.col("to").alias("__to"))
-    joined = df.join(keyed, col(c).eqNullSafe(F.col("__from")), "left")
-    return joined.select(*[(F.col("__to") if x == c else col(x)).alias(x) for x in df.columns])
+    old, new = fresh_names(df, "from", "to")
+    joined = df.join(table.select(F.col("from").alias(old), F.col("to").alias(new)), col(c).eqNullSafe(F.col(old)), "left")
+    to = F.col(new) if whole else F.coalesce(F.col(new), col(c))
+    return joined.select(*[(to if x == c else col(x)).alias(x) for x in df.columns])
 
 
 def group_rare_categories(df: DataFrame, threshold: float = 0.01, other_label: str = "Other", columns: Iterable[str] | None = None) -> DataFrame:
@@ -55,16 +61,14 @@ def fuzzy_cluster_categories(df: DataFrame, columns: Iterable[str] | None = None
 
     for c in chosen(df, columns, strings(df)):
         counts = df.where(col(c).isNotNull()).groupBy(col(c).cast("string").alias("from")).agg((-F.count("*")).alias("at"))
-        values = _numbered(counts).select("from", F.col("to").alias("place"), token_sorted("from").alias("key")).checkpoint()
-        texts = values.groupBy(F.col("key").alias("text")).agg(F.min("place").alias("place")).checkpoint()
-        edges = similar_pairs(texts, threshold).checkpoint()
+        values = cut(numbered(counts).select("from", F.col("to").alias("place"), token_sorted("from").alias("key")))
+        texts = cut(values.groupBy(F.col("key").alias("text")).agg(F.min("place").alias("place")))
+        edges = cut(similar_pairs(texts, threshold))
         canonical = edges.join(greedy_dropped(edges).select(F.col("place").alias("a")), "a", "left_anti")
         taken = canonical.groupBy("b").agg(F.min("a").alias("a"))
         heads = texts.join(taken, F.col("place") == F.col("b"), "left").select("text", F.coalesce("a", "place").alias("head"))
         table = values.join(heads, F.col("key") == F.col("text")).where("place <> head").select("from", "head")
-        table = table.join(values.select(F.col("place").alias("head"), F.col("from").alias("to")), "head").select(F.col("from").alias("__from"), F.col("to").alias("__to"))
-        joined = df.join(table, col(c) == F.col("__from"), "left")
-        df = joined.select(*[(F.coalesce(F.col("__to"), col(x)) if x == c else col(x)).alias(x) for x in df.columns])
+        df = mapped(df, c, table.join(values.select(F.col("place").alias("head"), F.col("from").alias("to")), "head").select("from", "to"), whole=False)
     return df
 
 
@@ -77,9 +81,7 @@ def replace_values(df: DataFrame, mapping: dict[str, dict[str, str]]) -> DataFra
         if len(table) <= LITERAL_MAP:
             new[c] = F.when(col(c).isin(*table), F.try_element_at(literal_map(table), col(c))).otherwise(col(c))
         else:
-            keyed = df.sparkSession.createDataFrame(list(table.items()), "__from string, __to string")
-            joined = df.join(keyed, col(c) == F.col("__from"), "left")
-            df = joined.select(*[(F.coalesce(F.col("__to"), col(x)) if x == c else col(x)).alias(x) for x in df.columns])
+            df = mapped(df, c, df.sparkSession.createDataFrame(list(table.items()), "from string, to string"), whole=False)
     return replaced(df, new)
 
 
@@ -98,17 +100,33 @@ def manual_correction(values: list[str], corrections: dict[str, str]) -> list[st
     return [corrections.get(v, v) for v in values]
 
 
+def corrections_of(values: DataFrame, corrector: Callable, column_name: str, batch: int) -> DataFrame:
+    """``from`` and ``to`` of the values (column ``from``) that ``corrector`` changes; tasks ask for ``batch`` values at a time."""
+
+    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for a in range(0, len(part), batch):
+                asked = part["from"].iloc[a : a + batch].tolist()
+                got = correct_categorical_values(corrector, column_name, asked)
+                yield pd.DataFrame([(x, y) for x, y in zip(asked, got) if x != y], columns=["from", "to"], dtype=object)
+
+    return values.mapInPandas(ask, "from string, to string")
+
+
 def fix_spelling_errors_in_categorical(df: DataFrame, corrections: dict[str, dict[str, str]] | None = None, corrector: Callable | None = None, batch: int = 1000) -> DataFrame:
-    """String columns corrected by a given mapping, or by a function over all their distinct values, ``batch`` at a time."""
-    table = {c: dict(m) for c, m in (corrections or {}).items()}
-    if corrector:
-        for c in strings(df):
-            values = df.select(col(c).alias("v")).where(col(c).isNotNull()).distinct().orderBy("v").toLocalIterator()
-            found: dict[str, str] = {}
-            while part := [r.v for r in islice(values, batch)]:
-                found |= {a: b for a, b in zip(part, correct_categorical_values(corrector, c, part)) if a != b}
-            table[c] = found | table.get(c, {})
-    return replace_values(df, table)
+    """String columns corrected by a given mapping, or by a function over all their distinct values, ``batch`` at a time.
+
+    The function runs in Spark's tasks (it must pickle); values and corrections stay in Spark. Given corrections come first.
+    """
+    given = {c: m for c, m in (corrections or {}).items() if c in df.columns}
+    for c in strings(df) if corrector else ():
+        values = df.select(col(c).alias("from")).where(col(c).isNotNull()).distinct().sort("from")
+        found = corrections_of(values, corrector, c, batch)
+        if given.get(c):
+            own = df.sparkSession.createDataFrame(list(given[c].items()), "from string, to string")
+            found = own.unionByName(found.join(own, "from", "left_anti"))
+        df = mapped(df, c, cut(found), whole=False)
+    return df if corrector else replace_values(df, given)
 
 
 def encode_categorical(df: DataFrame, method: str = "onehot", columns: Iterable[str] | None = None, target: str | None = None, max_onehot: int = 20, order_by: str | None = None) -> DataFrame:
@@ -129,7 +147,8 @@ def encode_categorical(df: DataFrame, method: str = "onehot", columns: Iterable[
     if method == "target" and target not in df.columns:
         raise ValueError("target encoding needs a target column")
     if method == "label" and order_by is None:
-        df, order_by = df.withColumn("__row", F.monotonically_increasing_id()), "__row"
+        order_by = fresh_name(df, "row")
+        df = df.withColumn(order_by, F.monotonically_increasing_id())
     source = df
     for c in names:
         groups = source.groupBy(col(c).alias("from"))
@@ -139,21 +158,6 @@ def encode_categorical(df: DataFrame, method: str = "onehot", columns: Iterable[
             table = groups.agg(F.avg(col(target)).alias("to"))
         else:
             first = groups.agg(F.min(col(order_by)).alias("at")) if method == "label" else groups.agg(F.min(col(c)).alias("at"))
-            table = _numbered(first.where(F.col("from").isNotNull()))
+            table = numbered(first.where(F.col("from").isNotNull()))
         df = mapped(df, c, table)
     return df.select(*map(col, kept))
-
-
-def _numbered(values: DataFrame) -> DataFrame:
-    """Consecutive numbers for the distinct values in the order of ``at``, without one task that sees them all: values are
-    sorted by range, each partition is counted, and its rows start where the ones before it end."""
-    ordered = values.select("from", "at").sort("at", "from").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()).checkpoint()
-    sizes = sorted((r.part, r.n, r.low) for r in ordered.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("low")).collect())
-    start, total = {}, 0
-    for part, n, low in sizes:
-        start[part] = total - low
-        total += n
-    if not start:
-        return ordered.select("from", F.lit(0).cast("long").alias("to"))
-    shift = F.try_element_at(F.create_map(*[F.lit(x) for pair in start.items() for x in pair]), F.col("part"))
-    return ordered.select("from", (F.col("row") + shift).alias("to"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.selectors import FLOATS, col, strings
 from millrace.functions.stats import distinct_counts, first_row, null_counts
+from millrace.functions.storage import fresh_name
 from millrace.functions.text import number
 
 #: Names of identifier columns (fixed values, in any case).
@@ -51,10 +52,11 @@ def remove_duplicate_columns(df: DataFrame) -> DataFrame:
     Columns of one type are told apart by sums of row-bound hashes; those that agree are compared value by value.
     """
     types = dict(df.dtypes)
-    keyed = df.withColumn("__row", F.monotonically_increasing_id())
+    row = fresh_name(df, "row")
+    keyed = df.withColumn(row, F.monotonically_increasing_id())
     nan = {c: F.max(F.isnan(col(c)).cast("int")) for c in df.columns if isinstance(df.schema[c].dataType, FLOATS)}
     maps = {c for c in df.columns if "map<" in types[c]}
-    prints = first_row(keyed, {c: F.expr(f"bit_xor(xxhash64(__row, `{c.replace('`', '``')}`))") for c in df.columns if c not in maps} | {("nan", c): e for c, e in nan.items()})
+    prints = first_row(keyed, {c: F.expr(f"bit_xor(xxhash64({row}, `{c.replace('`', '``')}`))") for c in df.columns if c not in maps} | {("nan", c): e for c, e in nan.items()})
     pairs = [(a, b) for j, b in enumerate(df.columns) for a in df.columns[:j] if types[a] == types[b] and a not in maps and b not in maps and prints[a] == prints[b] and not prints.get(("nan", b))]
     same = first_row(df, {(a, b): F.bool_and(col(a).eqNullSafe(col(b))) for a, b in pairs})
     gone = {b for (a, b), equal in same.items() if equal or equal is None}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.selectors import chosen, numeric, present
 from millrace.functions.stats import first_row
+from millrace.functions.storage import fresh_name
 
 SAMPLE, TREES = 256, 100
 
@@ -87,6 +88,7 @@ def remove_outliers_isolation_forest(df: DataFrame, contamination: float = 0.05,
         for part in parts:
             yield pd.Series(anomaly_scores(np.array(part.tolist(), float).reshape(len(part), -1), shared.value, size), dtype=float)
 
-    scored = df.withColumn("__score", score(row))
-    cut = scored.agg(F.percentile_approx("__score", F.lit(1 - contamination), F.lit(100_000))).first()[0]
-    return scored.where(F.col("__score") <= cut).drop("__score")
+    name = fresh_name(df, "score")
+    scored = df.withColumn(name, score(row))
+    cut = scored.agg(F.percentile_approx(name, F.lit(1 - contamination), F.lit(100_000))).first()[0]
+    return scored.where(F.col(name) <= cut).drop(name)

@@ -1,46 +1,37 @@
 """Imputation by neighbours and by chained regressions.
 
-KNN folds rows to distinct tuples of features and compares the incomplete ones, in blocks of bounded size, with all of them where
-they lie: a task keeps the nearest of its own donors, and these are merged. No donor is left out at any size. Chained equations
-need only sums of products, which one aggregation a feature and round gives.
+KNN folds rows to distinct tuples of features; the incomplete ones find their neighbours among all of them through cells with
+bounding boxes (``neighbours``), in joins, so no donor is left out and nothing of the size of the table comes to the driver. Chained
+equations need only sums of products, which one aggregation a feature and round gives.
+
+Defined cases: columns of any names; NaN counts as missing; repeated rows count as often as they occur; equal distances go by the
+values; columns without any value stay as they are; empty tables give empty tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.selectors import col, present, replaced
 from millrace.functions.stats import first_row
+from millrace.functions.storage import cut, fresh_names
+from millrace.operators.neighbours import distances, nearest
 
-#: Incomplete tuples of one block, and donors compared at once: what a task holds.
-QUERIES, DONORS_AT_ONCE = 2_000, 2_000
 #: Rows whose distances to all donors are held at once, in numbers.
 CELLS = 4_000_000
 
 
-def _distances(x: np.ndarray, donors: np.ndarray) -> np.ndarray:
-    """Squared Euclidean distances over the features both rows have, scaled up to all features; infinite without any."""
-    there, has = ~np.isnan(donors), ~np.isnan(x)
-    a, b = np.where(has, x, 0.0), np.where(there, donors, 0.0)
-    both = has.astype(float) @ there.T.astype(float)
-    total = (a * a) @ there.T + has @ (b * b).T - 2 * a @ b.T
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(both > 0, np.maximum(total, 0) * x.shape[1] / both, np.inf)
-
-
 def neighbour_means(x: np.ndarray, donors: np.ndarray, means: np.ndarray, k: int) -> np.ndarray:
     """``x`` with every NaN replaced by the mean over the ``k`` nearest donors that have the feature, ties by donor order."""
     out = x.copy()
     step = max(1, CELLS // max(1, len(donors)))
     for a in range(0, len(x), step):
         part = x[a : a + step]
-        far = _distances(part, donors)
+        far = distances(part, donors)
         for j in range(x.shape[1]):
             rows = np.flatnonzero(np.isnan(part[:, j]))
             own = np.flatnonzero(~np.isnan(donors[:, j]))
@@ -58,49 +49,12 @@ def neighbour_means(x: np.ndarray, donors: np.ndarray, means: np.ndarray, k: int
     return out
 
 
-def _ordered(donors: np.ndarray) -> np.ndarray:
-    """The order of donor tuples, feature by feature, missing values last."""
-    return np.lexsort(donors.T[::-1])
-
-
-def _nearest(queries: np.ndarray, gaps: list[int], k: int):
-    """A task's function: of its donors (``x``, ``n``) the ``k`` nearest tuples for every query and missing feature."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = queries.shape[1]
-        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            values = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            times = batch.column(1).to_numpy(zero_copy_only=False)
-            for a in range(0, len(values), DONORS_AT_ONCE):
-                donors, n = values[a : a + DONORS_AT_ONCE], times[a : a + DONORS_AT_ONCE]
-                order = _ordered(donors)
-                donors, n = donors[order], n[order]
-                far = _distances(queries, donors)
-                for j in gaps:
-                    own = np.flatnonzero(~np.isnan(donors[:, j]))
-                    for i in np.flatnonzero(np.isnan(queries[:, j])) if len(own) else ():
-                        d = far[i, own]
-                        few = np.argsort(d, kind="stable")[:k]
-                        few = few[np.isfinite(d[few])]
-                        new = (d[few], donors[own[few]], n[own[few]])
-                        if (i, j) in held:  # equal distances go by tuple
-                            d, x, m = (np.concatenate(p) for p in zip(held[(i, j)], new))
-                            best = np.lexsort((*x.T[::-1], d))[:k]
-                            new = d[best], x[best], m[best]
-                        held[(i, j)] = new
-        rows = [(i, j, *row) for (i, j), found in held.items() for row in zip(*found)]
-        columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate([pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.int64()])]
-        yield pa.RecordBatch.from_arrays(columns, names=["q", "j", "d", "x", "n"])
-
-    return run
-
-
-def impute_knn(df: DataFrame, columns: list[str], k: int = 5, queries: int = QUERIES) -> DataFrame:
+def impute_knn(df: DataFrame, columns: list[str], k: int = 5, report: dict | None = None) -> DataFrame:
     """NaN-Euclidean nearest neighbours over ``columns``; those with a missing value become double, the others stay.
 
     A gap gets the mean of the ``k`` nearest rows that have the feature (equal distances by the rows' values, feature by feature), or
     the column's mean if no such row shares a feature. Columns without any value stay null; complete rows pass unchanged.
+    ``report`` receives how many distances were computed, and how many all pairs would be.
     """
     exprs: dict = {("n", c): F.count(present(df, c)) for c in columns} | {("m", c): F.avg(present(df, c)) for c in columns} | {"rows": F.count(F.lit(1))}
     got = first_row(df, exprs)
@@ -111,28 +65,18 @@ def impute_knn(df: DataFrame, columns: list[str], k: int = 5, queries: int = QUE
     at = [names.index(c) for c in gaps]
     row = F.array(*[F.coalesce(present(df, c).cast("double"), F.lit(float("nan"))) for c in names])
     incomplete = F.coalesce(*[F.when(present(df, c).isNull(), True) for c in gaps], F.lit(False))
-    tuples = df.groupBy(row.alias("x")).agg(F.count("*").alias("n")).checkpoint()
-    open_tuples = tuples.where(reduce(lambda a, b: a | b, [F.isnan(F.col("x")[j]) for j in at])).select("x")
-    blocks = 1 + open_tuples.count() // queries
-    fills = []
-    for b in range(blocks):  # distinct tuples, so a hash deals them evenly: about ``queries`` come to the driver
-        block = open_tuples.where(F.pmod(F.xxhash64("x"), F.lit(blocks)) == b).toPandas()["x"]
-        if not len(block):
-            continue
-        x = np.stack(block.to_list())
-        near = tuples.select("x", "n").mapInArrow(_nearest(x, at, k), "q int, j int, d double, x array<double>, n long")
-        ranked = near.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("q", "j").orderBy("d", "x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        taken = ranked.withColumn("take", F.least("n", F.lit(k) - F.col("before"))).where("take > 0")
-        value = F.element_at("x", F.col("j") + 1)
-        means = taken.groupBy("q", "j").agg((F.sum(value * F.col("take")) / F.sum("take")).alias("mean"))
-        of_query = means.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("j", "mean"))).alias("means"))
-        keys = df.sparkSession.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "q int, x array<double>")
-        fills.append(keys.join(of_query, "q").select(F.col("x").alias("__tuple"), "means"))
+    tuples = cut(df.groupBy(row.alias("x")).agg(F.count("*").alias("n")))
+    lacking = reduce(lambda a, b: a | b, [F.isnan(F.col("x")[j]) for j in at])
+    queries = cut(tuples.where(lacking).select(F.monotonically_increasing_id().alias("q"), "x"))
+    near = nearest(tuples, queries, len(names), at, k, report)
+    value = F.element_at("x", F.col("j") + 1)
+    means = near.groupBy("q", "j").agg((F.sum(value * F.col("take")) / F.sum("take")).alias("mean"))
+    of_query = means.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("j", "mean"))).alias("means"))
     kept = df.columns
-    fill = reduce(DataFrame.unionByName, fills).withColumnRenamed("means", "__means")
-    gone = df.where(incomplete).withColumn("__row", row)
-    found = gone.join(fill, F.col("__row") == F.col("__tuple"), "left")
-    new = {c: F.coalesce(present(df, c).cast("double"), F.try_element_at("__means", F.lit(j)), F.lit(float(got[("m", c)]))) for c, j in zip(gaps, at)}
+    own, tuple_, fill = fresh_names(df, "tuple", "of", "means")
+    fills = cut(queries.join(of_query, "q").select(F.col("x").alias(tuple_), F.col("means").alias(fill)))
+    found = df.where(incomplete).withColumn(own, row).join(fills, F.col(own) == F.col(tuple_), "left")
+    new = {c: F.coalesce(present(df, c).cast("double"), F.try_element_at(fill, F.lit(j)), F.lit(float(got[("m", c)]))) for c, j in zip(gaps, at)}
     whole = replaced(df.where(~incomplete), {c: present(df, c).cast("double") for c in gaps})
     return whole.unionByName(replaced(found, new).select(*map(col, kept)))
 
@@ -167,13 +111,14 @@ def impute_mice(df: DataFrame, columns: list[str], rounds: int = 10, tolerance:
         return df
     if len(names) < 2:
         return replaced(df, {c: F.coalesce(present(df, c).cast("double"), F.lit(got[("m", c)])) for c in gaps})
-    short = {c: f"__x{i}" for i, c in enumerate(names)}
-    work = df.withColumns({short[c]: F.coalesce(present(df, c).cast("double"), F.lit(got[("m", c)])) for c in names} | {f"__g{i}": present(df, c).isNull() for i, c in enumerate(names)})
+    short = dict(zip(names, fresh_names(df, *[f"x{i}" for i in range(len(names))])))
+    lacks = dict(zip(names, fresh_names(df, *[f"gap{i}" for i in range(len(names))])))
+    work = df.withColumns({short[c]: F.coalesce(present(df, c).cast("double"), F.lit(got[("m", c)])) for c in names} | {lacks[c]: present(df, c).isNull() for c in names})
     previous: dict[str, np.ndarray] = {}
     for turn in range(rounds):
         moved = 0.0
         for c in gaps:
-            known = ~F.col(f"__g{names.index(c)}")
+            known = ~F.col(lacks[c])
             value = lambda a: F.when(known, F.col(short[a]))
             exprs: dict = {"n": F.count(F.when(known, 1))} | {("s", a): F.sum(value(a)) for a in names}
             exprs |= {("p", *sorted((a, b))): F.sum(value(a) * F.col(short[b])) for i, a in enumerate(names) for b in names[: i + 1]}
@@ -182,12 +127,12 @@ def impute_mice(df: DataFrame, columns: list[str], rounds: int = 10, tolerance:
             guess: Column = F.lit(constant)
             for a, w in zip(others, weights):
                 guess = guess + F.lit(float(w)) * F.col(short[a])
-            work = work.withColumn(short[c], F.when(F.col(f"__g{names.index(c)}"), guess).otherwise(F.col(short[c])))
+            work = work.withColumn(short[c], F.when(F.col(lacks[c]), guess).otherwise(F.col(short[c])))
             now = np.append(weights, constant)
             moved = max(moved, float(np.max(np.abs(now - previous[c]) / (1e-9 + np.abs(now).max()))) if c in previous else np.inf)
             previous[c] = now
         if len(gaps) > 1:
-            work = work.checkpoint() if turn % 2 else work
+            work = cut(work) if turn % 2 else work
         if len(gaps) == 1 or moved < tolerance:
             break
     return replaced(work, {c: F.col(short[c]) for c in gaps}).select(*map(col, df.columns))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.selectors import col, strings
 from millrace.functions.stats import first_row
+from millrace.functions.storage import fresh_names
 
 
 def json_columns(df: DataFrame) -> list[str]:
@@ -28,6 +29,7 @@ def fix_json_columns(df: DataFrame, schemas: dict[str, T.StructType] | None = No
         if text.startswith("STRUCT<") and text != "STRUCT<>":
             schemas[c] = T.StructType.fromDDL(f"v {text.replace('VOID', 'STRING')}")["v"].dataType
     ready = [c for c in df.columns if c in schemas]
-    parsed = df.withColumns({f"__j{i}": F.from_json(col(c), schemas[c]) for i, c in enumerate(ready)})
+    objects = fresh_names(df, *[f"object{i}" for i in range(len(ready))])
+    parsed = df.withColumns({o: F.from_json(col(c), schemas[c]) for o, c in zip(objects, ready)})
     kept = [col(c) for c in df.columns if c not in ready]
-    return parsed.select(*kept, *[F.col(f"__j{i}").getField(f.name).alias(f"{c}_{f.name}") for i, c in enumerate(ready) for f in schemas[c]])
+    return parsed.select(*kept, *[F.col(o).getField(f.name).alias(f"{c}_{f.name}") for o, c in zip(objects, ready) for f in schemas[c]])

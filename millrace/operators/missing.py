@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.selectors import chosen, col, core_numeric, numeric, present, replaced, strings
 from millrace.functions.stats import first_row, medians, null_counts
+from millrace.functions.storage import cut
 from millrace.functions.text import trim
 from millrace.functions.words import MISSING
 from millrace.operators.impute import impute_knn, impute_mice
@@ -49,11 +50,12 @@ def _filled_in_order(df: DataFrame, strategies: dict[str, str], order_by: str |
 
     No task sees a whole key: rows are cut into ranges of (key, order), every range is filled by itself, and what it lacks comes
     from the ranges of the same key around it. A key has more than one range only where a range ends inside it, so the table
-    of such ranges has at most two rows a range and is broadcast.
+    of such ranges has at most two rows a range and is broadcast. Equal orders go by the order of reading, which also spreads them
+    over ranges.
     """
     names, keys, orders = list(strategies), _names(partition_by), _names(order_by)
-    key, order = [f"k{i}" for i in range(len(keys))], [f"o{i}" for i in range(max(1, len(orders)))]
-    placed = [col(c) for c in orders] or [F.monotonically_increasing_id()]
+    key, order = [f"k{i}" for i in range(len(keys))], [f"o{i}" for i in range(1 + len(orders))]
+    placed = [*map(col, orders), F.monotonically_increasing_id()]
     rows = df.select(
         F.struct(*map(col, df.columns)).alias("row"),
         *[present(df, c).alias(f"x{i}") for i, c in enumerate(names)],
@@ -62,7 +64,7 @@ def _filled_in_order(df: DataFrame, strategies: dict[str, str], order_by: str |
     )
     rows = rows.repartitionByRange(*key, *order).withColumn("range", F.spark_partition_id())
     rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("range", *key).orderBy(*order)))
-    rows = rows.drop(*order).checkpoint()  # ranges are drawn anew by each run of the plan, so they are written once
+    rows = cut(rows.drop(*order))  # ranges are drawn anew by each run of the plan, so they are written once
 
     known = [(f"x{i}", F.when(F.col(f"x{i}").isNotNull(), F.col("at"))) for i in range(len(names))]
     ends = [e for x, at in known for e in (F.max_by(x, at).alias(f"last_{x}"), F.max(at).alias(f"last_at_{x}"), F.min_by(x, at).alias(f"first_{x}"), F.min(at).alias(f"first_at_{x}"))]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.selectors import chosen, col, core_numeric, numeric, present, replaced
 from millrace.functions.stats import ACCURACY, correlations, first_row, iqr_fences, medians, quantiles, skewnesses
+from millrace.functions.storage import fresh_names
 
 
 def check_outliers(df: DataFrame) -> dict[str, DataFrame]:
@@ -87,8 +88,9 @@ def remove_outliers_by_group(df: DataFrame, group_col: str, columns: Iterable[st
         at = lambda q: F.min(F.when((F.col("q") == q) & (F.col("upto") >= F.floor(F.lit(q) * (F.col("total") - 1) + F.lit(0.5)) + 1), F.col("x")))
         fences = ranked.groupBy("g").agg(at(0.25).alias("q1"), at(0.75).alias("q3"))
         low, high = F.col("q1") - F.lit(k) * (F.col("q3") - F.col("q1")), F.col("q3") + F.lit(k) * (F.col("q3") - F.col("q1"))
-        fences = fences.select(F.col("g").alias("__g"), low.alias("__low"), high.alias("__high"))
-        df = df.join(fences, col(group_col).eqNullSafe(F.col("__g"))).where(x.between(F.col("__low"), F.col("__high"))).select(*map(col, kept))
+        group, below, above = fresh_names(df, "group", "low", "high")
+        fences = fences.select(F.col("g").alias(group), low.alias(below), high.alias(above))
+        df = df.join(fences, col(group_col).eqNullSafe(F.col(group))).where(x.between(F.col(below), F.col(above))).select(*map(col, kept))
     return df
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.selectors import col, replaced
 from millrace.functions.stats import first_row
+from millrace.functions.storage import fresh_name
 from millrace.functions.words import FORMATS
 
 
@@ -66,9 +67,10 @@ def check_referential_integrity(df: DataFrame, column: str, valid_values: Iterab
     """How many non-null values are not among ``valid_values`` (a list, or a table's first column), and the table, on demand
     without their rows."""
     if isinstance(valid_values, DataFrame):
-        keys = valid_values.select(valid_values[valid_values.columns[0]].alias("__key")).distinct()
-        bad = df.where(col(column).isNotNull()).join(keys, col(column) == F.col("__key"), "left_anti")
-        kept = df.join(keys, col(column) == F.col("__key"), "left").where(col(column).isNull() | F.col("__key").isNotNull()).select(*map(col, df.columns))
+        key = fresh_name(df, "key")
+        keys = valid_values.select(valid_values[valid_values.columns[0]].alias(key)).distinct()
+        bad = df.where(col(column).isNotNull()).join(keys, col(column) == F.col(key), "left_anti")
+        kept = df.join(keys, col(column) == F.col(key), "left").where(col(column).isNull() | F.col(key).isNotNull()).select(*map(col, df.columns))
         return (kept if drop_invalid else df), bad.count()
     fits = col(column).isin(*list(valid_values))
     bad = df.where(~fits & col(column).isNotNull()).count()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import millrace as mr
 from millrace.functions.ratio import lcs_length, ratio, token_sort_ratio
+from millrace.operators import neighbours
 from millrace.operators.impute import impute_knn, neighbour_means
 
 
@@ -101,16 +102,48 @@ def test_knn_matches_brute_force(spark):
     assert neighbour_means(np.array([[np.nan]]), np.array([[2.0]]), np.array([7.0]), 5)[0, 0] == 7.0
 
 
-def test_knn_counts_repeated_rows_and_uses_every_donor(spark):
-    """Half the rows are equal; queries come in several blocks; the nearest five are rows, not distinct rows."""
+def test_knn_counts_repeated_rows_and_uses_every_donor(spark, monkeypatch):
+    """Half the rows are equal; blocks and groups are small; the nearest five are rows, not distinct rows."""
+    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    monkeypatch.setattr(neighbours, "GROUP", 3)
     rows = [(1.0, 10.0)] * 40 + [(float(k), float(100 * k)) for k in range(2, 30)] + [(1.1, None)] * 30 + [(k + 0.4, None) for k in range(2, 29)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, a double, b double").repartition(4)
-    got = {r.id: r.b for r in impute_knn(df, ["a", "b"], queries=5).collect()}
+    got = {r.id: r.b for r in impute_knn(df, ["a", "b"]).collect()}
     for i, (a, b) in enumerate(rows):
         near = sorted((2 * (a - x) ** 2, x, y) for x, y in rows if y is not None)[:5]
         assert got[i] == pytest.approx(b if b is not None else np.mean([y for _, _, y in near])), i
 
 
+@pytest.mark.parametrize("table, columns, key", [("part", ["p_retailprice", "p_size"], "p_partkey"), ("lineitem", ["l_quantity", "l_extendedprice", "l_discount"], "l_orderkey")])
+def test_knn_visits_few_of_all_pairs(spark, table, columns, key):
+    """The same answers as over all pairs, with less than a tenth of their distances."""
+    df = spark.read.parquet(f"/root/testdata/sf0.01/{table}.parquet").select(key, *[F.col(c).cast("double").alias(c) for c in columns])
+    lost = F.pmod(F.xxhash64(*columns), F.lit(40))
+    df = df.withColumns({c: F.when(lost != i, F.col(c)) for i, c in enumerate(columns[-2:])})
+    report = {}
+    got = impute_knn(df, columns, report=report)
+    print("visited", table, report)
+    assert 0 < report["compared"] < report["pairs"] / 10
+    rows = df.select(columns).toPandas().to_numpy(float)
+    donors = rows[np.lexsort(rows.T[::-1])]
+    wanted = rows[np.isnan(rows).any(axis=1)][:200]
+    full = neighbour_means(wanted, donors, np.nanmean(rows, axis=0), 5)
+    filled = got.select(columns).toPandas().to_numpy(float)
+    known = {tuple(r) for r in np.round(filled, 6)}
+    assert all(tuple(r) in known for r in np.round(full, 6))
+
+
+def test_cell_bounds_never_exceed_distances():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        y, x = rng.integers(-3, 4, (30, 4)).astype(float), rng.integers(-3, 4, 4).astype(float)
+        y[rng.random(y.shape) < 0.3] = np.nan
+        x[rng.random(4) < 0.3] = np.nan
+        with np.errstate(all="ignore"):
+            box = neighbours.Cells([0], np.nanmin(y, axis=0)[None], np.nanmax(y, axis=0)[None], (~np.isnan(y)).sum(axis=0)[None].astype(float), np.array([30.0]), [(0, 1, 2, 3)])
+        assert box.bounds(x)[0] <= neighbours.distances(x[None], y).min()
+
+
 def test_mice_recovers_a_linear_relation(spark):
     rng = np.random.default_rng(1)
     rows = [(i, float(a), None if i % 4 == 0 else float(3 * a - 2 * b + 1), None if i % 5 == 0 else float(b)) for i, (a, b) in enumerate(rng.normal(size=(200, 2)))]
