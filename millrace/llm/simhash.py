@@ -20,7 +20,7 @@ Survivors are verified by the exact similarity of their shingle sets. Only links
 for, so a group of near copies, however large, costs each member a link to one of them and no pairs.
 
 Defined cases: null text is an empty text; no words give fingerprint zero, which links like any other; a row with a null
-id gets its fingerprint, a null component, and links nothing; repeated rows give repeated rows; very long texts are read whole;
+id links like any other (its component is null only where no id is reachable); repeated rows give repeated rows; very long texts are read whole;
 ties go to the least id; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
@@ -276,7 +276,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, split_at: int = SPLIT_AT) -> DataFrame:
     """``id_col``, ``fp`` and ``component_id`` (the least id reachable over links of ``radius`` bits) of every row of ``df``."""
     rows = materialise(fingerprints(df, id_col, text_col), "simhash-fingerprints")
-    least = materialise(rows.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
+    least = materialise(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
     roots = components(links(least.select("fp"), radius, split_at=split_at))
     linked = roots.count()
     tied = roots.join(least.withColumnRenamed("fp", "node"), "node")
@@ -284,9 +284,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of_node = roots.join(top, "root").select(F.col("node").alias("fp"), "top")
     named = least.join(of_node, "fp", "left").select("fp", F.coalesce("top", "least").alias("component_id"))
     named = materialise(named, "simhash-named")
-    known = rows.where(F.col(id_col).isNotNull()).join(named, "fp", "left")
-    unknown = rows.where(F.col(id_col).isNull()).withColumn("component_id", F.lit(None).cast(rows.schema[id_col].dataType))
-    return known.select(id_col, "fp", "component_id").unionByName(unknown.select(id_col, "fp", "component_id"))
+    return rows.join(named, "fp", "left").select(id_col, "fp", "component_id")
 
 
 _MIX = (np.random.default_rng(23).integers(1, 2**62, 2 * WIDE + BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)

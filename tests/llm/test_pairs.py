@@ -63,18 +63,29 @@ def test_fingerprints_and_components(spark):
     rows += ["", None, " \t ", "one", "ONE", "two words", "a b c", "x" * 300_000, "word " * 70_000]
     frame = docs(spark, list(enumerate(rows))).union(docs(spark, [(3, rows[3]), (None, "one"), (None, None)]))
     got = simhash.near_duplicates(frame).collect()
+    fp_of = {rows[r.doc_id]: r.fp for r in got if r.doc_id is not None}
     assert len(got) == len(rows) + 3
     prints = [slow_fingerprint(t) for t in rows]
+    want = classes(prints)
     for row in got:
-        if row.doc_id is None:
-            assert row.component_id is None
+        if row.doc_id is None:  # links like any other: to the component of equal texts here
+            assert row.component_id == want[rows.index("one" if row.fp == fp_of["one"] else None)]
         else:
             assert row.fp & (1 << 64) - 1 == prints[row.doc_id]
-    want = classes(prints)
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == dict(enumerate(want))
     assert len(set(want)) < len(rows) - 20
 
 
+def test_rows_without_ids_carry_links(spark, monkeypatch):
+    """Two documents are joined through one that has no id; rows without ids alone have no component."""
+    texts = {"a": 0x000000, "b": 0x000007, "c": 0x00003F, "d": 1 << 40}
+    monkeypatch.setattr(simhash, "fingerprints", lambda df, i, t: df.select(i, F.element_at(F.create_map(*[F.lit(x) for p in texts.items() for x in p]), F.col(t)).cast("long").alias("fp")))
+    frame = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (None, "d")], "doc_id long, text string")
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(frame).collect()}
+    assert got == {(1, 0): 1, (None, 7): 1, (2, 63): 1, (None, 1 << 40): None}
+
+
+
 @pytest.mark.parametrize("split_at", [2000, 4])
 def test_dense_buckets_lose_no_link(spark, split_at):
     rng = np.random.default_rng(3)
