@@ -78,11 +78,11 @@ def test_fingerprints_and_components(spark):
 
 def test_rows_without_ids_carry_links(spark, monkeypatch):
     """Two documents are joined through one that has no id; rows without ids alone have no component."""
-    texts = {"a": 0x000000, "b": 0x000007, "c": 0x00003F, "d": 1 << 40}
+    texts = {"a": 0x000000, "b": 0x000007, "c": 0x00003F, "d": 0xFFFF << 40}
     monkeypatch.setattr(simhash, "fingerprints", lambda df, i, t: df.select(i, F.element_at(F.create_map(*[F.lit(x) for p in texts.items() for x in p]), F.col(t)).cast("long").alias("fp")))
     frame = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (None, "d")], "doc_id long, text string")
     got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(frame).collect()}
-    assert got == {(1, 0): 1, (None, 7): 1, (2, 63): 1, (None, 1 << 40): None}
+    assert got == {(1, 0): 1, (None, 7): 1, (2, 63): 1, (None, 0xFFFF << 40): None}
 
 
 
