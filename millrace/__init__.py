@@ -19,12 +19,13 @@ _NAMES = {
     "operators.eda": """generate_dashboard histogram kpis quality_issues value_counts""".split(),
     "operators.iforest": """remove_outliers_isolation_forest""".split(),
     "operators.jsoncols": """fix_json_columns""".split(),
+    "operators.language": """detect_language filter_by_language learn_profiles""".split(),
     "operators.missing": """add_missing_indicators handle_missing_values impute_missing replace_disguised_missing""".split(),
     "operators.outliers": """check_multicollinearity check_outliers check_skewness collinear_to_drop correlation_matrix fix_skewness remove_outliers remove_outliers_by_group remove_outliers_mad remove_outliers_zscore winsorize""".split(),
     "operators.pii": """detect_and_mask_pii""".split(),
     "operators.scaling": """bin_numeric scale_numeric""".split(),
     "operators.strings": """fix_mojibake handle_negative_values normalize_unicode normalize_whitespace replace_symbols replace_symbols_and_convert_to_float standardize_casing standardize_categories""".split(),
-    "operators.textprep": """correct_spelling_text detect_column_types_and_process_text detect_json_sample detect_language filter_by_language redact_profanity""".split(),
+    "operators.textprep": """correct_spelling_text detect_column_types_and_process_text detect_json_sample redact_profanity""".split(),
     "operators.validation": """apply_range_rules check_cross_field check_referential_integrity validate_formats""".split(),
     "plans.pipeline": """CleanConfig Pipeline clean_data""".split(),
     "sources.files": """load_data save_cleaned_data save_dashboard""".split(),

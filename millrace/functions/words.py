@@ -61,11 +61,3 @@ COUNTRIES = {
     "uk": "United Kingdom", "u.k.": "United Kingdom", "england": "United Kingdom", "uae": "United Arab Emirates",
     "india": "India", "in": "India", "bharat": "India",
 }
-
-# Frequent short words of languages, for language guesses.
-COMMON_WORDS = {
-    "en": "the of and to in is that for it with as was on are by this be at from or have not but they which".split(),
-    "de": "der die und das den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er".split(),
-    "fr": "le la les de des et en un une du dans que qui est pour pas sur au par ce il avec plus son ne".split(),
-    "es": "de la que el en y a los del se las por un para con no una su al lo como más pero sus le".split(),
-}

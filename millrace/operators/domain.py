@@ -1,4 +1,8 @@
-"""Phones, e-mails, URLs, countries and currencies."""
+"""Phones, e-mails, URLs, countries and currencies.
+
+Defined cases: nulls, empty texts and what cannot be read as a number give null; rows are judged one by one, so repeated rows and empty
+tables need nothing; columns may have any names.
+"""
 
 from __future__ import annotations
 
@@ -7,31 +11,46 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import numbering
 from millrace.functions.selectors import col, replaced
 from millrace.functions.text import literal_map, number, trim
 from millrace.functions.words import COUNTRIES, FORMATS
 
-# Calling code, digits of a national number, and the pattern of a valid one, by region.
-REGIONS = {
-    "US": ("1", r"[2-9]\d{2}[2-9]\d{6}"),
-    "CA": ("1", r"[2-9]\d{2}[2-9]\d{6}"),
-    "GB": ("44", r"[1-9]\d{8,9}"),
-    "DE": ("49", r"[1-9]\d{5,12}"),
-    "FR": ("33", r"[1-9]\d{8}"),
-    "ES": ("34", r"[5-9]\d{8}"),
-    "IN": ("91", r"[6-9]\d{9}"),
-}
+def _national(number: Column) -> Column:
+    """Whether a number (digits, calling code first) is a whole one: its code is looked up by longest prefix in a flat table, which tells
+    the lengths (a bit each) that a national number may have."""
+    table = F.create_map(*[F.lit(v) for code, lengths in numbering.codes().items() for v in (code, sum(1 << n for n in lengths))])
+    fits = F.lit(False)
+    for n in (1, 2, 3):
+        lengths = F.try_element_at(table, F.substring(number, 1, n))
+        bit = F.pmod(F.floor(lengths / F.pow(F.lit(2), F.greatest(F.length(number) - n, F.lit(0)))), F.lit(2)) == 1
+        fits = fits | F.coalesce(bit, F.lit(False))
+    for code, pattern in numbering.PATTERNS.items():
+        fits = fits & (~number.startswith(code) | number.rlike(f"^{code}{pattern}$"))
+    zero = "|".join(sorted(numbering.ZERO_FIRST))
+    begins = "|".join(sorted(numbering.codes(), key=lambda c: (-len(c), c)))
+    return fits & (~number.rlike(f"^(?:{begins})0") | number.rlike(f"^(?:{zero})0"))
 
 
 def phone_e164(x: Column, region: str = "US") -> Column:
-    """``+`` and digits, or null for what is no number of the region (or, with ``+``, of any known region)."""
-    code, national = REGIONS[region]
-    raw = trim(x)
-    digits = F.regexp_replace(raw, r"[\s().\-/]", "")
-    bare = F.regexp_replace(digits, r"^0(?!0)", "") if code != "1" else F.regexp_replace(digits, r"^1(?=\d{10}$)", "")
-    abroad = F.regexp_replace(digits, r"^00", "+")
-    known = "|".join(sorted({f"{c}{n}" for c, n in REGIONS.values()}))
-    return F.when(abroad.rlike(rf"^\+({known})$"), abroad).when(bare.rlike(rf"^{national}$"), F.concat(F.lit(f"+{code}"), bare))
+    """``+`` and digits, or null for what is no number of the region or, written with ``+`` or the region's international prefix, of any.
+
+    Extensions are dropped. A number without a trunk prefix is tried as it is, then without its trunk prefix, then as one that begins
+    with the region's calling code.
+    """
+    if region not in numbering.regions():
+        raise ValueError(f"unknown region {region!r}")
+    code = numbering.regions()[region]
+    bare = F.regexp_replace(trim(x), r"(?i)[\s,;]*(?:ext\.?|extension|x|#)\s*\d{1,7}$", "")
+    digits = F.regexp_replace(bare, r"^\+\s*\(?|[\s().\-/\u00B7\u2010-\u2015]", "")
+    digits = F.when(digits.rlike(r"^\d{4,20}$"), digits)
+    abroad = f"^(?:{numbering.INTERNATIONAL.get(region, '00')}|00)"
+    dialled = F.when(bare.startswith("+"), digits).when(digits.rlike(abroad), F.regexp_replace(digits, abroad, ""))
+    trunk = "1" if code == "1" else numbering.TRUNK.get(region, "0")
+    local = F.when(~bare.startswith("+"), digits)
+    tries = [F.concat(F.lit(code), local), *([F.concat(F.lit(code), F.when(local.startswith(trunk), F.substring(local, len(trunk) + 1, 20)))] if trunk else []), F.when(local.startswith(code), local)]
+    found = F.coalesce(*[F.when(_national(t), t) for t in (dialled, *tries)])
+    return F.concat(F.lit("+"), found)
 
 
 def normalize_phone_numbers(df: DataFrame, columns: Iterable[str], region: str = "US") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Kinds of string columns, text preprocessing, languages, spelling and profanity."""
+"""Kinds of string columns, text preprocessing, spelling and profanity."""
 
 from __future__ import annotations
 
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from millrace.functions import text
 from millrace.functions.selectors import col, replaced, strings
 from millrace.functions.stats import distinct_counts, first_row
-from millrace.functions.words import COMMON_WORDS
 
 SAMPLE = 30
 
@@ -69,30 +68,6 @@ def preprocess_text_columns(df: DataFrame, columns: Iterable[str], **options) ->
     return replaced(df, {c: text.preprocess_text(col(c).cast("string"), **options) for c in columns if c in df.columns})
 
 
-def detect_language(df: DataFrame, column: str, out_col: str | None = None, words: dict[str, list[str]] | None = None) -> DataFrame:
-    """The language whose common words make up most of the text; null for blank texts and where none occurs.
-
-    Native: tokens are counted against each list in one expression. Ties go to the first language.
-    """
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(col(column).cast("string"), F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
-    lists = words or COMMON_WORDS
-
-    def count(listed: list[str]):
-        return F.size(F.filter(F.col("__tokens"), lambda w: w.isin(*listed)))
-
-    hits = {k: count(lists[k]) for k in lists}
-    best = F.greatest(*hits.values()) if len(hits) > 1 else next(iter(hits.values()))
-    guess = None
-    for k, n in hits.items():
-        guess = F.when(n == best, k) if guess is None else guess.when(n == best, k)
-    name = out_col or f"{column}_lang"
-    return df.withColumn("__tokens", tokens).withColumn(name, F.when(best > 0, guess)).drop("__tokens")
-
-
-def filter_by_language(df: DataFrame, column: str, keep: str = "en") -> DataFrame:
-    return detect_language(df, column, "__lang").where(F.col("__lang") == keep).drop("__lang")
-
-
 def correct_spelling_text(df: DataFrame, columns: Iterable[str], vocabulary: dict[str, int]) -> DataFrame:
     """Words that ``vocabulary`` (word to frequency) lacks become its most frequent word within one edit, if there is one."""
     letters = sorted({x for w in vocabulary for x in w})

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import millrace as mr
-from millrace.functions import text
+from millrace.functions import numbering, text
 from millrace.functions.selectors import col
 from millrace.functions.stats import correlations, iqr_fences, skewnesses
-from millrace.functions.words import COMMON_WORDS, CONTRACTIONS, FORMATS, STOPWORDS
+from millrace.functions.words import CONTRACTIONS, FORMATS, STOPWORDS
 from millrace.operators import eda, pii
 from millrace.plans.pipeline import CleanConfig, Pipeline
 
@@ -628,11 +628,25 @@ def _(spark, sf):
     return rounded(mr.convert_currency(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"], {"o_totalprice": 0.92}), ["o_totalprice"])
 
 
-@query("phones", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '+1415555' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') END AS phone FROM customer")
+_CODES = sorted(numbering.codes().items())
+#: Numbers of all calling codes, right and wrong in length, as they are written in Germany: abroad with + or 00, at home with or without 0.
+_PHONES = (
+    f"n AS (SELECT c_custkey, c_custkey % 4 AS kind, '2' || lpad(CAST(c_custkey AS VARCHAR), CAST(3 + c_custkey % 10 AS INT), '3') AS national, 1 + c_custkey % {len(_CODES)} AS i FROM customer)"
+)
+
+
+@query(
+    "phones",
+    f"WITH c(i, code, lengths, pattern) AS (VALUES {', '.join(f"({i}, '{c}', {list(n)}, '{numbering.PATTERNS.get(c, '.*')}')" for i, (c, n) in enumerate(_CODES, 1))}), {_PHONES}, "
+    "w AS (SELECT c_custkey, kind, national, CASE WHEN kind < 2 THEN i ELSE (SELECT i FROM c WHERE code = '49') END AS i FROM n) "
+    "SELECT c_custkey, CASE WHEN list_contains(lengths, length(national)) AND regexp_full_match(national, pattern) THEN '+' || code || national END AS phone FROM w JOIN c USING (i)",
+)
 def _(spark, sf):
-    tail = F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")
-    raw = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("(415) 555-"), tail)).otherwise(F.concat(F.lit("123-"), tail))
-    return mr.normalize_phone_numbers(table(spark, sf, "customer").select("c_custkey", raw.alias("phone")), ["phone"])
+    code = F.element_at(F.array(*[F.lit(c) for c, _ in _CODES]), (F.col("c_custkey") % len(_CODES)).cast("int") + 1)
+    national = F.concat(F.lit("2"), F.lpad(F.col("c_custkey").cast("string"), (F.col("c_custkey") % 10).cast("int") + 3, "3"))
+    kind = F.col("c_custkey") % 4
+    raw = F.when(kind == 0, F.concat(F.lit("+"), code, F.lit(" ("), national, F.lit(")"))).when(kind == 1, F.concat(F.lit("00 "), code, F.lit("-"), national)).when(kind == 2, F.concat(F.lit("0"), national, F.lit(" ext. 12"))).otherwise(national)
+    return mr.normalize_phone_numbers(table(spark, sf, "customer").select("c_custkey", raw.alias("phone")), ["phone"], "DE")
 
 
 @query("emails", "SELECT c_custkey, lower(c_name) || '@example.com' AS mail, NOT contains(c_name, ' ') AS mail_valid FROM customer")
@@ -667,22 +681,36 @@ def _(spark, sf):
 # languages, PII, profile --------------------------------------------------------------------------------------------
 
 
-_HITS = ", ".join(f"len(list_filter(t, lambda w: list_contains({words!r}, w))) AS {k}" for k, words in COMMON_WORDS.items())
-_BEST = f"greatest({', '.join(COMMON_WORDS)})"
-_GUESSED = (
-    f"t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+') AS t FROM documents), h AS (SELECT doc_id, {_HITS} FROM t), "
-    f"g AS (SELECT doc_id, CASE WHEN {_BEST} > 0 THEN CASE {' '.join(f"WHEN {k} = {_BEST} THEN '{k}'" for k in COMMON_WORDS)} END END AS guess FROM h)"
-)
+_NEAREST = r"""
+WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{L}+')) AS word FROM documents),
+m AS (SELECT DISTINCT word, '_' || word || '_' AS m FROM w),
+g AS (SELECT word, substr(m, i, n) AS gram FROM (SELECT word, m, n, unnest(range(1, length(m) - n + 2)) AS i FROM m, range(1, 6) t(n))),
+p AS (
+    SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) - 1 AS r
+    FROM (SELECT lang, gram, sum(n) AS n FROM (SELECT lang, word, count(*) AS n FROM w WHERE lang IS NOT NULL GROUP BY 1, 2) JOIN g USING (word) GROUP BY 1, 2)
+    QUALIFY r < 300),
+d AS (
+    SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) - 1 AS r
+    FROM (SELECT doc_id, gram, sum(n) AS n FROM (SELECT doc_id, word, count(*) AS n FROM w GROUP BY 1, 2) JOIN g USING (word) GROUP BY 1, 2)
+    QUALIFY r < 300),
+far AS (
+    SELECT doc_id, lang, sum(coalesce(abs(d.r - p.r), 300))::BIGINT AS distance
+    FROM d CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN p USING (lang, gram) GROUP BY 1, 2),
+best AS (SELECT doc_id, min(distance) AS distance, min_by(lang, (distance, lang)) AS guess FROM far GROUP BY 1)
+"""
 
 
-@query("detect_language", f"WITH {_GUESSED} SELECT doc_id, guess FROM g")
+@query("detect_language", f"{_NEAREST} SELECT doc_id, guess, distance FROM documents LEFT JOIN best USING (doc_id)")
 def _(spark, sf):
-    return mr.detect_language(table(spark, sf, "documents").select("doc_id", "text", "lang"), "text", "guess").select("doc_id", "guess")
+    docs = table(spark, sf, "documents")
+    found = mr.detect_language(docs, "text", "guess", mr.learn_profiles(docs, "text", "lang"), "distance")
+    return found.select("doc_id", "guess", "distance")
 
 
-@query("filter_by_language", f"WITH {_GUESSED} SELECT doc_id, text FROM g JOIN documents USING (doc_id) WHERE guess = 'de'")
+@query("filter_by_language", f"{_NEAREST} SELECT doc_id, text FROM best JOIN documents USING (doc_id) WHERE guess = 'de'")
 def _(spark, sf):
-    return mr.filter_by_language(table(spark, sf, "documents").select("doc_id", "text"), "text", "de")
+    docs = table(spark, sf, "documents")
+    return mr.filter_by_language(docs.select("doc_id", "text"), "text", "de", mr.learn_profiles(docs, "text", "lang"))
 
 
 @query("redact_profanity", r"SELECT page_id, regexp_replace(html, '(?i)\b(?:article|div|data)\b', '####', 'g') AS html FROM pages")

@@ -1,5 +1,7 @@
 import datetime
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -7,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import millrace as mr
+from millrace.functions import numbering
 from millrace.functions.ratio import lcs_length, ratio, token_sort_ratio
-from millrace.operators import neighbours
+from millrace.operators import language, neighbours
 from millrace.operators.impute import impute_knn, neighbour_means
 
 
@@ -288,6 +291,52 @@ def test_domains(spark):
     assert [tuple(r) for r in mails.collect()] == [("a@b.co", True), ("no", False), (None, None)]
 
 
+def test_phones_of_many_regions(spark):
+    cases = [
+        ("US", "(415) 555-2671", "+14155552671"), ("US", "1-415-555-2671 x9", "+14155552671"), ("US", "011 44 20 7946 0958", "+442079460958"), ("US", "115 555 2671", None), ("GB", "020 7946 0958", "+442079460958"),
+        ("GB", "+44 (0) 20", None), ("DE", "030 901820", "+4930901820"), ("DE", "0049 30 901820", "+4930901820"), ("DE", "4930901820", "+494930901820"), ("FR", "01 42 68 53 00", "+33142685300"), ("JP", "03-3224-5000", "+81332245000"),
+        ("AU", "(02) 9374 4000", "+61293744000"), ("IT", "06 698 12345", "+390669812345"), ("RU", "8 (495) 606-36-02", "+74956063602"), ("HU", "06 1 441 4000", "+3614414000"), ("CH", "044 668 18 00", "+41446681800"),
+        ("BR", "(11) 2395-8400", "+551123958400"), ("IN", "080-6721 8000", "+918067218000"), ("SG", "6521 8000", "+6565218000"), ("AE", "04 450 9500", "+97144509500"), ("ES", "915 55 12 34", "+34915551234"),
+        ("IS", "+354 545 9960", "+3545459960"), ("US", "+999 12345678", None), ("US", "", None), ("US", None, None), ("US", "call me", None), ("NZ", "+64 9 887 6986", "+6498876986"), ("US", "+81 3 3224 5000", "+81332245000"),
+    ]
+    for region in {r for r, _, _ in cases}:
+        own = [(p, e) for r, p, e in cases if r == region]
+        got = mr.normalize_phone_numbers(spark.createDataFrame(own, "p string, e string"), ["p"], region).collect()
+        assert [(r.p, r.e) for r in got] == [(e, e) for _, e in own], region
+    assert len(numbering.regions()) > 200 and not any(a != b and b.startswith(a) for a in numbering.codes() for b in numbering.codes())
+    with pytest.raises(ValueError, match="region"):
+        mr.normalize_phone_numbers(spark.createDataFrame([("1",)], "p string"), ["p"], "XX")
+
+
+def test_language_profiles(spark):
+    """Profiles learnt from two thirds of the documents tell the others' languages; learning equals a plain count."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learn, held = docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 = 0 AND lang IS NOT NULL")
+    profiles = mr.learn_profiles(learn, "text", "lang")
+    found = mr.detect_language(held, "text", "guess", profiles, "far").select("lang", "guess", "far", "text").collect()
+    assert np.mean([r.lang == r.guess for r in found]) > 0.95
+    words = Counter(w for r in learn.where("lang = 'de'").collect() for w in re.findall(r"[^\W\d_]+", (r.text or "").lower()))
+    plain = language.ranking(words)
+    assert {r.gram: r["rank"] for r in profiles.where("lang = 'de'").collect()} == plain
+    one = next(r for r in found if r.guess == "de")
+    assert one.far == language.out_of_place(language.ranking(Counter(re.findall(r"[^\W\d_]+", one.text.lower()))), plain)
+    assert mr.detect_language(docs.limit(0), "text").count() == 0
+    assert [r.t_lang for r in mr.detect_language(spark.createDataFrame([("some text",)], "t string"), "t", profiles={}).collect()] == [None]
+
+
+def test_shipped_languages(spark):
+    sentences = {
+        "en": "Where did you put my keys?", "de": "Morgen wird das Wetter schön und wir gehen an den Strand.", "fr": "Demain il fera beau et nous irons à la plage.", "es": "Mañana hará buen tiempo y vamos a la playa.",
+        "it": "Domani farà bel tempo e andremo in spiaggia.", "pt": "Amanhã o tempo vai estar bom e vamos à praia.", "nl": "Morgen wordt het mooi weer en gaan we naar het strand.", "fi": "Huomenna on kaunis sää ja menemme rannalle.",
+        "pl": "Jutro będzie ładna pogoda i pójdziemy na plażę.", "cs": "Zítra bude hezké počasí a půjdeme na pláž.", "hu": "Holnap szép idő lesz, és megyünk a strandra.", "ro": "Mâine va fi vreme frumoasă și vom merge la plajă.",
+        "tr": "Yarın hava güzel olacak ve plaja gideceğiz.", "id": "Besok cuaca akan bagus dan kita akan pergi ke pantai.", "vi": "Ngày mai thời tiết đẹp và chúng ta sẽ đi biển.", "uk": "Завтра буде гарна погода, і ми підемо на пляж.",
+        "el": "Αύριο ο καιρός θα είναι καλός και θα πάμε στην παραλία.", "ja": "明日は天気がいいので、海に行きます。", "zh": "明天天气很好，我们去海边。", "ko": "내일은 날씨가 좋아서 바다에 갈 거예요.",
+        "ar": "غدا سيكون الطقس جميلا وسنذهب إلى الشاطئ.", "he": "מחר יהיה מזג אוויר יפה ונלך לים.", "th": "พรุ่งนี้อากาศดีและเราจะไปทะเล",
+    }
+    df = spark.createDataFrame(list(sentences.items()), "lang string, t string")
+    assert all(r.lang == r.t_lang for r in mr.detect_language(df, "t").collect()) and len(language.DECLARATION) >= 30
+
+
 def test_balance(spark):
     df = spark.createDataFrame([(i, "a" if i < 70 else "b" if i < 90 else "c" if i < 97 else None) for i in range(100)], "id int, y string")
     count = lambda d: {r.y: r["count"] for r in d.groupBy("y").count().collect()}
