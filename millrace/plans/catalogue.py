@@ -745,7 +745,39 @@ def _(spark, sf):
     return mr.detect_and_mask_pii(df, columns=["text"], masker=lambda x: pii.mask_text(x, ("EMAIL_ADDRESS", "IP_ADDRESS"))).drop("text")
 
 
-@query("pii_mask_all")
+_DIGITS = "list_transform(string_split(regexp_replace(m, '[^0-9]', '', 'g'), ''), lambda c: TRY_CAST(c AS INT))"
+#: The checks of the kinds that have one, on a match ``m``.
+_CHECKS = {
+    "CREDIT_CARD": f"list_sum(list_transform(list_reverse({_DIGITS}), lambda d, i: CASE WHEN i % 2 = 1 THEN d WHEN d > 4 THEN 2 * d - 9 ELSE 2 * d END)) % 10 = 0",
+    "IBAN_CODE": "list_reduce(list_concat([0], list_transform(string_split(substr(m, 5) || substr(m, 1, 4), ''), lambda c: CASE WHEN c <= '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), "
+    "lambda a, v: CASE WHEN v < 10 THEN (a * 10 + v) % 97 ELSE (a * 100 + v) % 97 END) = 1",
+    "US_SSN": "substr(m, 1, 3) NOT IN ('000', '666') AND m[1] <> '9' AND substr(m, 5, 2) <> '00' AND substr(m, 8) <> '0000'",
+    "UK_NHS": f"(11 - list_sum(list_transform({_DIGITS}[:9], lambda d, i: d * (11 - i))) % 11) % 11 = {_DIGITS}[10]",
+    "PHONE_NUMBER": "NOT regexp_matches(substr(text, s, 1), '[A-Za-z0-9_.]') OR s = 0",
+}
+
+
+def _found(kind: str) -> str:
+    """SQL for the spans of a kind in ``documents``: matches are marked, and their places follow from the lengths between the marks."""
+    r = pii.RECOGNISERS[kind]
+    ahead = f"regexp_matches(lower(substr(text, greatest(s - {pii.BEFORE}, 0) + 1, least(s, {pii.BEFORE}))), '{'|'.join(r.context)}')"
+    return (
+        f"(SELECT doc_id, s, s + length(m) AS e, '{kind}' AS k, least(1.0, {r.score} + CASE WHEN {ahead} THEN {pii.RAISE} ELSE 0 END)::DOUBLE AS score FROM ("
+        f"SELECT doc_id, text, split_part(p[i], chr(2), 1) AS m, CAST(list_sum(list_transform(p[:i - 1], lambda x: length(x))) - (i - 2) AS BIGINT) AS s FROM ("
+        f"SELECT doc_id, text, p, unnest(range(2, len(p) + 1)) AS i FROM (SELECT doc_id, text, string_split(regexp_replace(text, '({r.pattern})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p FROM documents))) "
+        f"WHERE {_CHECKS.get(kind, 'true')})"
+    )
+
+
+@query(
+    "pii_mask_all",
+    f"WITH f AS ({' UNION ALL '.join(map(_found, pii.KINDS))}), "
+    "r AS (SELECT doc_id, list([{'s': s, 'e': e, 'k': k}] ORDER BY score DESC, e - s DESC, s, k) AS spans FROM f GROUP BY doc_id), "
+    "kept AS (SELECT doc_id, list_reduce(spans, lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.s < x[1].e AND x[1].s < y.e)) > 0 THEN a ELSE list_concat(a, x) END) AS spans FROM r), "
+    "cut AS (SELECT doc_id, list_reduce(list_concat([{'s': 0::BIGINT, 'e': 0::BIGINT, 'k': text}], list_reverse_sort(list_transform(spans, lambda x: {'s': x.s::BIGINT, 'e': x.e::BIGINT, 'k': x.k}))), "
+    "lambda t, x: {'s': 0::BIGINT, 'e': 0::BIGINT, 'k': substr(t.k, 1, x.s) || '<' || x.k || '>' || substr(t.k, x.e + 1)}).k AS masked FROM kept JOIN documents USING (doc_id)) "
+    "SELECT doc_id, coalesce(masked, text, '') AS text_masked FROM documents LEFT JOIN cut USING (doc_id)",
+)
 def _(spark, sf):
     return mr.detect_and_mask_pii(table(spark, sf, "documents").select("doc_id", "text"), columns=["text"]).drop("text")
 

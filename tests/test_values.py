@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import millrace as mr
-from millrace.functions import numbering
+from millrace.functions import automaton, numbering
 from millrace.functions.ratio import lcs_length, ratio, token_sort_ratio
-from millrace.operators import language, neighbours
+from millrace.operators import language, neighbours, pii
 from millrace.operators.impute import impute_knn, neighbour_means
 
 
@@ -358,6 +358,31 @@ def test_pii(spark):
     assert mr.detect_and_mask_pii(df.where("t = 'clean'")).columns == ["t"]
 
 
+def test_pii_spans_overlap(spark):
+    """Spans of several kinds meet: the best stays, context decides between equals, and what does not touch it stays too."""
+    find = lambda t, **k: [(t[a:b], kind) for a, b, kind, _ in pii.Finder(**k).spans(t)]
+    assert find("NHS 943-476-5919") == [("943-476-5919", "UK_NHS")] and find("NHS 943-476-5918") == [("943-476-5918", "PHONE_NUMBER")]
+    assert find("my phone is 943-476-5919") == [("943-476-5919", "PHONE_NUMBER")] and find("943-476-5919") == [("943-476-5919", "UK_NHS")]
+    assert find("https://x.org/?mail=me@x.org ok") == [("me@x.org", "EMAIL_ADDRESS")]
+    assert find("IBAN GB82WEST12345698765432 and GB82WEST12345698765431") == [("GB82WEST12345698765432", "IBAN_CODE")]
+    assert find("ssn 123-45-6789, 000-12-3456, mac 00:1B:44:11:3A:B7") == [("123-45-6789", "US_SSN"), ("00:1B:44:11:3A:B7", "MAC_ADDRESS")]
+    names = {"PERSON": ["Ann Lee", "Lee", "Ann"], "LOCATION": ["Lee on Sea", "São Paulo"]}
+    assert find("ANN LEE on Sea, Lee, são paulo; annly", kinds=(), names=names) == [("ANN", "PERSON"), ("LEE on Sea", "LOCATION"), ("Lee", "PERSON"), ("são paulo", "LOCATION")]
+    df = spark.createDataFrame([("Ann Lee, ann@lee.org",), ("",), (None,)], "t string")
+    assert column(mr.detect_and_mask_pii(df, columns=["t"], names=names), "t_masked") == ["<PERSON>, <EMAIL_ADDRESS>", "", ""]
+    spans = df.select(pii.pii_spans(F.col("t")).alias("s")).collect()
+    assert [[(x.start, x.end, x.kind) for x in r.s] for r in spans] == [[(9, 20, "EMAIL_ADDRESS")], [], []]
+
+
+def test_automaton_finds_all_phrases():
+    rnd = random.Random(9)
+    for _ in range(300):
+        phrases = [tuple(rnd.choices("abc", k=rnd.randint(1, 4))) for _ in range(rnd.randint(1, 6))]
+        words = rnd.choices("abcd", k=rnd.randint(0, 20))
+        want = {(i, i + len(p)) for p in phrases for i in range(len(words)) if tuple(words[i : i + len(p)]) == p}
+        assert set(automaton.Automaton(phrases).find(words)) == want
+
+
 def test_json_and_types(spark):
     df = spark.createDataFrame([(1, '{"a": 1, "b": "x"}', "c"), (2, '{"a": 2.5}', "c"), (3, "{bad}", "c"), (4, None, "c")], "id int, j string, k string")
     out = mr.fix_json_columns(df)
