@@ -167,6 +167,9 @@ class Codec:
             pairs = [line.split() for line in lines if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.widths = np.zeros(max(self.tokens, default=0) + 1, np.int64)
+        for rank, token in self.tokens.items():
+            self.widths[rank] = len(token)
         self.cache: dict[bytes, tuple[int, ...]] = {}
         self.older: dict[bytes, tuple[int, ...]] = {}
 
@@ -221,16 +224,9 @@ class Codec:
                             cache[s] = ids
                     found[k] = ids
         ids = np.array([i for some in found for i in some], np.uint32)
-        ends = np.cumsum(self.widths()[ids])
+        ends = np.cumsum(self.widths[ids])
         return ids, np.concatenate([[0], ends[:-1]]).astype(np.uint32)
 
-    @lru_cache(maxsize=1)  # noqa: B019  one codec lives as long as its worker
-    def widths(self) -> np.ndarray:
-        out = np.zeros(max(self.tokens) + 1, np.int64)
-        for rank, token in self.tokens.items():
-            out[rank] = len(token)
-        return out
-
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +35,20 @@ def resident(key: object, make: Callable[[], T]) -> T:
     """
     if key not in _resident:
         _resident.clear()
-        gc.collect()
+        release()
         _resident[key] = make()
     return _resident[key]  # type: ignore[return-value]
 
 
+def release() -> None:
+    """Give memory that nothing uses any more back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of most Linux systems has it
+    if trim:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``. Only a session on one machine may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -20,7 +20,6 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -52,7 +51,6 @@ def default_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-@lru_cache(maxsize=1)
 def _processor(path: str):
     import sentencepiece
 
@@ -73,7 +71,7 @@ def count_pieces(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _processor(path)
+        own = resident(("pieces", path), lambda: _processor(path))
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             by_lang: dict[str, Counter] = {}
