@@ -247,9 +247,11 @@ def _learnt(own: DataFrame, p: np.ndarray, mean: np.ndarray, scale: np.ndarray,
         p, mean, scale, layers = shared.value
         for batch in batches:
             for shard, n, x in zip(*batch.columns):
-                x = np.frombuffer(x.as_py(), "<f4").reshape(-1, _NAMES).astype(float)
+                x = np.frombuffer(x.as_py(), "<f4").reshape(-1, _NAMES)
                 learner = Learner([w.copy() for w in layers], p, prior, seed=1000 * shard.as_py() + turn)
-                learnt(learner, np.clip((x - mean) / scale, -8, 8), steps)
+                x = x - mean
+                x /= scale
+                learnt(learner, np.clip(x, -8, 8, out=x), steps)
                 yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()]), pa.array([n.as_py()]), pa.array([_flat(learner.layers).tobytes()], pa.binary())], names=["shard", "n", "w"])
 
     return own.mapInArrow(run, "shard long, n long, w binary")
