@@ -8,15 +8,14 @@ import unicodedata
 from collections import deque
 from collections.abc import Iterable, Sequence
 
-# Characters that are written in place of letters.
-LOOK_ALIKES = str.maketrans("0134578@$!|+€£", "oieastbasiltel")
-WORD = re.compile(r"\S+")
+# Characters that are written in place of letters; some stand for one of two.
+LOOK_ALIKES = [str.maketrans("0134578@$!|+", f"o{one}eastbas{one}{one}t") for one in "il"]
 
 
-def folded(word: str) -> str:
-    """A word as it sounds to a reader: without case, accents and inner marks, look-alikes as letters, repeated letters once."""
-    plain = unicodedata.normalize("NFKD", word.casefold()).translate(LOOK_ALIKES)
-    return re.sub(r"(.)\1+", r"\1", "".join(c for c in plain if c.isalpha()))
+def folded(word: str) -> set[str]:
+    """What a disguised word may read as: without case, accents and inner marks, look-alikes as letters, drawn-out letters once."""
+    bare = "".join(c for c in unicodedata.normalize("NFKD", word.casefold()) if not unicodedata.combining(c))
+    return {re.sub(r"(.)\1{2,}", r"\1", "".join(c for c in bare.translate(t) if c.isalpha())) for t in LOOK_ALIKES}
 
 
 class Automaton:

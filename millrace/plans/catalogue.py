@@ -6,7 +6,6 @@ different orders. Steps whose result SQL cannot state (iterative or greedy ones)
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,6 +16,7 @@ import millrace as mr
 from millrace.functions import numbering, text
 from millrace.functions.selectors import col
 from millrace.functions.stats import correlations, iqr_fences, skewnesses
+from millrace.functions.storage import shared_dir
 from millrace.functions.words import CONTRACTIONS, FORMATS, STOPWORDS
 from millrace.operators import eda, pii
 from millrace.plans.pipeline import CleanConfig, Pipeline
@@ -66,10 +66,14 @@ LINE = "l_orderkey, l_linenumber"
 # reading and writing ------------------------------------------------------------------------------------------------
 
 
+def new_path(spark: SparkSession, suffix: str) -> str:
+    """A new place in the folder that all executors share."""
+    return f"{shared_dir(spark)}/round-trip-{uuid.uuid4().hex}{suffix}"
+
+
 def round_trip(spark: SparkSession, df: DataFrame, suffix: str, quantize: bool = False) -> DataFrame:
-    """``df`` written and read back, in a new place of the folder that all executors share (on one machine: a temporary one)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    path = f"{folder.rstrip('/')}/round-trip-{uuid.uuid4().hex}{suffix}"
+    """``df`` written and read back."""
+    path = new_path(spark, suffix)
     mr.save_cleaned_data(df, path, quantize)
     return mr.load_data(path, spark)
 
@@ -86,6 +90,20 @@ def _(spark, sf):
     return round_trip(spark, table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), ".parquet", quantize=True)
 
 
+@query("tsv_input", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def _(spark, sf):
+    path = new_path(spark, ".tsv")
+    table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal").write.option("header", True).option("sep", "\t").csv(path)
+    return mr.load_data(path, spark)
+
+
+@query("json_input", "SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations")
+def _(spark, sf):
+    path = new_path(spark, ".json")
+    table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").write.option("ignoreNullFields", False).json(path)
+    return mr.load_data(path, spark)
+
+
 # outliers -----------------------------------------------------------------------------------------------------------
 
 
@@ -486,11 +504,46 @@ def _(spark, sf):
     return rounded(mr.encode_categorical(table(spark, sf, "events").select("event_id", "event_type", "value"), "target", target="value").select("event_id", "event_type"), ["event_type"])
 
 
+def _greedy(values: str, threshold: float) -> str:
+    """SQL for the greedy rule over ``values`` (``text``, and ``i`` from 1 on): ``nb`` has the earlier texts within the threshold of each, ``kept`` the
+    numbers of those that stay. Common subsequences are counted by a bit for each character, so texts have 120 of them at most."""
+    return f"""
+v AS MATERIALIZED ({values}),
+c AS (
+    SELECT i, text, length(text) AS n, (1::HUGEINT << length(text)::INT) - 1 AS ones,
+        map_from_entries(list_transform(list_distinct(string_split(text, '')), lambda c: {{'k': c, 'v': list_sum(list_transform(range(1, length(text) + 1), lambda j: CASE WHEN text[j] = c THEN 1::HUGEINT << (j - 1)::INT ELSE 0 END))::HUGEINT}})) AS bits
+    FROM v),
+p AS (
+    SELECT b.i, a.i AS j, a.n, b.n AS m,
+        list_reduce(list_concat([a.ones], list_transform(string_split(b.text, ''), lambda y: coalesce(a.bits[y], 0)::HUGEINT)), lambda r, h: ((r + (r & h)) | (r - (r & h))) & a.ones) AS rest
+    FROM c a JOIN c b ON a.i < b.i AND 200.0 * least(a.n, b.n) >= {threshold} * (a.n + b.n)),
+nb AS MATERIALIZED (SELECT i, list(j ORDER BY j) AS js FROM p WHERE 200.0 * (n - bit_count(rest)) >= {threshold} * (n + m) GROUP BY i),
+g(i, kept) AS (
+    SELECT 0::BIGINT, []::BIGINT[]
+    UNION ALL
+    SELECT g.i + 1, CASE WHEN len(list_intersect(kept, coalesce(js, []))) > 0 THEN kept ELSE list_append(kept, g.i + 1) END
+    FROM g LEFT JOIN nb ON nb.i = g.i + 1 WHERE g.i < (SELECT count(*) FROM v)),
+kept AS MATERIALIZED (SELECT kept FROM g ORDER BY i DESC LIMIT 1)"""
+
+
+_SORTED = "array_to_string(list_sort(list_filter(string_split(lower({0}), ' '), lambda w: w <> '')), ' ')"
+
+
 @query("fuzzy_cluster")
 def _(spark, sf):
     return mr.fuzzy_cluster_categories(table(spark, sf, "part").select("p_partkey", "p_type"), ["p_type"], 95)
 
 
+@query(
+    "fuzzy_cluster_names",
+    f"WITH RECURSIVE {_greedy(f"SELECT p_name, {_SORTED.format('p_name')} AS text, row_number() OVER (ORDER BY count(*) DESC, p_name) AS i FROM part GROUP BY p_name", 75)}, "
+    "head AS (SELECT v.i, v.p_name, coalesce(list_min(list_intersect(js, kept)), v.i) AS h FROM v CROSS JOIN kept LEFT JOIN nb ON nb.i = v.i) "
+    "SELECT p_partkey, w.p_name FROM part JOIN head USING (p_name) JOIN v w ON w.i = CASE WHEN list_contains((SELECT kept FROM kept), head.i) THEN head.i ELSE h END",
+)
+def _(spark, sf):
+    return mr.fuzzy_cluster_categories(table(spark, sf, "part").select("p_partkey", "p_name"), ["p_name"], 75)
+
+
 # duplicates ---------------------------------------------------------------------------------------------------------
 
 
@@ -512,9 +565,22 @@ def _(spark, sf):
     return mr.drop_duplicates_subset(df, ["user_id", "event_type", "day"], "none")
 
 
-@query("fuzzy_dedup")
+@query(
+    "fuzzy_dedup",
+    f"WITH RECURSIVE {_greedy(f"SELECT {_SORTED.format('p_name')} AS text, min(p_partkey) AS first, row_number() OVER (ORDER BY min(p_partkey)) AS i FROM part GROUP BY 1", 75)} "
+    "SELECT p_partkey, p_name FROM part JOIN v ON first = p_partkey WHERE list_contains((SELECT kept FROM kept), i)",
+)
 def _(spark, sf):
-    return mr.fuzzy_deduplicate(table(spark, sf, "part").select("p_partkey", "p_name"), ["p_name"], 90, order_by="p_partkey")
+    return mr.fuzzy_deduplicate(table(spark, sf, "part").select("p_partkey", "p_name"), ["p_name"], 75, order_by="p_partkey")
+
+
+@query(
+    "near_dup_urls",
+    f"WITH RECURSIVE u AS (SELECT page_id, {_SORTED.format('trim(url)')} AS text FROM pages), {_greedy("SELECT text, min(page_id) AS first, row_number() OVER (ORDER BY min(page_id)) AS i FROM u WHERE text <> '' GROUP BY 1", 90)} "
+    "SELECT page_id, v.i IS NOT NULL AND (page_id <> first OR NOT list_contains((SELECT kept FROM kept), v.i)) AS url_near_dup FROM u LEFT JOIN v USING (text)",
+)
+def _(spark, sf):
+    return mr.near_duplicate_text(table(spark, sf, "pages").select("page_id", "url"), "url", 90, order_by="page_id").select("page_id", "url_near_dup")
 
 
 @query("near_dup_text")
@@ -718,6 +784,18 @@ def _(spark, sf):
     return mr.redact_profanity(table(spark, sf, "pages").select("page_id", "html"), ["html"], ["data", "div", "article"], "#")
 
 
+#: Words that look like listed ones, and listed ones.
+_HIDDEN = "CASE page_id % 6 WHEN 0 THEN 'd4rn ' WHEN 1 THEN 'a D.a.r.n! ' WHEN 2 THEN 'd a r n ' WHEN 3 THEN 'darned ' WHEN 4 THEN 'daaarn, ' ELSE 'Darn it ' END"
+
+
+@query(
+    "redact_disguised",
+    "SELECT page_id, CASE page_id % 6 WHEN 0 THEN '**** ' WHEN 1 THEN 'a ****! ' WHEN 2 THEN '**** ' WHEN 3 THEN 'darned ' WHEN 4 THEN '****, ' ELSE '**** it ' END || url AS said FROM pages",
+)
+def _(spark, sf):
+    return mr.redact_profanity(table(spark, sf, "pages").select("page_id", F.concat(F.expr(_HIDDEN), "url").alias("said")), ["said"], ["darn", "blast it"])
+
+
 _SPELLINGS = {"smalls": 4, "smell": 9, "rings": 3, "ring": 1, "widgets": 2, "rde": 5}
 
 
@@ -725,7 +803,7 @@ _SPELLINGS = {"smalls": 4, "smell": 9, "rings": 3, "ring": 1, "widgets": 2, "rde
     "correct_spelling",
     f"WITH v AS (SELECT * FROM (VALUES {', '.join(f"('{w}', {n})" for w, n in _SPELLINGS.items())}) AS v(known, n)), "
     "w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part), "
-    "c AS (SELECT word, CASE WHEN lower(word) IN (SELECT known FROM v) THEN word ELSE coalesce((SELECT known FROM v WHERE damerau_levenshtein(lower(word), known) <= 1 ORDER BY n DESC, known DESC LIMIT 1), word) END AS fixed FROM w), "
+    "c AS (SELECT word, CASE WHEN lower(word) IN (SELECT known FROM v) THEN word ELSE coalesce((SELECT known FROM v WHERE damerau_levenshtein(lower(word), known) <= 2 ORDER BY damerau_levenshtein(lower(word), known), n DESC, known DESC LIMIT 1), word) END AS fixed FROM w), "
     "p AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part) "
     "SELECT p_partkey, string_agg(fixed, ' ' ORDER BY i) AS p_name FROM p JOIN c USING (word) GROUP BY 1",
 )
@@ -733,6 +811,12 @@ def _(spark, sf):
     return mr.correct_spelling_text(table(spark, sf, "part").select("p_partkey", "p_name"), ["p_name"], _SPELLINGS)
 
 
+@query("manual_correction", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def _(spark, sf):
+    fixes = {"F": "finished", "O": "open"}
+    return mr.fix_spelling_errors_in_categorical(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), corrector=lambda name, values: mr.manual_correction(values, fixes))
+
+
 @query("correct_categories", "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'first' ELSE lower(o_orderpriority) END AS o_orderpriority FROM orders")
 def _(spark, sf):
     df = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from millrace.functions.selectors import DATES, col
+from millrace.sources.jsonrecords import read_json
 
 
 def _widened(df: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def _widened(df: DataFrame) -> DataFrame:
 
 
 def load_data(file_path: str, spark: SparkSession | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """A table from ``.csv``, ``.tsv``, ``.json`` (one document, or an array of records) or ``.parquet``.
+    """A table from ``.csv``, ``.tsv``, ``.json`` (one record, an array of records, or records one after the other) or ``.parquet``.
 
     CSV and TSV have a header; CSV dates are parsed, TSV dates stay strings. With ``schema`` nothing is inferred, which
     spares a pass over the data.
@@ -30,7 +31,7 @@ def load_data(file_path: str, spark: SparkSession | None = None, schema: T.Struc
     if file_path.endswith(".parquet"):
         return (spark.read.schema(schema) if schema else spark.read).parquet(file_path)
     if file_path.endswith(".json"):
-        return (spark.read.schema(schema) if schema else spark.read).option("multiLine", True).json(file_path)
+        return read_json(spark, file_path, schema)
     reader = spark.read.option("header", True).option("mode", "FAILFAST").option("sep", "\t" if file_path.endswith(".tsv") else ",")
     if schema:
         return reader.schema(schema).csv(file_path)

@@ -1,9 +1,13 @@
+import json
 import math
 
+import pytest
+
 import millrace as mr
 from millrace.functions import text
 from millrace.operators.columns import snake_case
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def values(df, c):
@@ -91,3 +95,34 @@ def test_coerce_and_suggest(spark):
 def test_negatives(spark):
     df = spark.createDataFrame([(-1, -2.5, "x"), (3, None, "y")], "a long, b double, c string")
     assert [tuple(r) for r in mr.handle_negative_values(df).collect()] == [(1, 2.5, "x"), (3, None, "y")]
+
+
+@pytest.mark.parametrize("size", ["1k", "97", "128m"])
+def test_json_arrays_are_read_in_parts(spark, tmp_path, size):
+    """Any file of records in any layout, cut into ranges of any size, gives what one task that reads it whole gives."""
+    tricky = [
+        {"id": i, "s": ['a}"b', "{[", "\\\\", 'q\\"}', "é日\n}{", ""][i % 6], "o": {"x": [{"y": f"[{i}"}, {"y": "}"}], "e": {}}, "n": None if i % 3 else i / 4} for i in range(200)
+    ]
+    layouts = {
+        "minified.json": json.dumps(tricky, separators=(",", ":"), ensure_ascii=False),
+        "indented.json": "\ufeff  " + json.dumps(tricky, indent=3) + "\n\n",
+        "one.json": json.dumps(tricky[1], indent=1),
+        "none.json": " [ ]\n",
+    }
+    schema = T.StructType.fromDDL("id long, n double, o struct<e: struct<z: int>, x: array<struct<y: string>>>, s string")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    for name, content in layouts.items():
+        path = tmp_path / name
+        path.write_text(content, encoding="utf-8")
+        whole = sorted(map(str, spark.read.option("multiLine", True).schema(schema).json(str(path)).collect()))
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = mr.load_data(str(path), spark, schema).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+            spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+        assert sorted(map(str, got)) == whole, name
+    lines = tmp_path / "lines.json"
+    lines.write_text("\n".join(json.dumps(r) for r in tricky), encoding="utf-8")
+    assert sorted((r.id, r.s) for r in mr.load_data(str(lines), spark).collect()) == sorted((r["id"], r["s"]) for r in tricky)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import millrace as mr
 from millrace.functions import automaton, numbering
 from millrace.functions.ratio import lcs_length, ratio, token_sort_ratio
-from millrace.operators import language, neighbours, pii
+from millrace.operators import language, neighbours, pii, textprep
 from millrace.operators.impute import impute_knn, neighbour_means
 
 
@@ -358,6 +358,51 @@ def test_pii(spark):
     assert mr.detect_and_mask_pii(df.where("t = 'clean'")).columns == ["t"]
 
 
+def test_spelling_within_two_edits(spark):
+    """Against trying every word of the vocabulary; a known word stays, the nearest wins, then the most frequent."""
+    rnd = random.Random(5)
+    make = lambda: "".join(rnd.choices("abcde", k=rnd.randint(1, 6)))
+    vocabulary = {make(): rnd.randint(1, 5) for _ in range(60)}
+    texts = [" ".join(make() for _ in range(rnd.randint(0, 5))) for _ in range(80)] + [None, "", "  ", "ABC  abd", "x" * 300]
+
+    def fixed(word):
+        low = word.lower()
+        if low in vocabulary:
+            return word
+        near = [(-d, n, w) for w, n in vocabulary.items() if (d := textprep.edit_distance(low, w)) <= 2]
+        return max(near)[2] if near else word
+
+    df = spark.createDataFrame([(i, t, "r", "f") for i, t in enumerate(texts)], "id int, t string, row string, fixed string").repartition(3)
+    table = spark.createDataFrame(list(vocabulary.items()), "known string, n long")
+    for known in (vocabulary, table):
+        got = {r.id: (r.t, r.row, r.fixed) for r in mr.correct_spelling_text(df, ["t"], known).collect()}
+        assert got == {i: (None if t is None else " ".join(map(fixed, t.split())), "r", "f") for i, t in enumerate(texts)}
+
+
+def test_edit_distance():
+    """Against edits of edits: equal within two, and such words have a form in common after deletions."""
+    rnd = random.Random(1)
+
+    def edits(w):
+        cuts = [(w[:i], w[i:]) for i in range(len(w) + 1)]
+        return {a + b[1:] for a, b in cuts if b} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1} | {a + c + b[1:] for a, b in cuts if b for c in "abc"} | {a + c + b for a, b in cuts for c in "abc"}
+
+    for _ in range(600):
+        a, b = ("".join(rnd.choices("abc", k=rnd.randint(0, 5))) for _ in range(2))
+        want = 0 if a == b else 1 if b in edits(a) else 2 if any(b in edits(w) for w in edits(a)) else 3
+        assert min(textprep.edit_distance(a, b), 3) == want
+        assert want > 2 or textprep._deletions(a, 2) & textprep._deletions(b, 2)
+
+
+def test_disguised_words(spark):
+    """Look-alikes, marks, spaces and drawn-out letters; ten thousand words cost no more than ten."""
+    listed = ["darn", "bad word", "hell", "class"] + [f"word{i}x" for i in range(10_000)]
+    df = spark.createDataFrame([("Darn it, darned",), ("d4rn d@rn! d.a.r.n d a r n daaarn",), ("bad-word bad  word",), ("he11 h3ll hello shell",), ("<cl@ss> a b c d",), ("",), (None,)], "t string")
+    want = ["**** it, darned", "**** ****! **** **** ****", "**** ****", "**** **** hello shell", "<****> a b c d", "", None]
+    assert column(mr.redact_profanity(df, ["t"], listed), "t") == want
+    assert column(mr.redact_profanity(df, ["t"], listed, disguised=False), "t")[1] == "d4rn d@rn! d.a.r.n d a r n daaarn"
+
+
 def test_pii_spans_overlap(spark):
     """Spans of several kinds meet: the best stays, context decides between equals, and what does not touch it stays too."""
     find = lambda t, **k: [(t[a:b], kind) for a, b, kind, _ in pii.Finder(**k).spans(t)]
