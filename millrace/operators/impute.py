@@ -81,28 +81,43 @@ def impute_knn(df: DataFrame, columns: list[str], k: int = 5, report: dict | Non
     return whole.unionByName(replaced(found, new).select(*map(col, kept)))
 
 
+def bayesian_ridge(gram: np.ndarray, xy: np.ndarray, yy: float, n: int, turns: int = 300, tolerance: float = 1e-3) -> np.ndarray:
+    """Weights of a Bayesian ridge regression from sums over centred values alone (``gram``: X'X, ``xy``: X'y, ``yy``: y'y).
+
+    The precisions of noise and of weights maximise the evidence: one eigendecomposition, then updates of two numbers.
+    """
+    values, vectors = np.linalg.eigh(gram)
+    values, along = np.maximum(values, 0.0), vectors.T @ xy
+    tiny = 1e-6
+    noise, weight, before = 1.0 / (yy / n + np.finfo(float).eps), 1.0, None
+    for _ in range(turns):
+        w = vectors @ (along / (values + weight / noise))
+        rest = max(yy - 2 * float(w @ xy) + float(w @ gram @ w), 0.0)
+        known = float((noise * values / (weight + noise * values)).sum())
+        weight = (known + 2 * tiny) / (float(w @ w) + 2 * tiny)
+        noise = (n - known + 2 * tiny) / (rest + 2 * tiny)
+        if before is not None and np.abs(before - w).sum() < tolerance:
+            break
+        before = w
+    return vectors @ (along / (values + weight / noise))
+
+
 def _solve(sums: dict, names: list[str], target: str) -> tuple[float, np.ndarray]:
-    """Ridge regression of ``target`` on the others from sums of products (its strength from the noise they leave)."""
+    """Bayesian ridge regression of ``target`` on the others from sums of products: constant and weights."""
     others = [c for c in names if c != target]
     n = sums["n"]
     mean = {c: sums[("s", c)] / n for c in names}
-    cov = lambda a, b: sums[("p", *sorted((a, b)))] / n - mean[a] * mean[b]
-    scale = np.array([np.sqrt(max(cov(c, c), 0.0)) for c in others])
-    live = scale > 1e-12
-    x = np.array([[cov(a, b) for b in others] for a in others]).reshape(len(others), len(others))
-    y = np.array([cov(c, target) for c in others])
-    weights = np.zeros(len(others))
-    if live.any():
-        s = scale[live]
-        weights[live] = np.linalg.solve(x[np.ix_(live, live)] / np.outer(s, s) + 1e-6 * np.eye(len(s)), y[live] / s) / s
+    about = lambda a, b: sums[("p", *sorted((a, b)))] - n * mean[a] * mean[b]
+    gram = np.array([[about(a, b) for b in others] for a in others]).reshape(len(others), len(others))
+    weights = bayesian_ridge(gram, np.array([about(c, target) for c in others]), max(about(target, target), 0.0), n)
     return mean[target] - float(weights @ np.array([mean[c] for c in others])), weights
 
 
 def impute_mice(df: DataFrame, columns: list[str], rounds: int = 10, tolerance: float = 1e-3) -> DataFrame:
-    """Chained equations: each column with gaps is regressed on all others in turn, from mean-filled values on.
+    """Chained equations: each column with gaps is regressed on all others in turn (Bayesian ridge), from mean-filled values on.
 
-    The fills are formulas over the original columns' values, rewritten each round; only sums come to the driver. Rounds end
-    early when coefficients hardly move.
+    The fills are formulas over the original columns' values, rewritten each round; only sums come to the driver: for p columns
+    p * (p + 1) / 2 of them a column and round, so p is meant to be in the tens. Rounds end early when coefficients hardly move.
     """
     got = first_row(df, {("n", c): F.count(present(df, c)) for c in columns} | {("m", c): F.avg(present(df, c)) for c in columns} | {"rows": F.count(F.lit(1))})
     names = [c for c in columns if got[("n", c)]]
