@@ -17,7 +17,7 @@ from millrace.functions.selectors import chosen, col, replaced, strings
 from millrace.functions.stats import distinct_counts
 from millrace.functions.storage import cut, fresh_name, fresh_names
 from millrace.functions.text import literal_map
-from millrace.operators.dedupe import greedy_dropped, numbered, similar_pairs
+from millrace.operators.dedupe import heads, numbered
 
 #: Maps up to this size are literals in the plan; larger ones are joined.
 LITERAL_MAP = 200
@@ -51,8 +51,7 @@ def fuzzy_cluster_categories(df: DataFrame, columns: Iterable[str] | None = None
 
     Distinct values, most frequent first (ties by value), are taken one by one: the first canonical value whose token-sorted
     similarity is at least ``threshold`` takes them in, else they become canonical themselves. Values of equal sorted tokens
-    share a fate, so they are folded; the pairs of the rest come from a lossless filter (``similar_pairs``), and the rule is
-    settled in rounds of joins, at any number of values. Null stays null.
+    share a fate, so they are folded; the rest is settled by ``dedupe.heads``, at any number of values. Null stays null.
     """
 
     @F.pandas_udf("string")
@@ -63,11 +62,8 @@ def fuzzy_cluster_categories(df: DataFrame, columns: Iterable[str] | None = None
         counts = df.where(col(c).isNotNull()).groupBy(col(c).cast("string").alias("from")).agg((-F.count("*")).alias("at"))
         values = cut(numbered(counts).select("from", F.col("to").alias("place"), token_sorted("from").alias("key")))
         texts = cut(values.groupBy(F.col("key").alias("text")).agg(F.min("place").alias("place")))
-        edges = cut(similar_pairs(texts, threshold))
-        canonical = edges.join(greedy_dropped(edges).select(F.col("place").alias("a")), "a", "left_anti")
-        taken = canonical.groupBy("b").agg(F.min("a").alias("a"))
-        heads = texts.join(taken, F.col("place") == F.col("b"), "left").select("text", F.coalesce("a", "place").alias("head"))
-        table = values.join(heads, F.col("key") == F.col("text")).where("place <> head").select("from", "head")
+        taken = texts.join(heads(texts, threshold), "place", "left").select("text", F.coalesce("head", "place").alias("head"))
+        table = values.join(taken, F.col("key") == F.col("text")).where("place <> head").select("from", "head")
         df = mapped(df, c, table.join(values.select(F.col("place").alias("head"), F.col("from").alias("to")), "head").select("from", "to"), whole=False)
     return df
 

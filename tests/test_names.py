@@ -108,3 +108,27 @@ def test_common_grams_are_keys_only_with_others(spark, monkeypatch):
     loose = [f"common {''.join(rnd.choices('abcdefghij', k=12))} {''.join(rnd.choices('abcdefghij', k=12))}" for _ in range(150)]
     df = spark.createDataFrame(list(enumerate(loose)), "place long, text string")
     assert dedupe.blocked(df, 96).groupBy("key").count().agg(F.max("count")).first()[0] <= dedupe.HOT_ROWS
+
+
+def test_texts_that_resemble_each_other_are_settled_without_pairs(spark, monkeypatch):
+    """Addresses of a few hosts: the greedy rule in heads of few texts, against the rule one by one; no list of pairs is made."""
+    from millrace.functions.ratio import ratio
+
+    rnd = random.Random(11)
+    texts = list({f"https://{rnd.choice(['www.alpha', 'm.beta', 'gamma'])}.example.{rnd.choice(['org', 'net'])}/{rnd.choice(['de', 'fr'])}/{rnd.randrange(10**rnd.randint(1, 6))}{rnd.choice(['', '#top', '?page=2&ref=x'])}": 0 for _ in range(400)})
+    kept, want = [], {}
+    for i, t in enumerate(texts):
+        head = next((k for k in kept if ratio(t, texts[k]) >= 90), None)
+        want[i] = head
+        kept += [i] * (head is None)
+    assert 40 < len(kept) < 300
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "place long, text string").repartition(5)
+    monkeypatch.setattr(dedupe, "similar_pairs", lambda *_: pytest.fail("pairs were listed"))
+    monkeypatch.setattr(dedupe, "HEAD", 50)
+    assert dedupe.resemble_each_other(df, 90)
+    assert {r.place: r["head"] for r in dedupe.heads(df, 90).collect()} == {i: h for i, h in want.items() if h is not None}
+    for _ in range(300):
+        a, b = ("".join(rnd.choices("abcé/", k=rnd.randint(0, 30))) for _ in range(2))
+        apart = (int.from_bytes(dedupe.signature(a), "little") ^ int.from_bytes(dedupe.signature(b), "little")).bit_count()
+        assert apart <= (1 - ratio(a, b) / 100) * (len(a) + len(b)) + 1e-6
+    assert dedupe.settled_heads(df.limit(0), 90).count() == 0
