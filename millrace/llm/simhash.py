@@ -47,8 +47,9 @@ SPLIT_AT = 2000
 #: ``similar_groups``: words of a shingle, 64-bit words of a fingerprint and the most bits that may differ, bands and values in each.
 SIMILAR_SHINGLE, WIDE, WIDE_RADIUS = 5, 4, 64
 BANDS, ROWS = 16, 5
-#: Pivots taken from a bucket, and searches for links between components.
-OWN_PIVOTS, SEARCHES = 8, 2
+#: Pivots taken from a bucket, searches for the nearest outside before every pair of different components is tried, and pairs
+#: of a bucket that a task holds at once.
+OWN_PIVOTS, SEARCHES, LINKS_HELD = 8, 2, 100_000
 #: Buckets of at most so many fingerprints are compared together, larger ones one by one.
 SMALL_BUCKET = 16
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -333,15 +334,15 @@ def sketches(df: DataFrame, key_col: str, text_col: str, shingle: int) -> DataFr
     return src.mapInArrow(run, f"row {src.schema[0].dataType.simpleString()}, node long, f array<long>, bands array<long>")
 
 
-def nearest_outside(words: np.ndarray, roots: np.ndarray, radius: int = WIDE_RADIUS, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of ``words`` (long fingerprints) the nearest row of another root within ``radius`` bits, as index pairs.
+def pairs_outside(words: np.ndarray, roots: np.ndarray, radius: int = WIDE_RADIUS, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs (both ways) of rows of ``words`` (long fingerprints) of different roots within ``radius`` bits, with the bits by which
+    they differ, in blocks of ``step`` first rows.
 
     Pivots are rows of the bucket: pairs whose distances to one of them differ by more than ``radius`` are discarded.
     """
     n = len(words)
     pivots = words[np.unique(np.linspace(0, n - 1, OWN_PIVOTS).astype(int))]
     table = np.stack([np.bitwise_count(words ^ p).sum(axis=1, dtype=np.int16) for p in pivots])
-    found_i, found_j = [], []
     for a in range(0, n, step):
         b = min(a + step, n)
         near = roots[a:b, None] != roots[None]
@@ -349,14 +350,26 @@ def nearest_outside(words: np.ndarray, roots: np.ndarray, radius: int = WIDE_RAD
             near &= np.abs(row[a:b, None] - row[None]) <= radius
         i, j = np.nonzero(near)
         apart = np.bitwise_count(words[i + a] ^ words[j]).sum(axis=1, dtype=np.int16)
-        i, j, apart = (x[apart <= radius] for x in (i, j, apart))
+        keep = apart <= radius
+        yield i[keep] + a, j[keep], apart[keep]
+
+
+def nearest_outside(words: np.ndarray, roots: np.ndarray, radius: int = WIDE_RADIUS, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``words`` the nearest row of another root within ``radius`` bits, as index pairs."""
+    found_i, found_j = [], []
+    for i, j, apart in pairs_outside(words, roots, radius, step):
         order = np.lexsort((j, apart, i))
         first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
-        found_i.append(i[first] + a)
+        found_i.append(i[first])
         found_j.append(j[first])
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
+def _pairs(links: set[tuple[int, int]]) -> pa.RecordBatch:
+    left, right = zip(*links)
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The links of ``pairs`` (``a``, ``b``: nodes) whose shingle sets have the Jaccard similarity or more."""
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
@@ -385,8 +398,9 @@ def similar_groups(df: DataFrame, key_col: str, text_col: str = "text", shingle:
 
     ``key_col`` tells rows apart and has no nulls; ``df`` is a stored table, since some texts are read again. Rows of equal sets
     are one node. Each node of a bucket (a band key) is compared with the bucket's least node, then, while components remain
-    apart in a bucket, with the nearest node outside its own component; buckets of more than ``split_at`` nodes are dealt as
-    pairs of parts. Two texts of similarity s meet in a bucket with probability 1 - (1 - s**5)**16.
+    apart in a bucket, with the nearest node outside its own component (at most ``SEARCHES`` times: this only joins most of them
+    cheaply), and at last with every node outside it, so that no candidate of a bucket is left out; buckets of more than
+    ``split_at`` nodes are dealt as pairs of parts. Two texts of similarity s meet in a bucket with probability 1 - (1 - s**5)**16.
     """
     rows = materialise(sketches(df, key_col, text_col, shingle), "similar-sketches")
     nodes = rows.groupBy("node").agg(F.min("row").alias("row"), F.first("f").alias("f"), F.first("bands").alias("bands"))
@@ -403,7 +417,7 @@ def similar_groups(df: DataFrame, key_col: str, text_col: str = "text", shingle:
     tried = pairs
     roots = components(edges)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
         rest = np.zeros((4 + WIDE, 0), np.int64)  # of the bucket that the last batch may not have ended
         for batch in _and_end(batches):
             if batch is not None:
@@ -415,14 +429,17 @@ def similar_groups(df: DataFrame, key_col: str, text_col: str = "text", shingle:
             for a, b in zip(cuts, cuts[1:]):
                 node, root, words = rest[2, a:b], rest[3, a:b], np.ascontiguousarray(rest[4:, a:b].T).view(np.uint64)
                 if b > a and (root != root[0]).any():
-                    i, j = nearest_outside(words, root)
-                    links.update(zip(np.maximum(node[i], node[j]).tolist(), np.minimum(node[i], node[j]).tolist()))
+                    for i, j, *_ in pairs_outside(words, root) if every else [nearest_outside(words, root)]:
+                        links.update(zip(np.maximum(node[i], node[j]).tolist(), np.minimum(node[i], node[j]).tolist()))
+                        if len(links) > LINKS_HELD:
+                            yield _pairs(links)
+                            links.clear()
             rest = rest[:, cut:]
             if links:
-                left, right = zip(*links)
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+                yield _pairs(links)
 
-    for _ in range(SEARCHES):
+    every = SEARCHES == 0
+    for turn in range(SEARCHES + 1):
         placed = members.join(roots, "node", "left").select("key", "members", "node", F.coalesce("root", "node").alias("root"))
         open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
         open_rows = materialise(placed.join(open_keys, "key", "left_semi").join(prints, "node"), "similar-open")
@@ -432,14 +449,18 @@ def similar_groups(df: DataFrame, key_col: str, text_col: str = "text", shingle:
         dealt = open_rows.where(F.col("members") <= split_at).withColumn("cell", F.lit(0).cast("long"))
         dealt = dealt.unionByName(open_rows.where(F.col("members") > split_at).withColumn("cell", F.explode(cells)))
         ordered = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell", "node").select("key", "cell", "node", "root", *[F.col("f")[k].alias(f"f{k}") for k in range(WIDE)])
-        found = ordered.mapInArrow(search, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        found = ordered.mapInArrow(lambda batches, every=every: search(batches, every), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         found = materialise(found, "similar-pairs")
         more = materialise(_verified(found, _sets(df, nodes, found, key_col, text_col, shingle), similarity), "similar-links")
         discard(open_rows)
-        if not more.limit(1).count():
+        linked = bool(more.limit(1).count())
+        if linked:
+            edges = edges.unionByName(more)
+            roots = components(edges)
+        if every:
             break
-        tried, edges = tried.unionByName(found), edges.unionByName(more)
-        roots = components(edges)
+        tried = tried.unionByName(found)
+        every = not linked or turn + 1 >= SEARCHES
     placed = rows.select(F.col("row").alias(key_col), "node").join(roots, "node", "left")
     return placed.select(key_col, F.coalesce("root", "node").alias("component"))
 

@@ -156,6 +156,22 @@ def test_similar_groups_against_brute_force(spark, split_at):
     assert simhash.similar_groups(frame.limit(0), "doc_id").count() == 0
 
 
+def test_links_behind_nearer_rows_that_do_not_link(spark, monkeypatch):
+    """Every fingerprint lies at the same distance and the nearest rows (the first in order) do not link: all others are tried too."""
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    base = [rnd.choice(words) for _ in range(200)]
+    rows = []
+    for i in range(40):  # pairs of near copies that share 100 of 200 words with all others
+        text = base[:100] + [rnd.choice(words) for _ in range(100)]
+        rows += [" ".join(text), " ".join([*text[:-1], "last"])]
+    monkeypatch.setattr(simhash, "band_keys", lambda hashes: np.zeros(1, np.uint64))
+    monkeypatch.setattr(simhash, "wide_fingerprint", lambda hashes: np.zeros(simhash.WIDE, np.uint64))
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component for r in simhash.similar_groups(frame, "doc_id").collect()}
+    assert len(set(got.values())) == 40 and all(got[i] == got[i + 1] for i in range(0, 80, 2))
+
+
 def test_nearest_outside_keeps_every_near_row():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2**63, (6, simhash.WIDE), dtype=np.uint64)
