@@ -486,3 +486,22 @@ def test_language_spelling_profanity(spark):
     fixed = mr.correct_spelling_text(spark.createDataFrame([("teh cta sat",)], "t string"), ["t"], {"the": 9, "cat": 3, "sat": 1})
     assert column(fixed, "t") == ["the cat sat"]
     assert column(mr.redact_profanity(spark.createDataFrame([("Darn it, darned",)], "t string"), ["t"], ["darn"]), "t") == ["**** it, darned"]
+
+
+def test_packed_grams_give_the_distances_of_the_plain_rule(monkeypatch):
+    """Long and short texts of several scripts, ties, and texts counted in several steps; the plain rule is not asked but for far scripts."""
+    from collections import Counter
+
+    rnd = random.Random(3)
+    profiles = {lang: p for lang, p in language.shipped_profiles().items() if lang in ("en", "de", "ru", "el")} | {"far": {"_": 0, "\u4e00": 1}}
+    texts = [[], ["a"], ["\u4e00\u4e01", "b"], ["x" * 3000], *[["".join(rnd.choices("abcdefé\u0436\u03c9", k=rnd.randint(1, 9))) for _ in range(n)] for n in (3, 60, 900)]]
+    plain = []
+    for words in texts:
+        own = language.ranking(Counter(words))
+        plain.append([language.out_of_place(own, p) for p in profiles.values()] if own else None)
+    for step in (7, 1 << 18):
+        monkeypatch.setattr(language, "STEP", step)
+        judge = language.Judge(profiles)
+        assert [judge.distances("".join(f"_{w}_" for w in words)) for words in texts] == plain
+    monkeypatch.setattr(language, "ranking", None)
+    assert judge.distances("_das__ist_") is not None
