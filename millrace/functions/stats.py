@@ -60,6 +60,10 @@ def order_statistics(df: DataFrame, wanted: dict[str, Callable[[int], list[int]]
     ranks = {(c, i): r for c, f in wanted.items() if counts[c] for i, r in enumerate(f(counts[c]))}
     exact: dict[tuple, Column] = {}
     large = {k: r for k, r in ranks.items() if counts[k[0]] > direct_rows}
+    for (c, i), r in list(large.items()):
+        if r in (0, counts[c] - 1):  # the least and the greatest need no rank
+            exact[(c, i)] = (F.max if r else F.min)(present(df, c)).cast("double")
+            del large[(c, i)]
     shared: dict[str, list[int]] = {}  # ranks of a column that one aggregate gives together
     for c in {c: 0 for c, _ in ranks if counts[c] <= direct_rows}:
         shares = {i: _share(r, counts[c]) for (x, i), r in ranks.items() if x == c}
@@ -68,12 +72,13 @@ def order_statistics(df: DataFrame, wanted: dict[str, Callable[[int], list[int]]
             exact[(c, "all")] = F.expr(f"percentile({_sql(df, c)}, array({', '.join(f'{shares[i]!r}D' for i in shared[c])}))")
         exact |= {(c, i): _at(_sql(df, c), ranks[(c, i)], counts[c]) for i, p in shares.items() if p is None}
     if large:
-        bounds = {}
+        percents: dict[str, list[float]] = {}
         for (c, i), r in large.items():
             centre, slack = (r + 0.5) / counts[c], 3 / ACCURACY
-            for side, p in (("low", max(0.0, centre - slack)), ("high", min(1.0, centre + slack))):
-                bounds[(c, i, side)] = F.percentile_approx(present(df, c), F.lit(p), F.lit(ACCURACY))
-        bounds = first_row(df, bounds)
+            percents.setdefault(c, []).extend([max(0.0, centre - slack), min(1.0, centre + slack)])
+        got = first_row(df, {c: F.percentile_approx(present(df, c), p, ACCURACY) for c, p in percents.items()})  # one summary a column
+        sides = {c: iter(v) for c, v in got.items()}
+        bounds = {(c, i, side): next(sides[c]) for c, i in large for side in ("low", "high")}
         inside, below = {}, {}
         for c, i in large:
             x, low, high = present(df, c), F.lit(bounds[(c, i, "low")]), F.lit(bounds[(c, i, "high")])
