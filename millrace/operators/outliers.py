@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.selectors import chosen, col, core_numeric, numeric, present, replaced
 from millrace.functions.stats import ACCURACY, correlations, first_row, iqr_fences, medians, quantiles, skewnesses
-from millrace.functions.storage import fresh_names
+from millrace.functions.storage import fresh_names, small_side
 
 
 def check_outliers(df: DataFrame) -> dict[str, DataFrame]:
@@ -66,7 +66,8 @@ def remove_outliers_by_group(df: DataFrame, group_col: str, columns: Iterable[st
     """Rows inside the fences of their group, column after column; nulls go, a null group is a group.
 
     Approximate percentiles bracket each rank, and only a group's values inside its brackets are ranked one by one, so that the task
-    of a large group sees few of its values. A group of up to ``ACCURACY`` rows is ranked whole.
+    of a large group sees few of its values. A group of up to ``ACCURACY`` rows is ranked whole. Brackets and fences, a row or two a
+    group, are broadcast where they are few: the rows of a large group never meet by their key.
     """
     kept = df.columns
     for c in [c for c in chosen(df, columns, numeric(df)) if c != group_col]:
@@ -80,7 +81,7 @@ def remove_outliers_by_group(df: DataFrame, group_col: str, columns: Iterable[st
         high_of = lambda i: F.when(large, F.col("p")[i]).otherwise(F.lit(math.inf))
         sides = [F.struct(F.lit(q).alias("q"), low_of(i).alias("low"), high_of(i + 1).alias("high")) for q, i in ((0.25, 0), (0.75, 2))]
         brackets = sized.select(F.col("g").alias("__g"), "total", F.array(*sides).alias("sides"))
-        met = rows.join(brackets, F.col("g").eqNullSafe(F.col("__g"))).select("g", "total", "x", F.explode("sides").alias("s"))
+        met = rows.join(small_side(brackets), F.col("g").eqNullSafe(F.col("__g"))).select("g", "total", "x", F.explode("sides").alias("s"))
         inside = (F.col("x") >= F.col("s.low")) & (F.col("x") <= F.col("s.high"))
         counts = met.where(F.col("x") <= F.col("s.high")).groupBy("g", "total", F.col("s.q").alias("q"), F.when(inside, F.col("x")).alias("x")).agg(F.count("*").alias("n"))
         by_value = Window.partitionBy("g", "q").orderBy(F.asc_nulls_first("x")).rowsBetween(Window.unboundedPreceding, 0)
@@ -90,7 +91,7 @@ def remove_outliers_by_group(df: DataFrame, group_col: str, columns: Iterable[st
         low, high = F.col("q1") - F.lit(k) * (F.col("q3") - F.col("q1")), F.col("q3") + F.lit(k) * (F.col("q3") - F.col("q1"))
         group, below, above = fresh_names(df, "group", "low", "high")
         fences = fences.select(F.col("g").alias(group), low.alias(below), high.alias(above))
-        df = df.join(fences, col(group_col).eqNullSafe(F.col(group))).where(x.between(F.col(below), F.col(above))).select(*map(col, kept))
+        df = df.join(small_side(fences), col(group_col).eqNullSafe(F.col(group))).where(x.between(F.col(below), F.col(above))).select(*map(col, kept))
     return df
 
 

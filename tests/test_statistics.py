@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import millrace as mr
 from millrace.operators import outliers
@@ -150,3 +151,27 @@ def test_ranks_taken_together_are_values(spark):
         values = np.sort(np.round(rng.normal(size=n), 1 + n % 3))
         df = spark.createDataFrame([(float(v),) for v in rng.permutation(values)], "x double")
         assert stats.order_statistics(df, {"x": lambda k: list(range(k))})["x"] == values.tolist()
+
+
+def test_one_summary_a_column_for_all_ranks(spark, monkeypatch):
+    """Five numbers of large columns: one approximate summary a column, none for the least and the greatest, and exact results."""
+    rows = [(float(x * 7919 % 1009), x % 13) for x in range(3000)]
+    df = spark.createDataFrame(rows, "x double, n long")
+    want = eda.five_numbers(df, ["x", "n"])
+    asked = []
+    approx = F.percentile_approx
+    monkeypatch.setattr(stats, "DIRECT_ROWS", 10)
+    monkeypatch.setattr(stats.F, "percentile_approx", lambda *a: asked.append(a) or approx(*a))
+    assert eda.five_numbers(df, ["x", "n"]) == want and len(asked) == 2
+    assert (want["x"]["min"], want["x"]["max"]) == (0.0, 1008.0)
+
+
+def test_fences_of_few_groups_are_broadcast(spark):
+    """The rows of a group do not meet by its key, whatever Spark thinks of the sizes."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = mr.remove_outliers_by_group(spark.createDataFrame([("a", float(x)) for x in range(50)] + [("b", 1.0), ("b", 900.0)], "g string, x double"), "g", ["x"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and out.count() == 52
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
