@@ -14,7 +14,7 @@ from millrace.functions import text
 from millrace.functions.automaton import Automaton, folded, longest_first
 from millrace.functions.selectors import col, replaced, strings
 from millrace.functions.stats import distinct_counts, first_row
-from millrace.functions.storage import cut, fresh_names
+from millrace.functions.storage import cut, fresh_names, small_batches
 
 SAMPLE = 30
 
@@ -183,6 +183,7 @@ _WORD, _CHUNK, _DRAWN = re.compile(r"\w+"), re.compile(r"[\w@$!|+](?:\S*[\w@$!|+
 def redact_profanity(df: DataFrame, columns: Iterable[str], words: Iterable[str], replacement: str = "****", disguised: bool = True) -> DataFrame:
     """Listed words (whole, in any case; ``disguised``: written with look-alikes or marks too) become four times the first character of
     ``replacement``. Nulls stay."""
+    small_batches(df.sparkSession)
     censor = Censor(words, (replacement[:1] or "*") * 4, disguised)
 
     @F.pandas_udf("string")

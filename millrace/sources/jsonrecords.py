@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.storage import cut, shared_dir
+from millrace.functions.storage import cut, shared_dir, small_batches
 
 _MARKS = re.compile(r'\\.|["{}\[\]]', re.DOTALL)
 _STEPS = {"{": 1, "[": 1, "}": -1, "]": -1}
@@ -105,6 +105,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def json_records(spark: SparkSession, path: str) -> DataFrame:
     """``value``: the text of every record of the files at ``path``, in one line."""
+    small_batches(spark)
     pieces = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     found = pieces.mapInArrow(_summaries, "file string, start long, first string, flips boolean, outside long, inside long").collect()  # a row a range
     states = spark.createDataFrame(composed([tuple(r) for r in found]), "file string, start long, inside boolean, depth long, base int")

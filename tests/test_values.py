@@ -505,3 +505,18 @@ def test_packed_grams_give_the_distances_of_the_plain_rule(monkeypatch):
         assert [judge.distances("".join(f"_{w}_" for w in words)) for words in texts] == plain
     monkeypatch.setattr(language, "ranking", None)
     assert judge.distances("_das__ist_") is not None
+
+
+@pytest.mark.parametrize("step", ["profanity", "pii", "json"])
+def test_workers_take_small_batches_of_texts(spark, tmp_path, step):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    df = spark.createDataFrame([("darn it",)], "t string")
+    if step == "profanity":
+        mr.redact_profanity(df, ["t"], ["darn"])
+    elif step == "pii":
+        mr.detect_and_mask_pii(df, columns=["t"])
+    else:
+        (tmp_path / "x.json").write_text('[{"a": 1}]')
+        mr.load_data(str(tmp_path / "x.json"), spark)
+    assert 0 < int(spark.conf.get(key)) <= 400
