@@ -16,8 +16,9 @@ Plan
 Texts that are similar word by word (``similar_groups``) differ by many more bits than blocks can serve: at a Jaccard similarity
 of 0.8 about 39 of 256. There candidates meet under band keys (least values of the same shingle hashes under several orders),
 fingerprints are longer, and the pivots are members of the bucket itself, from which its clusters lie at unlike distances.
-Survivors are verified by the exact similarity of their shingle sets. Only links between different components are searched
-for, so a group of near copies, however large, costs each member a link to one of them and no pairs.
+Survivors are verified by the exact similarity of their shingle sets, inside the bucket: members of several components go to their
+bucket with their sets, and a bucket gives the links that join components. Pairs are never rows of a table, so a group of near
+copies, or of texts that nearly are, costs rows in proportion to its members, however many pairs are compared.
 
 Defined cases: null text is an empty text; no words give fingerprint zero, which links like any other; a row with a null
 id links like any other (its component is null only where no id is reachable); repeated rows give repeated rows; very long texts are read whole;
@@ -47,9 +48,8 @@ SPLIT_AT = 2000
 #: ``similar_groups``: words of a shingle, 64-bit words of a fingerprint and the most bits that may differ, bands and values in each.
 SIMILAR_SHINGLE, WIDE, WIDE_RADIUS = 5, 4, 64
 BANDS, ROWS = 16, 5
-#: Pivots taken from a bucket, searches for the nearest outside before every pair of different components is tried, and pairs
-#: of a bucket that a task holds at once.
-OWN_PIVOTS, SEARCHES, LINKS_HELD = 8, 2, 100_000
+#: Pivots taken from a bucket, and shingle hashes in a part of a bucket whose texts are compared (a task holds two parts).
+OWN_PIVOTS, HASHES_HELD = 8, 500_000
 #: Buckets of at most so many fingerprints are compared together, larger ones one by one.
 SMALL_BUCKET = 16
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -320,7 +320,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(df: DataFrame, key_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``row`` (the key), ``node`` (a digest of the shingle set), ``f`` (the long fingerprint) and ``bands`` of every row."""
+    """``row`` (the key), ``node`` (a digest of the shingle set), its ``size``, ``f`` (the long fingerprint) and ``bands`` of every row."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,10 +328,11 @@ def sketches(df: DataFrame, key_col: str, text_col: str, shingle: int) -> DataFr
             sets = [shingle_set(x.as_py(), shingle) for x in batch.column(1)]
             nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64)
             lists = [pa.array([f(x).view(np.int64) for x in sets], pa.list_(pa.int64())) for f in (wide_fingerprint, band_keys)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes.view(np.int64)), *lists], names=["row", "node", "f", "bands"])
+            sizes = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes.view(np.int64)), sizes, *lists], names=["row", "node", "size", "f", "bands"])
 
     src = df.select(F.col(key_col).alias("row"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, f"row {src.schema[0].dataType.simpleString()}, node long, f array<long>, bands array<long>")
+    return src.mapInArrow(run, f"row {src.schema[0].dataType.simpleString()}, node long, size long, f array<long>, bands array<long>")
 
 
 def pairs_outside(words: np.ndarray, roots: np.ndarray, radius: int = WIDE_RADIUS, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -365,9 +366,87 @@ def nearest_outside(words: np.ndarray, roots: np.ndarray, radius: int = WIDE_RAD
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def _pairs(links: set[tuple[int, int]]) -> pa.RecordBatch:
-    left, right = zip(*links)
-    return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+def exact_links(words: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Index pairs of rows whose sets have the Jaccard similarity or more: enough of them to join all components (``roots``) that a pair
+    within ``WIDE_RADIUS`` bits joins, one less than there are rows at most. Rows that links already join are not compared."""
+    component = np.unique(roots, return_inverse=True)[1]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    starts = np.cumsum(sizes) - sizes
+    distinct, tokens = np.unique(np.concatenate([*sets, np.zeros(1, np.int64)]), return_inverse=True)  # one more: an empty set may be the last
+    tokens = tokens.astype(np.int32)
+    own = np.zeros(len(distinct), bool)
+    found: list[tuple[int, int]] = []
+    for i, j, _ in pairs_outside(words, component):  # which reads ``component`` anew for each block
+        total, least = sizes[i] + sizes[j], np.minimum(sizes[i], sizes[j])
+        keep = (i < j) & (least >= similarity * (total - least))
+        i, j = i[keep], j[keep]
+        first = np.flatnonzero(np.diff(i, prepend=-1)).tolist()
+        for a, b in zip(first, [*first[1:], len(i)]):
+            x, others = int(i[a]), j[a:b]
+            others = others[component[others] != component[x]]
+            if not len(others):
+                continue
+            mine = tokens[starts[x] : starts[x] + sizes[x]]
+            own[mine] = True
+            if 4 * len(others) < len(sets):
+                common = np.array([np.count_nonzero(own[tokens[starts[y] : starts[y] + sizes[y]]]) for y in others.tolist()])
+            else:
+                common = np.add.reduceat(own[tokens], starts, dtype=np.int64)[others]
+            own[mine] = False
+            for y in others[common >= similarity * (sizes[x] + sizes[others] - common)].tolist():
+                if component[x] != component[y]:
+                    component[component == component[y]] = component[x]
+                    found.append((x, y))
+    return found
+
+
+def _with_outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key`` and ``node`` of the rows (``key``, ``cell``, ``node``, ``root``, fingerprint) that have one of another root near them in their cell."""
+    rest = np.zeros((4 + WIDE, 0), np.int64)  # of the cell that the last batch may not have ended
+    for batch in _and_end(batches):
+        if batch is not None:
+            rest = np.concatenate([rest, np.stack([np.asarray(c, np.int64) for c in batch.columns])], axis=1)
+        new = np.flatnonzero((np.diff(rest[:2], axis=1) != 0).any(axis=0)) + 1
+        cut = rest.shape[1] if batch is None else (int(new[-1]) if len(new) else 0)
+        cuts = [0, *new[new < cut].tolist(), cut]
+        found = []
+        for a, b in zip(cuts, cuts[1:]):
+            root = rest[3, a:b]
+            if b > a and (root != root[0]).any():
+                found.append(nearest_outside(np.ascontiguousarray(rest[4:, a:b].T).view(np.uint64), root)[0] + a)
+        if found:
+            at = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(rest[0, at]), pa.array(rest[2, at])], names=["key", "node"])
+        rest = rest[:, cut:]
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell (equal first two columns) of batches that come in their order."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        cells = np.stack([np.asarray(c, np.int64) for c in batch.columns[:2]])
+        cuts = [0, *(np.flatnonzero((np.diff(cells, axis=1) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                now = tuple(cells[:, a].tolist())
+                if held and now != last:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _dealt(rows: DataFrame, parts: Column) -> DataFrame:
+    """``rows`` (``key``, ``node`` and more) with the ``cell`` of their bucket where they meet others: a bucket of several ``parts`` is
+    dealt as pairs of parts."""
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(k, own).cast("long") * 1_000_000 + F.greatest(k, own))
+    counted = rows.withColumn("parts", parts.cast("int"))
+    whole = counted.where("parts = 1").withColumn("cell", F.lit(0).cast("long"))
+    return whole.unionByName(counted.where("parts > 1").withColumn("cell", F.explode(cells))).drop("parts")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -397,70 +476,50 @@ def similar_groups(df: DataFrame, key_col: str, text_col: str = "text", shingle:
     """``key_col`` and ``component`` of every row of ``df``: rows whose shingle sets reach ``similarity`` share a component.
 
     ``key_col`` tells rows apart and has no nulls; ``df`` is a stored table, since some texts are read again. Rows of equal sets
-    are one node. Each node of a bucket (a band key) is compared with the bucket's least node, then, while components remain
-    apart in a bucket, with the nearest node outside its own component (at most ``SEARCHES`` times: this only joins most of them
-    cheaply), and at last with every node outside it, so that no candidate of a bucket is left out; buckets of more than
-    ``split_at`` nodes are dealt as pairs of parts. Two texts of similarity s meet in a bucket with probability 1 - (1 - s**5)**16.
+    are one node. Each node of a bucket (a band key) is compared with the bucket's least node; where components remain apart in a
+    bucket, every node that has one outside its own component within ``WIDE_RADIUS`` bits is compared with all of those, in tasks
+    that hold their sets, so that no candidate of a bucket is left out. Buckets of more than ``split_at`` nodes, or of more than
+    ``HASHES_HELD`` shingles, are dealt as pairs of parts. Two texts of similarity s meet in a bucket with probability 1 - (1 - s**5)**16.
     """
     rows = materialise(sketches(df, key_col, text_col, shingle), "similar-sketches")
-    nodes = rows.groupBy("node").agg(F.min("row").alias("row"), F.first("f").alias("f"), F.first("bands").alias("bands"))
+    nodes = rows.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("f").alias("f"), F.first("bands").alias("bands"))
     nodes = materialise(nodes, "similar-nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     held = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("lead")).where("members > 1")
     members = materialise(keyed.join(held, "key"), "similar-members")
     prints = nodes.select("node", "f")
+    words = [F.col("f")[k].alias(f"f{k}") for k in range(WIDE)]
     near = reduce(lambda x, y: x + y, [F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(WIDE)]) <= WIDE_RADIUS
     stars = members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     stars = stars.join(prints.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
     pairs = materialise(stars.where(near).select("a", "b"), "similar-pairs")
     edges = materialise(_verified(pairs, _sets(df, nodes, pairs, key_col, text_col, shingle), similarity), "similar-links")
-    tried = pairs
     roots = components(edges)
-
-    def search(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((4 + WIDE, 0), np.int64)  # of the bucket that the last batch may not have ended
-        for batch in _and_end(batches):
-            if batch is not None:
-                rest = np.concatenate([rest, np.stack([np.asarray(c, np.int64) for c in batch.columns])], axis=1)
-            new = np.flatnonzero((np.diff(rest[:2], axis=1) != 0).any(axis=0)) + 1
-            cut = rest.shape[1] if batch is None else (int(new[-1]) if len(new) else 0)
-            cuts = [0, *new[new < cut].tolist(), cut]
-            links: set[tuple[int, int]] = set()
-            for a, b in zip(cuts, cuts[1:]):
-                node, root, words = rest[2, a:b], rest[3, a:b], np.ascontiguousarray(rest[4:, a:b].T).view(np.uint64)
-                if b > a and (root != root[0]).any():
-                    for i, j, *_ in pairs_outside(words, root) if every else [nearest_outside(words, root)]:
-                        links.update(zip(np.maximum(node[i], node[j]).tolist(), np.minimum(node[i], node[j]).tolist()))
-                        if len(links) > LINKS_HELD:
-                            yield _pairs(links)
-                            links.clear()
-            rest = rest[:, cut:]
-            if links:
-                yield _pairs(links)
-
-    every = SEARCHES == 0
-    for turn in range(SEARCHES + 1):
-        placed = members.join(roots, "node", "left").select("key", "members", "node", F.coalesce("root", "node").alias("root"))
-        open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        open_rows = materialise(placed.join(open_keys, "key", "left_semi").join(prints, "node"), "similar-open")
-        parts = F.ceil(F.col("members") / split_at).cast("int")
-        own = F.pmod(F.xxhash64("node"), parts).cast("int")
-        cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.least(k, own).cast("long") * 1_000_000 + F.greatest(k, own))
-        dealt = open_rows.where(F.col("members") <= split_at).withColumn("cell", F.lit(0).cast("long"))
-        dealt = dealt.unionByName(open_rows.where(F.col("members") > split_at).withColumn("cell", F.explode(cells)))
-        ordered = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell", "node").select("key", "cell", "node", "root", *[F.col("f")[k].alias(f"f{k}") for k in range(WIDE)])
-        found = ordered.mapInArrow(lambda batches, every=every: search(batches, every), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-        found = materialise(found, "similar-pairs")
-        more = materialise(_verified(found, _sets(df, nodes, found, key_col, text_col, shingle), similarity), "similar-links")
-        discard(open_rows)
-        linked = bool(more.limit(1).count())
-        if linked:
-            edges = edges.unionByName(more)
-            roots = components(edges)
-        if every:
-            break
-        tried = tried.unionByName(found)
-        every = not linked or turn + 1 >= SEARCHES
+    placed = members.join(roots, "node", "left").select("key", "members", "node", F.coalesce("root", "node").alias("root"))
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    open_rows = materialise(placed.join(open_keys, "key", "left_semi").join(prints, "node"), "similar-open")
+    ordered = _dealt(open_rows, F.ceil(F.col("members") / split_at)).repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
+    near_keys = materialise(ordered.select("key", "cell", "node", "root", *words).mapInArrow(_with_outside, "key long, node long").distinct(), "similar-near")
+    sets = _sets(df, nodes, near_keys.select(F.col("node").alias("a"), F.col("node").alias("b")), key_col, text_col, shingle)
+    near_rows = open_rows.drop("members").join(near_keys, ["key", "node"]).join(nodes.select("node", "size"), "node")
+    weights = near_rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / split_at, F.sum("size") / HASHES_HELD)).alias("parts"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _by_cell(batches):
+            node, root = (cell.column(c).to_numpy() for c in ("node", "root"))
+            hashes = [x.values.to_numpy() for chunk in cell.column("hashes").chunks for x in chunk]
+            prints = np.stack([cell.column(f"f{k}").to_numpy() for k in range(WIDE)], axis=1).view(np.uint64)
+            found = exact_links(prints, root, hashes, similarity)
+            if found:
+                i, j = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[i], node[j])), pa.array(np.minimum(node[i], node[j]))], names=["a", "b"])
+
+    dealt = _dealt(near_rows.join(weights, "key"), F.greatest(F.col("parts"), F.lit(1))).join(sets, "node")
+    ordered = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell", "node").select("key", "cell", "node", "root", *words, "hashes")
+    more = materialise(ordered.mapInArrow(compare, "a long, b long").distinct(), "similar-links")
+    discard(open_rows, near_keys, sets)
+    if more.limit(1).count():
+        roots = components(edges.unionByName(more))
     placed = rows.select(F.col("row").alias(key_col), "node").join(roots, "node", "left")
     return placed.select(key_col, F.coalesce("root", "node").alias("component"))
 

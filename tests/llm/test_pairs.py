@@ -172,6 +172,48 @@ def test_links_behind_nearer_rows_that_do_not_link(spark, monkeypatch):
     assert len(set(got.values())) == 40 and all(got[i] == got[i + 1] for i in range(0, 80, 2))
 
 
+def test_pairs_of_a_large_group_are_never_rows(spark, monkeypatch):
+    """120 texts in one bucket share half their words, and every third has a near copy: links are found, tables grow with the texts."""
+    rnd = random.Random(9)
+    words = [f"w{k}" for k in range(3000)]
+    base = [rnd.choice(words) for _ in range(100)]
+    rows = []
+    for i in range(90):
+        text = base + [rnd.choice(words) for _ in range(100)]
+        rows += [" ".join(text), " ".join([*text[:-1], "last"])][: 1 + (i % 3 == 0)]
+    monkeypatch.setattr(simhash, "band_keys", lambda hashes: np.zeros(1, np.uint64))
+    monkeypatch.setattr(simhash, "wide_fingerprint", lambda hashes: np.zeros(simhash.WIDE, np.uint64))
+    written = []
+    keep = simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df, *rest: written.append(keep(df, *rest)) or written[-1])
+    monkeypatch.setattr(simhash, "discard", lambda *tables: None)
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component for r in simhash.similar_groups(frame, "doc_id").collect()}
+    assert len(rows) == 120 and len(set(got.values())) == 90
+    assert max(t.count() for t in written) <= 2 * len(rows)
+
+
+@pytest.mark.parametrize("limit", [simhash.SPLIT_AT, 5])
+def test_exact_links_against_all_pairs(limit):
+    """Sets of unlike sizes, one empty: the links join what all pairs join, and are fewer than the sets."""
+    rng = np.random.default_rng(limit)
+    base = np.unique(rng.integers(1, 2**60, 60))
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(40, len(base)), replace=False), rng.integers(1, 2**60, rng.integers(0, 12))])) for _ in range(70)]
+    sets = sets[:limit] + [np.zeros(0, np.int64)]
+    roots = np.arange(len(sets))
+    roots[1] = roots[0]
+    found = simhash.exact_links(np.zeros((len(sets), simhash.WIDE), np.uint64), roots, sets, 0.8)
+
+    def joined(pairs):
+        component = roots.copy()
+        for i, j in pairs:
+            component[component == component[j]] = component[i]
+        return {frozenset(np.flatnonzero(component == c).tolist()) for c in component}
+
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if (c := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - c)]
+    assert joined(found) == joined(alike) and len(found) < len(sets) and set(map(frozenset, found)) <= set(map(frozenset, alike))
+
+
 def test_nearest_outside_keeps_every_near_row():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2**63, (6, simhash.WIDE), dtype=np.uint64)
