@@ -389,6 +389,43 @@ def test_every_word_has_its_own_probability(spark):
     assert sum(np.exp(every[bucket(w) - lm.WORDS] + x) for w, x in shares.items()) == pytest.approx(np.exp(every).sum(), rel=1e-5)
 
 
+def test_chunks_and_parts_of_the_dictionary(spark, monkeypatch):
+    """Chunks of many and of single texts, a dictionary of many parts: words cross once a chunk, and the corpus's own counts give what a table of counts gives."""
+    texts = [" ".join(f"w{(i * k) % 97} rare{i % 7} the" for k in range(i)) for i in range(60)] + [None, "", "!", "the " * 3000, "\u0130 \u00c9t\u00e9"]
+    frame = docs(spark, texts).repartition(2)
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 500)
+    monkeypatch.setattr(lm, "PART_TOKENS", 1500)
+    chunks = lm.chunked(frame)
+    answers = lm.dictionary(chunks)
+    counts = lm.word_counts(frame)
+    words = lm.most_frequent(lm.frequent(answers), 20)
+    assert words == lm.most_frequent(counts, 20)
+    parts = 1 + sum(len(lm.words_of(t)) for t in texts) // 1500
+    assert chunks.count() > 5 and parts > 3 and answers.count() <= parts * (chunks.count() + 1)
+    lists = {r.chunk: len(lm._strings(r.words)) for r in chunks.select("chunk", "words").collect()}
+    assert max(lists.values()) <= counts.count()
+    model = lm.Model(words, lm.initial())
+    net, index = lm.unpack(model.flat), model.index()
+    shares = {r.word: r.log_share for r in lm.word_shares(counts, words).collect()}
+    own, given = ({r.doc_id: r for r in x.collect()} for x in (lm.log_likelihoods(frame, model, lm.frequent(answers), chunks=chunks, answers=answers), lm.log_likelihoods(frame, model, counts)))
+    assert own == given and len(own) == len(texts)
+    for i, text in enumerate(texts):
+        n, sums = lm.pseudo_log_likelihoods(net, index, [text])
+        assert own[i].n_tokens == n[0] == len(lm.words_of(text)) and (own[i].mean is None) == (n[0] == 0)
+        assert own[i].pll == pytest.approx(sums[0] + sum(shares.get(w, 0.0) for w in lm.words_of(text)), rel=1e-4, abs=1e-4)
+
+
+def test_logits_beyond_the_safe_bounds():
+    """Weights so large that exponentials overflow: the rows' greatest logits are taken off, probabilities and slopes stay finite."""
+    rng = np.random.default_rng(3)
+    context, target = rng.integers(0, lm.VOCABULARY + 1, (50, 4)), rng.integers(0, lm.VOCABULARY, 50)
+    net = lm.unpack(lm.initial() * np.float32(400))
+    assert not lm._safe(net) and lm._safe(lm.unpack(lm.initial()))
+    assert np.isfinite(lm.log_probabilities(net, context, target)).all() and np.isfinite(lm.gradient(net, context, target)).all()
+    every = lm.log_probabilities(net, np.repeat(context[:1], lm.VOCABULARY, 0), np.arange(lm.VOCABULARY))
+    assert np.exp(every).sum() == pytest.approx(1.0, rel=1e-4)
+
+
 def test_averaging_in_groups(spark, monkeypatch):
     monkeypatch.setattr(lm, "FAN_IN", 3)
     rng = np.random.default_rng(0)
